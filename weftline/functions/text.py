@@ -104,31 +104,36 @@ def token_estimate(text: Column) -> Column:
     return F.greatest(F.floor(F.octet_length(text) / 4), F.lit(1)).cast("bigint")
 
 
+def fixed(n: Column, digits: int) -> Column:
+    """Fixed decimals, exact ties to even."""
+    pattern = "0." + "0" * digits if digits else "0"
+    return F.call_function("format_number", n.cast("double"), F.lit(pattern))
+
+
 def format_size(n: Column) -> Column:
     """Bytes as GB, MB, KB with two decimals, or plain bytes."""
     kb, mb, gb = 1024, 1024**2, 1024**3
     return (
-        F.when(n >= gb, F.format_string("%.2f GB", n / gb))
-        .when(n >= mb, F.format_string("%.2f MB", n / mb))
-        .when(n >= kb, F.format_string("%.2f KB", n / kb))
-        .otherwise(F.format_string("%d bytes", n.cast("bigint")))
+        F.when(n >= gb, F.concat(fixed(n / gb, 2), F.lit(" GB")))
+        .when(n >= mb, F.concat(fixed(n / mb, 2), F.lit(" MB")))
+        .when(n >= kb, F.concat(fixed(n / kb, 2), F.lit(" KB")))
+        .otherwise(F.concat(n.cast("bigint").cast("string"), F.lit(" bytes")))
     )
 
 
 def format_bytes(n: Column) -> Column:
     """Bytes in the largest unit from B to PB, two decimals above bytes."""
-    units = ["B", "KB", "MB", "GB", "TB", "PB"]
-    out = F.format_string("%d B", n.cast("bigint"))
-    for power, unit in enumerate(units[1:], start=1):
-        out = F.when(n >= 1024**power, F.format_string(f"%.2f {unit}", n / float(1024**power))).otherwise(out)
+    out = F.concat(n.cast("bigint").cast("string"), F.lit(" B"))
+    for power, unit in enumerate(["KB", "MB", "GB", "TB", "PB"], start=1):
+        out = F.when(n >= 1024**power, F.concat(fixed(n / float(1024**power), 2), F.lit(f" {unit}"))).otherwise(out)
     return out
 
 
 def format_count(n: Column) -> Column:
     """1.2k and 3.4M style counts."""
     return (
-        F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6))
-        .when(n >= 1_000, F.format_string("%.1fk", n / 1e3))
+        F.when(n >= 1_000_000, F.concat(fixed(n / 1e6, 1), F.lit("M")))
+        .when(n >= 1_000, F.concat(fixed(n / 1e3, 1), F.lit("k")))
         .otherwise(n.cast("string"))
     )
 

@@ -15,14 +15,14 @@ from weftline.sources.tables import table
 
 
 def template(text: str) -> str:
-    """SQL string expression for ``text``; ``<<expr>>`` is spliced in, newlines become chr(10)."""
+    """SQL string expression for ``text``; ``<<expr>>`` is spliced in, newlines and the like become chr(n)."""
     parts = []
-    for piece in re.split(r"(<<.*?>>|\n|'|\t|\r)", text):
+    for piece in re.split(r"(<<.*?>>|\n|'|\t|\r|\$)", text):
         if not piece:
             continue
         if piece.startswith("<<"):
             parts.append(f"CAST({piece[2:-2]} AS STRING)")
-        elif piece in "\n'\t\r":
+        elif piece in "\n'\t\r$":
             parts.append(f"chr({ord(piece)})")
         else:
             parts.append(f"'{piece}'")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib
+import importlib.util
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -49,7 +50,8 @@ def query(name: str, ops: str, sql: str | None = None):
 
 def load_plans() -> None:
     for module in PLAN_MODULES:
-        importlib.import_module(module)
+        if importlib.util.find_spec(module):
+            importlib.import_module(module)
 
 
 def all_queries() -> dict[str, Query]:
