@@ -58,6 +58,9 @@ RISK = {
     ],
 }
 
+# Commands refused when they occur anywhere in the text.
+BLOCKED_COMMANDS = ["rm -rf /", "rm -rf /*", "mkfs", "dd if=/dev", ":(){:|:&};:", "chmod -R 777 /"]
+
 # Simple commands: word -> action, in order.
 SIMPLE_COMMANDS = {
     "exit": "Exit", "quit": "Exit", "bye": "Exit", "help": "Help", "?": "Help", "clear": "ClearHistory", "history": "ShowHistory",
@@ -149,6 +152,14 @@ MESSAGE_COMMANDS = [
     ("cargo test", ["cargo test", "corre los tests", "run tests"]), ("cargo check", ["cargo check"]), ("npm install", ["npm install"]),
 ]
 
+QUOTED_COMMAND = r"""["`']([^"`']+)["`']"""
+# Path in a message: dotted name, word after a preposition, slashed path.
+MESSAGE_PATHS = [
+    r"[\w./\-]+\.[\w]+",
+    r"""(?:en|in|from|de|la carpeta|folder|directory|directorio)\s+["']?([^\s"']+)["']?""",
+    r"((?:\./|\.\./)?\w+(?:/\w+)*)",
+]
+
 # Task planning: type -> words, first match wins.
 TASK_TYPES = {
     "Analysis": ["analyz", "understand", "review", "check"],

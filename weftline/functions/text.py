@@ -60,6 +60,13 @@ def matches_any(text: Column, patterns) -> Column:
     return found
 
 
+def unicode_regex(pattern: str, ignore_case: bool = False) -> str:
+    """A pattern whose classes and boundaries know Unicode and whose final ``$`` is the very end."""
+    if pattern.endswith("$"):
+        pattern = pattern[:-1] + r"\z"
+    return ("(?iU)" if ignore_case else "(?U)") + pattern
+
+
 def regex_escape(literal: str) -> str:
     """Escape so that both Java and RE2 read the text literally."""
     return "".join("\\" + c if c in r"\.+*?()|[]{}^$#&-~" else c for c in literal)

@@ -32,3 +32,18 @@ def consecutive_runs(df: DataFrame, keys: list[str], order: list[str], bucket: C
     since = F.coalesce(F.col("_offset") + F.col("_break"), F.col("_carry"), F.lit(0))
     run = F.when(F.col("_hit") == 1, F.col("_offset") + F.col("_hits") - since).otherwise(F.lit(0))
     return marked.join(carried, part).withColumn("run", run.cast("bigint")).select(*df.columns, "run")
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], bucket: Column, value: Column, name: str) -> DataFrame:
+    """Add the running sum of ``value`` along ``order``, this row included."""
+    part = [*keys, "_bucket"]
+    local = W.partitionBy(*part).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    marked = df.withColumn("_bucket", bucket).withColumn("_value", value)
+    earlier = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = (
+        marked.groupBy(*part).agg(F.sum("_value").alias("_total"))
+        .withColumn("_offset", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+        .select(*part, "_offset")
+    )
+    summed = marked.withColumn("_local", F.sum("_value").over(local)).join(carried, part)
+    return summed.withColumn(name, F.col("_offset") + F.col("_local")).select(*df.columns, name)
