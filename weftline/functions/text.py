@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 # Unicode white space and word characters as regex classes both Java and RE2 accept.
 WS = r"[\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 WORD = r"[\p{L}\p{M}\p{N}_]"
+_SPACES = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+WS_CHARS = "".join(map(chr, _SPACES))
 
 
 def lines(text: Column) -> Column:
@@ -20,7 +22,7 @@ def lines(text: Column) -> Column:
 
 def trim(text: Column) -> Column:
     """Trim all Unicode white space (Spark's own trim removes blanks only)."""
-    return F.regexp_replace(text, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def words(text: Column) -> Column:

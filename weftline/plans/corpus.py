@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.sources.tables import table
+from weftline.sources.tables import spread, table
 
 
 def template(text: str) -> str:
@@ -107,10 +107,14 @@ from .mod<<p_partkey % 37>> import helper
 
 # FIXME sizes of <<p_brand>>
 class Part<<p_partkey>>(Base):
+    \"\"\"Box of <<p_name>>.\"\"\"
     def __init__(self, size):
         self.size = size
 
     def _weigh(self, a):
+        \"\"\"Weighs
+        things <<p_partkey>>.
+        \"\"\"
         total = 0
 """
     )
@@ -407,9 +411,14 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
 }
 
 
+# Inputs of row-local work heavy enough to be worth rebalancing.
+COSTLY = {"src_files", "requests", "commands", "task_plans"}
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     base, columns = DERIVED[name]
-    return table(spark, sf_dir, base).selectExpr(*[f"{expr} AS {col}" for col, expr in columns.items()])
+    rows = table(spark, sf_dir, base).selectExpr(*[f"{expr} AS {col}" for col, expr in columns.items()])
+    return spread(rows) if name in COSTLY else rows
 
 
 def cte(*names: str) -> str:
