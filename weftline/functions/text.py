@@ -14,6 +14,11 @@ _SPACES = [*range(0x9, 0xE), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0
 WS_CHARS = "".join(map(chr, _SPACES))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` worked out once, however often ``body`` uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lines(text: Column) -> Column:
     """Lines without their terminators; a final newline adds no empty line, empty text has none."""
     body = F.regexp_replace(text, r"\r?\n\z", "")

@@ -7,8 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
+from weftline.operators.rows import unnest, unnest_fields
 
-SPANS = "array<struct<start_byte:int,end_byte:int,text:string>>"
+SPANS = "array<struct<chunk_no:bigint,start_byte:int,end_byte:int,text:string>>"
 
 
 
@@ -60,11 +61,13 @@ def text_chunks(df: DataFrame, key: str, text: str, limit: int, overlap: int) ->
 
     @F.pandas_udf(SPANS)
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"start_byte": a, "end_byte": b, "text": c} for a, b, c in byte_windows(t or "", limit, overlap)])
+        return texts.map(lambda t: [
+            {"chunk_no": i, "start_byte": a, "end_byte": b, "text": c} for i, (a, b, c) in enumerate(byte_windows(t or "", limit, overlap))])
 
-    rows = df.select(key, F.posexplode(split(F.col(text))).alias("_pos", "_chunk"))
-    chunk_id = F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.col("_pos").cast("string")), 256)
-    return rows.select(key, F.col("_pos").cast("bigint").alias("chunk_no"), chunk_id.alias("chunk_id"), "_chunk.start_byte", "_chunk.end_byte", "_chunk.text")
+    rows = unnest(df, [key], split(F.col(text)), "_chunk")
+    number = F.col("_chunk.chunk_no")
+    chunk_id = F.sha2(F.concat_ws(":", F.col(key).cast("string"), number.cast("string")), 256)
+    return rows.select(key, number, chunk_id.alias("chunk_id"), "_chunk.start_byte", "_chunk.end_byte", "_chunk.text")
 
 
 def chunk_summary(kind: Column | str, first: Column, last: Column, count: Column) -> Column:
@@ -72,13 +75,18 @@ def chunk_summary(kind: Column | str, first: Column, last: Column, count: Column
     return F.concat(kind, F.lit(" chunk (lines "), first.cast("string"), F.lit("-"), last.cast("string"), F.lit(", "), count.cast("string"), F.lit(" lines)"))
 
 
+def line_pieces(text: Column, lines: Column, window: int = 200) -> Column:
+    """Windows of ``window`` lines as structs; a text no longer than that stays whole, as it is."""
+    count = F.size(lines)
+    starts = F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0)), F.lit(window))
+    return F.transform(starts, lambda s: F.struct(
+        (s + 1).alias("line_start"), F.least(s + window, count).alias("line_end"),
+        F.when(count <= window, text).otherwise(F.array_join(F.slice(lines, s + 1, F.lit(window)), "\n")).alias("text")))
+
+
 def line_chunks(df: DataFrame, key: str, text: str, window: int = 200) -> DataFrame:
-    """Windows of ``window`` lines; a text no longer than that stays whole, as it is."""
-    rows = df.select(key, F.col(text).alias("_text"), tx.lines(F.col(text)).alias("_lines")).withColumn("_n", F.size("_lines"))
-    starts = F.sequence(F.lit(0), F.greatest(F.col("_n") - 1, F.lit(0)), F.lit(window))
-    pieces = F.transform(starts, lambda s: F.struct(
-        (s + 1).alias("line_start"), F.least(s + window, F.col("_n")).alias("line_end"),
-        F.when(F.col("_n") <= window, F.col("_text")).otherwise(F.array_join(F.slice(F.col("_lines"), s + 1, F.lit(window)), "\n")).alias("text")))
-    out = rows.select(key, F.inline(pieces))
+    """One row per window of lines, with its summary."""
+    rows = df.select(key, F.col(text).alias("_text"), tx.lines(F.col(text)).alias("_lines"))
+    out = unnest_fields(rows, [key], line_pieces(F.col("_text"), F.col("_lines"), window))
     count = F.col("line_end") - F.col("line_start") + 1
     return out.withColumn("summary", chunk_summary("file", F.col("line_start"), F.col("line_end"), count))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline import fixed
 from weftline.functions import text as tx
+from weftline.operators.rows import unnest, unnest_fields
 
 SYMBOL = ("struct<kind:string,name:string,visibility:string,params:array<string>,return_type:string,line_start:int,line_end:int,"
           "complexity:bigint,head:string,above:string>")
@@ -177,7 +178,7 @@ def with_structure(files: DataFrame, text: str = "content", language: str = "lan
 
 def symbols(files: DataFrame, key: list[str]) -> DataFrame:
     """One row per symbol."""
-    return with_structure(files).select(*key, F.inline("symbols"))
+    return unnest_fields(with_structure(files), key, "symbols")
 
 
 def imports(files: DataFrame, key: str) -> DataFrame:
@@ -201,14 +202,14 @@ def imports(files: DataFrame, key: str) -> DataFrame:
         return hit
 
     trimmed = F.transform(tx.lines(F.col("content")), tx.trim)
-    return files.select(key, F.inline(F.filter(F.transform(trimmed, at_line), lambda s: s.isNotNull())))
+    return unnest_fields(files, [key], F.filter(F.transform(trimmed, at_line), lambda s: s.isNotNull()))
 
 
 def issues(files: DataFrame, key: str) -> DataFrame:
     """Lint issues ``(key, severity, rule, line, message)``."""
     s = with_structure(files)
     name, size = F.col("s.name"), F.col("s.line_end") - F.col("s.line_start")
-    functions = s.select(key, F.explode("symbols").alias("s")).filter(F.col("s.kind") == "Function")
+    functions = unnest(s, [key], "symbols", "s").filter(F.col("s.kind") == "Function")
     long_one = functions.filter(size > 50).select(
         key, F.lit("Warning").alias("severity"), F.lit("long-function").alias("rule"), F.col("s.line_start").alias("line"),
         F.concat(F.lit("Function '"), name, F.lit("' is too long ("), size.cast("string"), F.lit(" lines)")).alias("message"))
@@ -229,7 +230,7 @@ def issues(files: DataFrame, key: str) -> DataFrame:
                          for test, sev, rule, say in rules])
 
     found = F.array_compact(F.flatten(F.transform(tx.lines(F.col("content")), at_line)))
-    return long_one.unionByName(complex_one).unionByName(files.select(key, F.inline(found)))
+    return long_one.unionByName(complex_one).unionByName(unnest_fields(files, [key], found))
 
 
 def calls(content: Column) -> Column:
@@ -333,25 +334,26 @@ def doc_items(files: DataFrame, key: str) -> DataFrame:
     lined = files.select(key, "language", tx.lines(F.col("content")).alias("lines"))
     language, lines = F.col("language"), F.col("lines")
     items = F.when(language == "Rust", rust_docs(lines)).when(language == "Python", python_docs(lines)).when(language.isin("JavaScript", "TypeScript"), script_docs(lines))
-    return lined.select(key, "language", F.inline(items))
+    return unnest_fields(lined, [key, "language"], items)
 
 
 def control_depth(block: Column) -> Column:
     """Deepest nesting of control-flow blocks; each ``else if`` nests one deeper than the branch before it."""
     tokens = F.regexp_extract_all(block, F.lit(r"(\belse\s+if\b|\belse\b|\b(?:if|match|while|loop|for)\b|[{};])"), F.lit(1))
-    zero = F.struct(F.array().cast("array<int>").alias("stack"), F.lit(0).alias("pending"), F.lit(0).alias("last"), F.lit(0).alias("deepest"))
+    zero = F.struct(F.array().cast("array<int>").alias("stack"), *[F.lit(0).alias(n) for n in ("pending", "last", "depth", "deepest")])
 
     def step(state, token):
-        opens, closes = token == "{", token == "}"
+        opens, closes = token == "{", (token == "}") & (F.size(state["stack"]) > 0)
         top = F.coalesce(F.try_element_at(state["stack"], F.lit(-1)), F.lit(0))
         stack = (F.when(opens, F.array_append(state["stack"], state["pending"]))
-                 .when(closes & (F.size(state["stack"]) > 0), F.slice(state["stack"], F.lit(1), F.size(state["stack"]) - 1)).otherwise(state["stack"]))
-        pending = (F.when(token.rlike(r"^else\s"), state["last"] + 1).when(token == "else", state["last"])
-                   .when(opens | closes | (token == ";"), F.lit(0)).otherwise(F.lit(1)))
-        depth = F.aggregate(stack, F.lit(0), lambda a, b: a + b)
-        return F.struct(stack.alias("stack"), pending.alias("pending"), F.when(closes, top).otherwise(state["last"]).alias("last"), F.greatest(state["deepest"], depth).alias("deepest"))
+                 .when(closes, F.slice(state["stack"], F.lit(1), F.size(state["stack"]) - 1)).otherwise(state["stack"]))
+        pending = (F.when(F.startswith(token, F.lit("else ")), state["last"] + 1).when(token == "else", state["last"])
+                   .when(token.isin("{", "}", ";"), F.lit(0)).otherwise(F.lit(1)))
+        depth = state["depth"] + F.when(opens, state["pending"]).when(closes, -top).otherwise(0)
+        return F.struct(stack.alias("stack"), pending.alias("pending"), F.when(closes, top).otherwise(state["last"]).alias("last"), depth.alias("depth"),
+                        F.greatest(state["deepest"], depth).alias("deepest"))
 
-    return F.aggregate(tokens, zero, step)["deepest"]
+    return F.aggregate(F.transform(tokens, lambda t: F.regexp_replace(t, r"\s+", " ")), zero, step)["deepest"]
 
 
 def review_score(style: Column, complex_issues: Column, smells: Column, untested: Column) -> Column:
@@ -374,40 +376,44 @@ def diff_stats(old: Column, new: Column) -> tuple[Column, Column]:
 
 
 def diff_hunk(old: Column, new: Column, context: int = 3, most: int = 50) -> Column:
-    """``struct(old_start, old_count, new_start, new_count, lines)`` from the first differing position on.
+    """``struct(old_start, old_count, new_start, new_count, lines)`` from the first differing position on, null for no lines.
 
     The printed hunk stops once it holds more than ``most`` lines; the statistics never do.
     """
+
+    def hunk(a, b, c, d, lines):
+        return F.struct(*[(F.lit(v) if isinstance(v, int) else v).cast("int").alias(n) for v, n in zip((a, b, c, d), ("old_start", "old_count", "new_start", "new_count"))],
+                        lines.alias("lines"))
+
+    def marked(lines, sign):
+        return F.transform(lines, lambda x: F.concat(F.lit(sign), x))
+
     n_old, n_new = F.size(old), F.size(new)
-    shorter = F.least(n_old, n_new)
-    differs = F.array_min(F.transform(F.slice(old, F.lit(1), shorter), lambda x, i: F.when(x != F.element_at(new, i + 1), i)))
-    first = F.when(shorter > 0, F.coalesce(differs, F.lit(0))).otherwise(F.lit(0))
-    start = F.greatest(first - context, F.lit(0))
-    lead = F.transform(F.slice(old, start + 1, first - start), lambda x: F.concat(F.lit(" "), x))
-
-    def pair(i):
-        a, b = F.try_element_at(old, i + 1), F.try_element_at(new, i + 1)
-        return (F.when(a == b, F.array(F.concat(F.lit(" "), a))).when(a.isNotNull() & b.isNotNull(), F.array(F.concat(F.lit("-"), a), F.concat(F.lit("+"), b)))
-                .when(a.isNotNull(), F.array(F.concat(F.lit("-"), a))).otherwise(F.array(F.concat(F.lit("+"), b))))
-
-    last = F.greatest(n_old, n_new)
-    steps = F.when(last > first, F.transform(F.sequence(first, F.least(last, first + most + 1) - 1), pair)).otherwise(F.array().cast("array<array<string>>"))
-    zero = F.struct(lead.alias("lines"), F.lit(0).alias("taken"))
-
-    def take(state, step):
-        full = F.size(state["lines"]) > most
-        return F.struct(F.when(full, state["lines"]).otherwise(F.concat(state["lines"], step)).alias("lines"), (state["taken"] + (~full).cast("int")).alias("taken"))
-
-    whole = n_old.isNotNull() & ((n_old == 0) | (n_new == 0))
-    body = F.aggregate(steps, zero, take)
-    plus = F.transform(new, lambda x: F.concat(F.lit("+"), x))
-    minus = F.transform(old, lambda x: F.concat(F.lit("-"), x))
-    stop = first + body["taken"]
-    general = F.struct((start + 1).alias("old_start"), (F.least(stop, n_old) - start).alias("old_count"), (start + 1).alias("new_start"),
-                       (F.least(stop, n_new) - start).alias("new_count"), body["lines"].alias("lines"))
-    created = F.struct(F.lit(0).alias("old_start"), F.lit(0).alias("old_count"), F.lit(1).alias("new_start"), n_new.alias("new_count"), plus.alias("lines"))
-    deleted = F.struct(F.lit(1).alias("old_start"), n_old.alias("old_count"), F.lit(0).alias("new_start"), F.lit(0).alias("new_count"), minus.alias("lines"))
-    return F.when(whole & (n_old == 0) & (n_new == 0), F.lit(None)).when(n_old == 0, created).when(n_new == 0, deleted).otherwise(general)
+    pairs = F.transform(F.arrays_zip(old.alias("a"), new.alias("b")), lambda z, i: F.struct(z["a"].alias("a"), z["b"].alias("b"), i.alias("i")))
+
+    def printed(z):
+        return (F.when(z["a"] == z["b"], F.array(F.concat(F.lit(" "), z["a"])))
+                .when(z["b"].isNull(), F.array(F.concat(F.lit("-"), z["a"]))).when(z["a"].isNull(), F.array(F.concat(F.lit("+"), z["b"])))
+                .otherwise(F.array(F.concat(F.lit("-"), z["a"]), F.concat(F.lit("+"), z["b"]))))
+
+    def from_first(zipped, first):
+        start = F.greatest(first - context, F.lit(0))
+        lead = F.transform(F.slice(zipped, start + 1, first - start), lambda z: F.concat(F.lit(" "), z["a"]))
+        steps = F.transform(F.slice(zipped, first + 1, F.lit(most + 1)), printed)
+        zero = F.struct(lead.alias("lines"), F.lit(0).alias("taken"))
+
+        def take(state, step):
+            full = F.size(state["lines"]) > most
+            return F.struct(F.when(full, state["lines"]).otherwise(F.concat(state["lines"], step)).alias("lines"), (state["taken"] + (~full).cast("int")).alias("taken"))
+
+        return tx.let(F.aggregate(steps, zero, take), lambda body: hunk(
+            start + 1, F.least(first + body["taken"], n_old) - start, start + 1, F.least(first + body["taken"], n_new) - start, body["lines"]))
+
+    differs = lambda z: z["a"].isNotNull() & z["b"].isNotNull() & (z["a"] != z["b"])
+    general = tx.let(pairs, lambda zipped: tx.let(
+        F.coalesce(F.array_min(F.transform(F.filter(zipped, differs), lambda z: z["i"])), F.lit(0)), lambda first: from_first(zipped, first)))
+    return (F.when((n_old == 0) & (n_new == 0), F.lit(None)).when(n_old == 0, hunk(0, 0, 1, n_new, marked(new, "+")))
+            .when(n_new == 0, hunk(1, n_old, 0, 0, marked(old, "-"))).otherwise(general))
 
 
 def extracted(code: Column, name: str, ext: Column, form: str) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.rows import unnest_fields
+
 SCHEMA = ("array<struct<kind:string,name:string,line_start:int,line_end:int,params:string,return_type:string,docstring:string,"
           "is_async:boolean,complexity:bigint>>")
 _DECISIONS = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.Match, ast.match_case, ast.BinOp, ast.IfExp)
@@ -47,4 +49,4 @@ def python_symbols(files: DataFrame, key: str, text: str) -> DataFrame:
     def parse(sources: pd.Series) -> pd.Series:
         return sources.map(lambda s: file_symbols(s or ""))
 
-    return files.select(key, F.inline(parse(F.col(text))))
+    return unnest_fields(files, [key], parse(F.col(text)))

@@ -26,35 +26,37 @@ def review(files: DataFrame) -> DataFrame:
     Functions inside impl and trait blocks are not reviewed on their own, as only free functions are visited.
     """
     s = code.with_structure(files)
-    is_block = lambda x: x["kind"].isin("Module", "Trait")
-    blocks = F.filter("symbols", is_block)
-    s = s.withColumn("_blocks", blocks)
-    free = F.filter("symbols", lambda f: (f["kind"] == "Function") & ~F.exists(
-        F.col("_blocks"), lambda b: (f["line_start"] > b["line_start"]) & (f["line_start"] <= b["line_end"])))
 
-    def measured(f):
+    def inside(f, b):
+        return (f["line_start"] > b["line_start"]) & (f["line_start"] <= b["line_end"])
+
+    def free_functions(blocks):
+        return F.filter("symbols", lambda f: (f["kind"] == "Function") & ~F.exists(blocks, lambda b: inside(f, b)))
+
+    def with_text(f):
         text = F.array_join(F.slice("lines", f["line_start"], F.greatest(f["line_end"] - f["line_start"] + 1, F.lit(0))), "\n")
-        is_test = tx.trim(f["above"]).rlike(r"^#\[(test|tokio)")
-        return F.struct(f["name"].alias("name"), F.size(f["params"]).alias("params"), (F.regexp_count(text, F.lit(CONTROL)) + 1).alias("score"),
-                        code.control_depth(text).alias("depth"), is_test.alias("is_test"))
-
-    s = s.withColumn("_free", F.transform(free, measured))
-    impls = F.filter("_blocks", lambda b: b["kind"] == "Module")
-    sized = F.transform(impls, lambda b: F.struct(b["name"].alias("name"), F.size(F.filter(
-        F.col("symbols"), lambda f: (f["kind"] == "Function") & (f["line_start"] > b["line_start"]) & (f["line_start"] <= b["line_end"]))).alias("items")))
+        return F.struct(f["name"].alias("name"), F.size(f["params"]).alias("params"), tx.trim(f["above"]).rlike(r"^#\[(test|tokio)").alias("is_test"), text.alias("text"))
+
+    def measured(f):
+        return F.struct(f["name"].alias("name"), f["params"].alias("params"), f["is_test"].alias("is_test"),
+                        (F.regexp_count(f["text"], F.lit(CONTROL)) + 1).alias("score"), code.control_depth(f["text"]).alias("depth"))
+
+    blocks = F.filter("symbols", lambda x: x["kind"].isin("Module", "Trait"))
+    free = tx.let(blocks, lambda b: F.transform(F.transform(free_functions(b), with_text), measured))
+    impls = F.filter("symbols", lambda x: x["kind"] == "Module")
+    methods = F.filter("symbols", lambda x: x["kind"] == "Function")
+    gods = tx.let(methods, lambda fs: F.filter(F.transform(impls, lambda b: F.struct(b["name"].alias("name"), F.size(F.filter(fs, lambda f: inside(f, b))).alias("items"))),
+                                               lambda b: b["items"] > MAX_ITEMS))
     numbers = F.regexp_extract_all("content", F.lit("([A-Za-z0-9_.]+)"), F.lit(1))
     magic = F.filter(numbers, lambda w: w.rlike("^[0-9]+$") & ~w.try_cast("bigint").isin(0, 1))
-    tests = F.filter("_free", lambda f: f["is_test"])
+    tests = F.transform(F.filter("_free", lambda f: f["is_test"]), lambda f: f["name"])
     plain = F.filter("_free", lambda f: ~f["is_test"] & ~F.startswith(f["name"], F.lit("_")))
     s = (
-        s.withColumn("_tests", tests)
-        .withColumn("style", code.style_score(F.col("content")))
+        s.withColumn("_free", free).withColumn("_gods", gods).withColumn("_magic", magic).withColumn("style", code.style_score(F.col("content")))
         .withColumn("complex", F.filter("_free", lambda f: f["score"] > MAX_COMPLEXITY))
         .withColumn("deep", F.filter("_free", lambda f: f["depth"] > MAX_NESTING))
         .withColumn("_long", F.filter("_free", lambda f: f["params"] > MAX_PARAMS))
-        .withColumn("_gods", F.filter(sized, lambda b: b["items"] > MAX_ITEMS))
-        .withColumn("_magic", magic)
-        .withColumn("untested", F.filter(plain, lambda f: ~F.exists(F.col("_tests"), lambda t: F.contains(t["name"], f["name"]))))
+        .withColumn("untested", tx.let(tests, lambda ts: F.filter(plain, lambda f: ~F.exists(ts, lambda t: F.contains(t, f["name"])))))
     )
     s = s.withColumn("smells", (F.size("_long") + F.size("_gods") + F.size("_magic")).cast("bigint"))
     score = code.review_score(F.col("style"), F.size("complex") + F.size("deep"), F.col("smells"), F.size("untested"))
@@ -69,4 +71,4 @@ def review(files: DataFrame) -> DataFrame:
         F.when(F.col("style") < 80, F.array(_suggestion("Style", F.lit("Run 'cargo fmt' to fix formatting issues"), "Info"))).otherwise(none),
     )
     out = s.withColumn("score", score).withColumn("suggestions", suggestions)
-    return out.withColumn("grade", code.grade(F.col("score"))).drop("_blocks", "_free", "_tests", "_long", "_gods", "_magic")
+    return out.withColumn("grade", code.grade(F.col("score"))).drop("_free", "_long", "_gods", "_magic")

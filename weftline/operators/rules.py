@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline import fixed
 from weftline.functions import text as tx
+from weftline.operators.rows import unnest_fields
 
 
 def first_match(arms, default=None) -> Column:
@@ -208,7 +209,7 @@ def plan_tasks(plans: DataFrame, key: str, text: str) -> DataFrame:
     listed = F.filter(F.transform(tx.lines(F.col(text)), tx.trim), lambda line: line.rlike(r"^([0-9]|-|\*|Task|Step)"))
     described = F.filter(F.transform(listed, lambda line: tx.trim(F.regexp_replace(line, r"^[0-9.\-* :]+", ""))), lambda d: F.octet_length(d) > 5)
     base = plans.select(key, F.col(text).alias("_text"), described.alias("_tasks"))
-    rows = base.select(key, F.posexplode("_tasks").alias("_pos", "description"))
+    rows = unnest_fields(base, [key], F.transform("_tasks", lambda d, i: F.struct(i.alias("_pos"), d.alias("description"))))
     kind = task_type(F.col("description"))
     tasks = rows.withColumn("task_type", kind).select(
         key, (F.col("_pos") + 1).cast("bigint").alias("task_no"), "description", "task_type",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline import fixed
 from weftline.functions import text as tx
+from weftline.operators.rows import unnest_fields
 
 
 def search_pattern(needle: str, is_regex: bool = False, ignore_case: bool = False) -> str:
@@ -26,7 +27,7 @@ def grep(df: DataFrame, key: str, text: str, pattern: str, context: int = 2) ->
                                                     F.array_join(F.slice(F.col("_lines"), at + 2, F.lit(context)), "\n").alias("context_after")))
 
     hits = F.filter(F.transform(F.col("_lines"), hit), lambda h: h.isNotNull())
-    found = lined.select(key, F.inline(hits))
+    found = unnest_fields(lined, [key], hits)
     lead = F.octet_length(F.substr("line", F.lit(1), F.regexp_instr("line", F.lit(pattern)) - 1))
     return found.select("*", lead.alias("match_start"), (lead + F.octet_length(F.regexp_extract("line", pattern, 0))).alias("match_end"))
 
@@ -40,7 +41,7 @@ def rename(df: DataFrame, key: str, text: str, old: str, new: str) -> DataFrame:
     """Changed lines of a whole-word rename."""
     pattern = tx.unicode_regex(rf"\b{tx.regex_escape(old)}\b")
     lined = F.transform(tx.lines(F.col(text)), lambda line, at: F.struct((at + 1).alias("line_number"), line.alias("old_text")))
-    changed = df.select(key, F.inline(F.filter(lined, lambda s: s["old_text"].rlike(pattern))))
+    changed = unnest_fields(df, [key], F.filter(lined, lambda s: s["old_text"].rlike(pattern)))
     return changed.withColumn("new_text", F.regexp_replace("old_text", pattern, tx.literal_replacement(new)))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline import fixed
 from weftline.functions import text as tx
+from weftline.operators.rows import unnest
 
 
 def token_set(text: Column) -> Column:
@@ -42,9 +43,9 @@ def fuzzy_lookup(queries: DataFrame, key: str, text: str, cache: DataFrame, thre
     """
     side = cache.select("cached_id", "cached", F.split("cached", " ").alias("_all")).select(
         "cached_id", "cached", F.array_distinct("_all").alias("cached_tokens"))
-    side = side.withColumn("_h", F.explode(prefix(F.col("cached_tokens"), threshold)))
+    side = unnest(side, ["cached_id", "cached", "cached_tokens"], prefix(F.col("cached_tokens"), threshold), "_h")
     asked = queries.select(key, tx.normalise(F.col(text)).alias("query")).withColumn("tokens", F.array_distinct(F.split("query", " ")))
-    asked = asked.withColumn("_h", F.explode(prefix(F.col("tokens"), threshold)))
+    asked = unnest(asked, [key, "query", "tokens"], prefix(F.col("tokens"), threshold), "_h")
     met = asked.join(F.broadcast(side), "_h")
     scored = met.withColumn("similarity", jaccard(F.col("tokens"), F.col("cached_tokens"))).filter(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("cached_id", "similarity"), F.struct(F.col("query") == F.col("cached"), "similarity", "cached_id"))

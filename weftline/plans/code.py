@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline import fixed
 from weftline.functions import text as tx
 from weftline.operators import chunking, code
-from weftline.operators.rules import first_match
+from weftline.operators.rows import unnest_fields
 from weftline.plans.corpus import cte, derived
 from weftline.plans.rules import TRIM
 from weftline.plans.sqltext import any_starts, in_list, q
@@ -55,9 +55,9 @@ s1 AS (SELECT file_id, language, i, n, line, t, kind, CASE WHEN language = 'Rust
  WHEN language = 'Python' AND kind = 'Function' THEN regexp_extract(t, 'def ([^(]*)\\(', 1) WHEN language = 'Python' THEN regexp_extract(t, 'class ([^(:]*)', 1)
  WHEN kind = 'Class' THEN regexp_extract(t, 'class ([^{{ ]*)', 1) WHEN starts_with(t, 'const ') THEN 'const' ELSE trim(regexp_extract(t, 'function([^(]*)\\(', 1)) END AS name FROM s0),
 br AS (SELECT file_id, i, unnest(string_split(regexp_replace(line, '[^{{}}]', '', 'g'), '')) AS b, unnest(range(1, length(regexp_replace(line, '[^{{}}]', '', 'g')) + 1)) AS j FROM tl WHERE regexp_matches(line, '[{{}}]')),
-bd AS (SELECT s1.file_id, s1.i AS s, br.i AS at, br.b, sum(CASE WHEN b = '{{' THEN 1 ELSE -1 END) OVER w AS depth, sum(CASE WHEN b = '{{' THEN 1 ELSE 0 END) OVER w AS ups
+bd AS (SELECT s1.file_id, s1.i AS s, br.i AS pos, br.b, sum(CASE WHEN b = '{{' THEN 1 ELSE -1 END) OVER w AS depth, sum(CASE WHEN b = '{{' THEN 1 ELSE 0 END) OVER w AS ups
  FROM s1 JOIN br ON br.file_id = s1.file_id AND br.i >= s1.i WINDOW w AS (PARTITION BY s1.file_id, s1.i ORDER BY br.i, br.j)),
-be AS (SELECT file_id, s, min(at) AS e FROM bd WHERE b = '}}' AND depth = 0 AND ups > 0 GROUP BY 1, 2),
+be AS (SELECT file_id, s, min(pos) AS e FROM bd WHERE b = '}}' AND depth = 0 AND ups > 0 GROUP BY 1, 2),
 pe AS (SELECT s1.file_id, s1.i AS s, min(tl.i) - 1 AS e FROM s1 JOIN tl ON tl.file_id = s1.file_id AND tl.i > s1.i AND s1.language = 'Python' AND tl.t <> ''
  AND strlen(tl.line) - strlen(tl.t) <= strlen(s1.line) - strlen(ltrim(s1.line)) GROUP BY 1, 2),
 s2 AS (SELECT s1.*, CAST(CASE WHEN kind = 'Struct' AND contains(t, ';') THEN i WHEN language = 'Python' THEN coalesce(pe.e, n) ELSE coalesce(be.e, n) END AS BIGINT) AS line_end FROM s1
@@ -162,17 +162,22 @@ def doc_coverage(spark, sf):
 SELECT * FROM c UNION ALL SELECT file_id, 'file', 1, CAST(len(ls) AS INTEGER), 'file chunk (lines 1-' || len(ls) || ', ' || len(ls) || ' lines)', md5(content) FROM ls WHERE file_id NOT IN (SELECT file_id FROM c)""")
 def symbol_chunks(spark, sf):
     """Chunks by symbol for languages with a symbol extractor in use, else by line windows."""
-    files = _files(spark, sf)
-    known = F.col("language").isin("Rust", "Python")
-    s = code.with_structure(files.filter(known))
-    text = F.array_join(F.slice("lines", F.col("x.line_start"), F.greatest(F.col("x.line_end") - F.col("x.line_start") + 1, F.lit(0))), "\n")
-    kind = F.lower("x.kind")
-    label = F.concat(kind, F.lit(" `"), F.col("x.name"), F.lit("` (lines "), F.col("x.line_start").cast("string"), F.lit("-"), F.col("x.line_end").cast("string"), F.lit("): No documentation"))
-    chunks = s.select("file_id", "lines", F.explode("symbols").alias("x")).select(
-        "file_id", kind.alias("chunk_type"), "x.line_start", "x.line_end", label.alias("summary"), F.md5(text).alias("text_md5"))
-    rest = s.filter(F.size("symbols") == 0).select("file_id", "content").unionByName(files.filter(~known).select("file_id", "content"))
-    by_line = chunking.line_chunks(rest, "file_id", "content").select("file_id", F.lit("file").alias("chunk_type"), "line_start", "line_end", "summary", F.md5("text").alias("text_md5"))
-    return chunks.unionByName(by_line)
+    s = code.with_structure(_files(spark, sf))
+
+    def piece(x):
+        text = F.array_join(F.slice("lines", x["line_start"], F.greatest(x["line_end"] - x["line_start"] + 1, F.lit(0))), "\n")
+        kind = F.lower(x["kind"])
+        span = F.concat(F.lit("` (lines "), x["line_start"].cast("string"), F.lit("-"), x["line_end"].cast("string"), F.lit("): No documentation"))
+        return F.struct(kind.alias("chunk_type"), x["line_start"].alias("line_start"), x["line_end"].alias("line_end"), F.concat(kind, F.lit(" `"), x["name"], span).alias("summary"),
+                        F.md5(text).alias("text_md5"))
+
+    def by_line(x):
+        summary = chunking.chunk_summary("file", x["line_start"], x["line_end"], x["line_end"] - x["line_start"] + 1)
+        return F.struct(F.lit("file").alias("chunk_type"), x["line_start"].alias("line_start"), x["line_end"].alias("line_end"), summary.alias("summary"), F.md5(x["text"]).alias("text_md5"))
+
+    by_symbol = F.col("language").isin("Rust", "Python") & (F.size("symbols") > 0)
+    pieces = F.when(by_symbol, F.transform("symbols", piece)).otherwise(F.transform(chunking.line_pieces(F.col("content"), F.col("lines")), by_line))
+    return unnest_fields(s, ["file_id"], pieces)
 
 
 _REVIEW_KEYWORD = "regexp_extract_all(block, '\\b(if|match|while|loop|for)\\b')"
@@ -184,7 +189,7 @@ top AS (SELECT r.* FROM r WHERE kind = 'Function' AND (file_id, line_start) NOT
 cx AS (SELECT file_id, count(*) FILTER (1 + len({_REVIEW_KEYWORD}) > 10) AS complex_issues FROM top GROUP BY file_id),
 pm AS (SELECT file_id, count(*) FILTER (len(string_split(params, '; ')) > 5) AS long_params FROM top GROUP BY file_id),
 gc AS (SELECT m.file_id, m.line_start, count(*) AS items FROM r m JOIN r f ON f.file_id = m.file_id AND m.kind = 'Module' AND f.kind = 'Function' AND f.line_start > m.line_start AND f.line_start <= m.line_end GROUP BY 1, 2),
-mg AS (SELECT file_id, len(list_filter(regexp_extract_all(content, '[A-Za-z0-9_.]+'), lambda w: regexp_matches(w, '^[0-9]+$') AND CAST(w AS BIGINT) NOT IN (0, 1))) AS magic FROM ls WHERE language = 'Rust'),
+mg AS (SELECT file_id, len(list_filter(regexp_extract_all(content, '[A-Za-z0-9_.]+'), lambda w: regexp_matches(w, '^[0-9]+$') AND TRY_CAST(w AS BIGINT) NOT IN (0, 1))) AS magic FROM ls WHERE language = 'Rust'),
 ts AS (SELECT file_id, name FROM top WHERE regexp_matches(trim(above), '^#\\[(test|tokio)')), pl AS (SELECT file_id, name, line_start FROM top WHERE NOT regexp_matches(trim(above), '^#\\[(test|tokio)') AND NOT starts_with(name, '_')),
 un AS (SELECT pl.file_id, count(*) AS untested FROM pl WHERE NOT EXISTS (SELECT 1 FROM ts WHERE ts.file_id = pl.file_id AND contains(ts.name, pl.name)) GROUP BY 1),
 st AS (SELECT file_id, greatest(0, 100 - len(list_filter(ls, lambda x: ends_with(x, ' ') OR ends_with(x, chr(9)))) - len(list_filter(ls, lambda x: strlen(x) > 100))) AS style FROM ls WHERE language = 'Rust'),
@@ -207,16 +212,20 @@ def review_suggestions(spark, sf):
     from weftline.operators.review import review
 
     r = review(_files(spark, sf).filter(F.col("language") == "Rust"))
-    return r.select("file_id", F.inline("suggestions"))
+    return unnest_fields(r, ["file_id"], "suggestions")
 
 
 @query("control_nesting", "CD10")
 def control_nesting(spark, sf):
     """Functions whose control blocks nest deeper than four."""
     s = code.with_structure(_files(spark, sf).filter(F.col("language") == "Rust"))
-    text = F.array_join(F.slice("lines", F.col("x.line_start"), F.col("x.line_end") - F.col("x.line_start") + 1), "\n")
-    f = s.select("file_id", "lines", F.explode("symbols").alias("x")).filter("x.kind = 'Function'").select("file_id", "x.name", code.control_depth(text).alias("depth"))
-    return f.withColumn("too_deep", F.col("depth") > 4)
+
+    def measured(x):
+        text = F.array_join(F.slice("lines", x["line_start"], F.greatest(x["line_end"] - x["line_start"] + 1, F.lit(0))), "\n")
+        return F.struct(x["name"].alias("name"), code.control_depth(text).alias("depth"))
+
+    functions = F.filter("symbols", lambda x: x["kind"] == "Function")
+    return unnest_fields(s, ["file_id"], F.transform(functions, measured)).withColumn("too_deep", F.col("depth") > 4)
 
 
 def _snapshots(spark, sf):
