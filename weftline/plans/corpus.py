@@ -277,6 +277,23 @@ STATUSES = [
     "?? draft<<o_orderkey>>.md", "R  moved<<o_orderkey>>", "C  copied<<o_orderkey>>", " D lost<<o_orderkey>>", "UU clash<<o_orderkey>>", "x",
 ]
 
+BRANCHES = [
+    """* main <<md5(CAST(s_suppkey AS STRING))>> last work
+  feature/x<<s_suppkey>> 1a2b3c4 other
+  remotes/origin/main 5d6e7f8 far""",
+    "  only<<s_suppkey>>",
+]
+
+STREAM_LINES = [
+    '{"model":"m","created_at":"t","message":{"role":"assistant","content":"w<<event_id>> "},"done":false}',
+    '{"model":"m","created_at":"t","message":{"role":"assistant","content":"<think>"},"done":false}',
+    '{"model":"m","created_at":"t","message":{"role":"assistant","content":"x<<value>>"},"done":true}',
+    '{"model":"m","created_at":"t","message":{"role":"assistant","content":"</think>"},"done":false}',
+    '{broken <<event_id>>', '', '{"model":"m","created_at":"t","message":{"role":"assistant","content":""},"done":false}',
+]
+
+PAGES = ["<<html>>", '{"page": <<page_id>>, "tags": ["a", "b"]}', "[1, <<page_id>>]", "not json {<<page_id>>}"]
+
 TEST_RUNS = [
     """running 3 tests
 test a::t<<p_partkey>> ... ok
@@ -399,6 +416,9 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
     "git_log": ("orders", {"row_id": "o_orderkey", "line": template(
         "<<md5(CAST(o_orderkey AS STRING))>>|<<substr(md5(CAST(o_orderkey AS STRING)), 1, 7)>>|Ann <<o_custkey>>|a<<o_custkey>>@x.org|2024-01-0<<o_orderkey % 9 + 1>>|fix <<o_orderkey>>")
         + f" || (CASE WHEN o_orderkey % 3 = 0 THEN {template(' | with bar')} ELSE '' END)"}),
+    "git_branches": ("supplier", {"row_id": "s_suppkey", "output": choose("s_suppkey", BRANCHES)}),
+    "stream_lines": ("events", {"event_id": "event_id", "user_id": "user_id", "ts": "ts", "line": choose("event_id", STREAM_LINES)}),
+    "responses": ("pages", {"page_id": "page_id", "url": "url", "body": choose("page_id", PAGES)}),
     "test_runs": ("part", {"run_id": _K, "framework": "(CASE p_partkey % 4 WHEN 0 THEN 'cargo' WHEN 1 THEN 'pytest' WHEN 2 THEN 'go' ELSE 'jest' END)",
                            "output": choose("p_partkey", TEST_RUNS)}),
     "compiler_runs": ("part", {"run_id": _K, "output": choose("p_partkey", COMPILER_RUNS)}),
