@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
+from weftline.functions.text import WS_CHARS
 from weftline.operators.rows import unnest, unnest_fields
 
 SPANS = "array<struct<chunk_no:bigint,start_byte:int,end_byte:int,text:string>>"
@@ -46,7 +47,7 @@ def byte_windows(text: str, limit: int, overlap: int) -> list[tuple[int, int, st
             stop = mark + 1 if mark >= 0 else stop
         if stop <= at:
             stop = ahead(at + 1)
-        piece = raw[at:stop].decode("utf-8").strip(tx.WS_CHARS)
+        piece = raw[at:stop].decode("utf-8").strip(WS_CHARS)
         if piece:
             out.append((at, stop, piece))
         resume = back(stop - overlap) if overlap < stop - at else stop
