@@ -66,7 +66,7 @@ def related_files(spark, sf):
 
 
 @query("priority_boost", "VR17 CL21", f"""WITH {cte("src_files", "changes")}, c AS (SELECT path, {cases([(f"line = '{k}'", str(p)) for k, (_, p) in fixed.WORKTREE_CODES.items()])} AS priority, nth FROM changes)
-SELECT s.file_id, round(CASE WHEN c.priority IS NOT NULL THEN c.priority * 0.3 WHEN c.nth % 5 = 0 THEN 0.15 ELSE 0.0 END, 6) AS boost FROM src_files s LEFT JOIN c ON c.path = s.path""")
+SELECT s.file_id, round(CAST(CASE WHEN c.priority IS NOT NULL THEN c.priority * 0.3 WHEN c.nth % 5 = 0 THEN 0.15 ELSE 0.0 END AS DOUBLE), 6) AS boost FROM src_files s LEFT JOIN c ON c.path = s.path""")
 def priority_boost(spark, sf):
     """Uncommitted changes weigh 0.3 times their priority, recently touched files 0.15."""
     c = derived(spark, sf, "changes")
