@@ -32,7 +32,7 @@ def trim(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """White-space separated words, none empty."""
-    return F.filter(F.split(text, f"{WS}+"), lambda w: w != "")
+    return F.array_remove(F.split(text, f"{WS}+"), "")
 
 
 def normalise(text: Column) -> Column:
@@ -106,7 +106,7 @@ def fold(text: Column) -> Column:
 
 def terms(text: Column) -> Column:
     """Folded full-text terms: maximal runs of letters and digits."""
-    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(fold(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def blank_to_null(text: Column) -> Column:

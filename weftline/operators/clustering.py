@@ -8,6 +8,7 @@ cell is split further by id. Up to one block the result is the sequential one; b
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,11 +18,12 @@ from pyspark.sql import functions as F
 
 from weftline.functions import vectors as vx
 from weftline.operators.retrieval import centroids
-from weftline.operators.sizing import small_or_shuffled
+from weftline.operators.sizing import BROADCAST_ROWS, small_or_shuffled
 from weftline.session import cut_lineage
 
 BLOCK_ROWS = 5_000
 CHILDREN_FOLLOWED = 3
+LEVEL_STEP = 10**15
 
 
 def greedy(vectors: np.ndarray, threshold: float) -> np.ndarray:
@@ -64,16 +66,28 @@ def _with_blocks(df: DataFrame, rows: int, block_rows: int) -> DataFrame:
     return celled.join(crowd, "_cell").withColumn("block", F.xxhash64("_cell", part)).drop("_cell", "_parts")
 
 
-def cluster(df: DataFrame, threshold: float, rows: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(block, cluster_no, id)`` for ``df(id bigint, vec array<double>)``, taken in id order within a block."""
+PLACED = "block bigint, parent bigint, child bigint, vec array<double>, centroid array<double>"
+
+
+def cluster(df: DataFrame, threshold: float, rows: int, level: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(block, parent, child, vec, centroid)`` for ``df(id bigint, vec array<double>)``, taken in id order within a block.
+
+    A parent is named after its level and its lowest member, whose row carries the centroid.
+    """
 
     def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        homes = greedy(np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]]), threshold)
-        return pd.DataFrame({"block": pdf["block"], "cluster_no": homes, "id": pdf["id"]})
+        pdf = pdf.sort_values("id", ignore_index=True)
+        vectors = np.stack([np.asarray(v, dtype=np.float64) for v in pdf["vec"]])
+        homes = greedy(vectors, threshold)
+        _, heads = np.unique(homes, return_index=True)
+        ids = pdf["id"].to_numpy()
+        means: list = [None] * len(pdf)
+        for home, head in enumerate(heads):
+            means[head] = vectors[homes == home].mean(axis=0)
+        return pd.DataFrame({"block": pdf["block"], "parent": ids[heads][homes] % LEVEL_STEP + level * LEVEL_STEP, "child": ids, "vec": pdf["vec"], "centroid": means})
 
     blocked = _with_blocks(df.select("id", "vec"), rows, block_rows)
-    return blocked.groupBy("block").applyInPandas(assign, "block bigint, cluster_no bigint, id bigint")
+    return blocked.groupBy("block").applyInPandas(assign, PLACED)
 
 
 def build_tree(df: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -83,26 +97,23 @@ def build_tree(df: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) ->
     root covers the whole level. Every level is stored, so losing an executor repeats one level at most.
     """
     current = cut_lineage(df.select("id", F.lit(0).alias("level"), F.transform("vec", lambda x: x.cast("double")).alias("vec")), "level0")
-    all_nodes, all_edges, level, rows = current, None, 0, current.count()
+    nodes, edges, level, rows = [current], [], 0, current.count()
     while rows > 1:
         level += 1
-        homes = cut_lineage(cluster(current, threshold, rows, block_rows), f"homes{level}")
-        groups = homes.select("block", "cluster_no").distinct().count()
+        placed = cut_lineage(cluster(current, threshold, rows, level, block_rows), f"placed{level}")
+        heads = placed.filter(F.col("centroid").isNotNull())
+        groups = heads.count()
+        current = heads.select(F.col("parent").alias("id"), F.lit(level).alias("level"), F.col("centroid").alias("vec"))
         if groups == rows:
-            homes = homes.withColumn("block", F.lit(0).cast("bigint")).withColumn("cluster_no", F.lit(0).cast("bigint"))
-            groups = 1
-        # A parent is named after its level and its lowest member.
-        members = homes.join(current.select("id", "vec"), "id")
-        heads = homes.groupBy("block", "cluster_no").agg((F.min(F.pmod(F.col("id"), F.lit(10**15))) + level * 10**15).alias("parent"))
-        placed = cut_lineage(members.join(heads, ["block", "cluster_no"]).select("parent", F.col("id").alias("child"), "vec"), f"placed{level}")
-        edges = placed.select("parent", "child", F.lit(level).alias("level"))
-        current = cut_lineage(centroids(placed, "parent", "vec").select(F.col("parent").alias("id"), F.lit(level).alias("level"), F.col("centroid").alias("vec")), f"level{level}")
-        all_nodes = all_nodes.unionByName(current)
-        all_edges = edges if all_edges is None else all_edges.unionByName(edges)
+            placed = placed.withColumn("parent", F.lit(level * LEVEL_STEP))
+            root = centroids(placed, "parent", "vec").select(F.col("parent").alias("id"), F.lit(level).alias("level"), F.col("centroid").alias("vec"))
+            current, groups = cut_lineage(root, "root"), 1
+        nodes.append(current)
+        edges.append(placed.select("parent", "child", F.lit(level).alias("level")))
         rows = groups
-    if all_edges is None:
-        all_edges = current.select(F.col("id").alias("parent"), F.col("id").alias("child"), "level").filter(F.lit(False))
-    return all_nodes, all_edges
+    if not edges:
+        edges = [current.select(F.col("id").alias("parent"), F.col("id").alias("child"), "level").filter(F.lit(False))]
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
 
 
 def with_parents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -127,7 +138,10 @@ def tree_search(nodes: DataFrame, edges: DataFrame, queries: dict[int, list[floa
         F.explode(F.array(*[F.lit(q).cast("bigint") for q in queries])).alias("query_id"), F.col("id"), F.lit("").alias("path"), "vec")
     frontier = frontier.withColumn("similarity", vx.cosine(F.col("vec"), asked[F.col("query_id")])).drop("vec")
     for level in range(top, 0, -1):
-        here = small_or_shuffled(frontier.select("query_id", F.col("id").alias("parent"), "path"), f"frontier{level}")
+        here = frontier.select("query_id", F.col("id").alias("parent"), "path")
+        # The frontier grows threefold per level at most, which bounds it before anything runs.
+        if len(queries) * CHILDREN_FOLLOWED ** (top - level) <= BROADCAST_ROWS:
+            here = F.broadcast(here)
         below = edges.filter(F.col("level") == level).join(here, "parent").withColumnRenamed("child", "id")
         scored = nodes.filter(F.col("level") == level - 1).select("id", "vec").join(below, "id")
         scored = scored.withColumn("similarity", vx.cosine(F.col("vec"), asked[F.col("query_id")])).drop("vec")

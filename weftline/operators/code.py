@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline import fixed
 from weftline.functions import text as tx
-from weftline.operators.rows import unnest, unnest_fields
+from weftline.operators.rows import unnest_fields
 
 SYMBOL = ("struct<kind:string,name:string,visibility:string,params:array<string>,return_type:string,line_start:int,line_end:int,"
           "complexity:bigint,head:string,above:string>")
@@ -206,37 +206,37 @@ def imports(files: DataFrame, key: str) -> DataFrame:
 
 
 def issues(files: DataFrame, key: str) -> DataFrame:
-    """Lint issues ``(key, severity, rule, line, message)``."""
+    """Lint issues ``(key, severity, rule, line, message)``, all from one pass over the structure."""
     s = with_structure(files)
-    name, size = F.col("s.name"), F.col("s.line_end") - F.col("s.line_start")
-    functions = unnest(s, [key], "symbols", "s").filter(F.col("s.kind") == "Function")
-    long_one = functions.filter(size > 50).select(
-        key, F.lit("Warning").alias("severity"), F.lit("long-function").alias("rule"), F.col("s.line_start").alias("line"),
-        F.concat(F.lit("Function '"), name, F.lit("' is too long ("), size.cast("string"), F.lit(" lines)")).alias("message"))
-    complex_one = functions.filter(F.col("s.complexity") > 10).select(
-        key, F.lit("Warning").alias("severity"), F.lit("high-complexity").alias("rule"), F.col("s.line_start").alias("line"),
-        F.concat(F.lit("Function '"), name, F.lit("' has high complexity ("), F.col("s.complexity").cast("string"), F.lit(")")).alias("message"))
     language = F.col("language")
-    rules = [
-        (lambda x: tx.contains_any(x, ["TODO", "FIXME", "HACK"]), "Info", "todo-comment", lambda x: F.concat(F.lit("Found TODO/FIXME comment: "), tx.trim(x))),
-        (lambda x: (language == "Rust") & F.contains(x, F.lit("unwrap()")) & ~F.contains(x, F.lit("// ")), "Hint", "unwrap-used",
-         lambda x: F.lit("Consider handling the error instead of unwrap()")),
-        (lambda x: language.isin("JavaScript", "TypeScript") & F.contains(x, F.lit("console.log")), "Hint", "no-console",
-         lambda x: F.lit("Remove console.log before production")),
-    ]
 
-    def at_line(line, at):
-        return F.array(*[F.when(test(line), F.struct(F.lit(sev).alias("severity"), F.lit(rule).alias("rule"), (at + 1).alias("line"), say(line).alias("message")))
-                         for test, sev, rule, say in rules])
+    def issue(severity, rule, line, message):
+        return F.struct(F.lit(severity).alias("severity"), F.lit(rule).alias("rule"), line.alias("line"), message.alias("message"))
 
-    found = F.array_compact(F.flatten(F.transform(tx.lines(F.col("content")), at_line)))
-    return long_one.unionByName(complex_one).unionByName(unnest_fields(files, [key], found))
+    def of_symbol(x):
+        size = x["line_end"] - x["line_start"]
+        function = x["kind"] == "Function"
+        too_long = F.concat(F.lit("Function '"), x["name"], F.lit("' is too long ("), size.cast("string"), F.lit(" lines)"))
+        too_complex = F.concat(F.lit("Function '"), x["name"], F.lit("' has high complexity ("), x["complexity"].cast("string"), F.lit(")"))
+        return F.array(F.when(function & (size > 50), issue("Warning", "long-function", x["line_start"], too_long)),
+                       F.when(function & (x["complexity"] > 10), issue("Warning", "high-complexity", x["line_start"], too_complex)))
+
+    def of_line(x, at):
+        unwraps = (language == "Rust") & F.contains(x, F.lit("unwrap()")) & ~F.contains(x, F.lit("// "))
+        logs = language.isin("JavaScript", "TypeScript") & F.contains(x, F.lit("console.log"))
+        return F.array(
+            F.when(tx.contains_any(x, ["TODO", "FIXME", "HACK"]), issue("Info", "todo-comment", at + 1, F.concat(F.lit("Found TODO/FIXME comment: "), tx.trim(x)))),
+            F.when(unwraps, issue("Hint", "unwrap-used", at + 1, F.lit("Consider handling the error instead of unwrap()"))),
+            F.when(logs, issue("Hint", "no-console", at + 1, F.lit("Remove console.log before production"))))
+
+    found = F.concat(F.flatten(F.transform("symbols", of_symbol)), F.flatten(F.transform("lines", of_line)))
+    return unnest_fields(s, [key], F.array_compact(found))
 
 
 def calls(content: Column) -> Column:
     """Sorted distinct names followed by an opening parenthesis."""
     names = F.regexp_extract_all(content, F.lit(r"([a-zA-Z_][a-zA-Z0-9_]*)\s*\("), F.lit(1))
-    return F.array_sort(F.array_distinct(F.filter(names, lambda n: ~n.isin(fixed.CALL_EXCLUSIONS))))
+    return F.sort_array(F.array_distinct(F.filter(names, lambda n: ~n.isin(fixed.CALL_EXCLUSIONS))))
 
 
 def local_names(content: Column, language: Column) -> Column:

@@ -34,12 +34,12 @@ def replay(ops: DataFrame, session: str, order: list[str], op: str, bucket: Colu
     step_of = F.create_map(*[x for name, row in table.items() for x in (F.lit(name), F.lit(row))])
     keep = [c for c in ops.columns if c not in (session, op)]
     item = F.struct(*[F.col(c) for c in order], F.col(op).alias("_op"), F.struct(*keep).alias("_rest"))
-    runs = ops.withColumn("_bucket", bucket).groupBy(session, "_bucket").agg(F.array_sort(F.collect_list(item)).alias("_ops"))
+    runs = ops.withColumn("_bucket", bucket).groupBy(session, "_bucket").agg(F.sort_array(F.collect_list(item)).alias("_ops"))
     same = F.lit(list(range(len(positions(limit)))))
     effect = F.aggregate(F.transform("_ops", lambda o: step_of[o["_op"]]), same, lambda at, move: F.transform(at, lambda p: F.element_at(move, p + 1)))
     runs = runs.withColumn("_effect", effect)
 
-    chain = runs.groupBy(session).agg(F.array_sort(F.collect_list(F.struct("_bucket", "_effect"))).alias("_chain"))
+    chain = runs.groupBy(session).agg(F.sort_array(F.collect_list(F.struct("_bucket", "_effect"))).alias("_chain"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     walked = F.aggregate("_chain", zero, lambda s, c: F.struct(F.element_at(c["_effect"], s["at"] + 1).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")))
     starts = chain.select(session, F.explode_outer(F.arrays_zip(F.transform("_chain", lambda c: c["_bucket"]).alias("_bucket"), walked["starts"].alias("_start"))).alias("_s"))

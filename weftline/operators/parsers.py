@@ -62,12 +62,15 @@ def git_diff_hunks(outputs: DataFrame, key: str, output: str) -> DataFrame:
         def of_hunk(text, at):
             head = F.substring_index(text, "\n", 1)
             body = F.when(F.contains(text, F.lit("\n")), F.substr(text, F.length(head) + 2)).otherwise("")
-            rows = tx.lines(body)
-            added = F.filter(rows, lambda x: F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++")))
-            gone = F.filter(rows, lambda x: F.startswith(x, F.lit("-")) & ~F.startswith(x, F.lit("---")))
             (os, ol), (ns, nl) = _range(head, "-"), _range(head, "+")
-            return F.struct(path.alias("path"), (at + 1).alias("hunk_no"), os.alias("old_start"), ol.alias("old_lines"), ns.alias("new_start"), nl.alias("new_lines"),
-                            F.size(added).alias("additions"), F.size(gone).alias("deletions"), F.array_join(rows, "\n").alias("content"))
+
+            def counted(rows):
+                added = F.filter(rows, lambda x: F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++")))
+                gone = F.filter(rows, lambda x: F.startswith(x, F.lit("-")) & ~F.startswith(x, F.lit("---")))
+                return F.struct(path.alias("path"), (at + 1).alias("hunk_no"), os.alias("old_start"), ol.alias("old_lines"), ns.alias("new_start"), nl.alias("new_lines"),
+                                F.size(added).alias("additions"), F.size(gone).alias("deletions"), F.array_join(rows, "\n").alias("content"))
+
+            return tx.let(tx.lines(body), counted)
 
         return F.transform(hunks, of_hunk)
 

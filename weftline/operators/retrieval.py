@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from weftline import fixed
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
+from weftline.operators.rows import worked_out
 
 BM25_K1, BM25_B, BM25_IDF_FLOOR = 1.2, 0.75, 1e-6
 
@@ -93,7 +94,7 @@ def centroids(df: DataFrame, key: str, vector: str) -> DataFrame:
     """Element-wise mean per key, combined before the shuffle."""
     cells = df.select(key, F.posexplode_outer(vector).alias("pos", "value")).filter(F.col("pos").isNotNull())
     means = cells.groupBy(key, "pos").agg(F.avg(F.col("value").cast("double")).alias("value"))
-    return means.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("centroid"))
+    return means.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "value"))), lambda s: s["value"]).alias("centroid"))
 
 
 def bm25(docs: DataFrame, key: str, text: Column, terms: list[str]) -> DataFrame:
@@ -104,12 +105,12 @@ def bm25(docs: DataFrame, key: str, text: Column, terms: list[str]) -> DataFrame
     names = [f"_tf{i}" for i in range(len(terms))]
 
     def frequency(tokens, word):
-        return F.size(F.filter(tokens, lambda x: x == F.lit(word)))
+        return F.size(tokens) - F.size(F.array_remove(tokens, word))
 
     def counts(tokens):
         return F.struct(F.size(tokens).alias("dl"), *[frequency(tokens, w).alias(n) for n, w in zip(names, terms)])
 
-    counted = docs.select(key, tx.let(tx.terms(text), counts).alias("_c")).select(key, "_c.*")
+    counted = worked_out(docs, [key], tx.let(tx.terms(text), counts), "_c").select(key, "_c.*")
     stats = counted.agg(F.struct(
         F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(n) > 0).alias(n) for n in names])).scalar()
     held = counted.filter(" AND ".join(f"{n} > 0" for n in names)).withColumn("_s", stats)

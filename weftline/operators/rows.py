@@ -16,6 +16,14 @@ def unnest(df: DataFrame, keep: list, items: Column | str, name: str = "_item")
     return rows.filter(F.col(name).isNotNull())
 
 
+def worked_out(df: DataFrame, keep: list, value: Column, name: str) -> DataFrame:
+    """``keep`` and one costly column, worked out once per row.
+
+    A filter on a plain computed column is pushed below it and works it out again; it cannot pass a generator.
+    """
+    return df.select(*keep, F.explode_outer(F.array(value)).alias(name))
+
+
 def unnest_fields(df: DataFrame, keep: list, items: Column | str) -> DataFrame:
     """As ``unnest`` for an array of structs, with the fields as columns."""
     rows = unnest(df, keep, items, "_item")

@@ -93,9 +93,9 @@ def intent(request: Column) -> Column:
     return by_keywords(F.lower(request), fixed.INTENTS, "Chat")
 
 
-def first_pattern(text: Column, patterns, group: int = 0) -> Column:
-    """Match of the first pattern that occurs, else null."""
-    return F.coalesce(*[tx.blank_to_null(F.regexp_extract(text, p, group)) for p in patterns])
+def first_pattern(text: Column, patterns) -> Column:
+    """Match of the first (pattern, literal it needs) that occurs, else null; the literal spares most texts the regex."""
+    return F.coalesce(*[F.when(F.contains(text, F.lit(needs)), tx.blank_to_null(F.regexp_extract(text, p, 0))) for p, needs in patterns])
 
 
 def plan_confidence(label: Column, has_path: Column) -> Column:
@@ -128,7 +128,7 @@ def message_path(message: Column) -> Column:
         lambda m: F.contains(m, F.lit("/")) | (m == "src") | (m == "."),
     )
     return F.coalesce(
-        tx.blank_to_null(F.regexp_extract(message, tx.unicode_regex(fixed.MESSAGE_PATHS[0]), 0)),
+        F.when(F.contains(message, F.lit(".")), tx.blank_to_null(F.regexp_extract(message, tx.unicode_regex(fixed.MESSAGE_PATHS[0]), 0))),
         tx.blank_to_null(F.regexp_extract(message, tx.unicode_regex(fixed.MESSAGE_PATHS[1]), 1)),
         F.try_element_at(slashed, F.lit(1)),
     )

@@ -23,11 +23,11 @@ def jaccard(a: Column, b: Column) -> Column:
 def prefix(tokens: Column, threshold: float) -> Column:
     """Hashes of which two sets of at least ``threshold`` similarity must share one.
 
-    Both sides order tokens by the same hash; the leading n - ceil(threshold * n) + 1 of either set must meet.
+    Both sides order tokens alike, long words first as they are rare; the leading n - ceil(threshold * n) + 1 must meet.
     """
-    hashes = F.array_sort(F.transform(tokens, lambda t: F.xxhash64(t)))
+    ordered = F.sort_array(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), F.xxhash64(t).alias("h"))))
     n = F.size(tokens)
-    return F.slice(hashes, 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
+    return F.transform(F.slice(ordered, 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")), lambda s: s["h"])
 
 
 def cached_texts(df: DataFrame, key: str, text: str, capacity: int = fixed.FUZZY_CACHE) -> DataFrame:
@@ -46,7 +46,9 @@ def fuzzy_lookup(queries: DataFrame, key: str, text: str, cache: DataFrame, thre
     side = unnest(side, ["cached_id", "cached", "cached_tokens"], prefix(F.col("cached_tokens"), threshold), "_h")
     asked = queries.select(key, tx.normalise(F.col(text)).alias("query")).withColumn("tokens", F.array_distinct(F.split("query", " ")))
     asked = unnest(asked, [key, "query", "tokens"], prefix(F.col("tokens"), threshold), "_h")
-    met = asked.join(F.broadcast(side), "_h")
+    # Similar sets also have similar sizes.
+    sizes = (F.size("tokens") >= F.size("cached_tokens") * threshold) & (F.size("cached_tokens") >= F.size("tokens") * threshold)
+    met = asked.join(F.broadcast(side), "_h").filter(sizes)
     scored = met.withColumn("similarity", jaccard(F.col("tokens"), F.col("cached_tokens"))).filter(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("cached_id", "similarity"), F.struct(F.col("query") == F.col("cached"), "similarity", "cached_id"))
     return scored.groupBy(key).agg(best.alias("_best")).select(key, "_best.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weftline import fixed
 from weftline.functions import text as tx
 from weftline.operators import chunking, code
-from weftline.operators.rows import unnest_fields
+from weftline.operators.rows import unnest_fields, worked_out
 from weftline.plans.corpus import cte, derived
 from weftline.plans.rules import TRIM
 from weftline.plans.sqltext import any_starts, in_list, q
@@ -257,7 +257,7 @@ h AS (SELECT doc_id, '@@ -' || start || ',' || (least(last, no) - start + 1) ||
 SELECT doc_id, '--- a/' || doc_id || chr(10) || '+++ b/' || doc_id || chr(10) || diff || chr(10) AS diff FROM h""")
 def diff_text(spark, sf):
     d = _snapshots(spark, sf).select("doc_id", tx.lines(F.col("old")).alias("o"), tx.lines(F.col("new")).alias("n"))
-    h = d.select("doc_id", code.diff_hunk(F.col("o"), F.col("n")).alias("h")).filter(F.col("h").isNotNull())
+    h = worked_out(d, ["doc_id"], code.diff_hunk(F.col("o"), F.col("n")), "h").filter(F.col("h").isNotNull())
     key = F.col("doc_id").cast("string")
     head = F.format_string("@@ -%d,%d +%d,%d @@", "h.old_start", "h.old_count", "h.new_start", "h.new_count")
     return h.select("doc_id", F.concat(F.lit("--- a/"), key, F.lit("\n+++ b/"), key, F.lit("\n"), head, F.lit("\n"), F.array_join("h.lines", "\n"), F.lit("\n")).alias("diff"))

@@ -95,10 +95,10 @@ def planning_context(spark, sf):
     asked = retrieval.query_vectors(emb, "vec_id", "embedding", [0, 1, 2, 3, 4])
     hits = retrieval.top_k(emb, "vec_id", "embedding", asked, 12).select("query_id", "rank", F.col("vec_id").alias("doc_id"))
     found = docs.select("doc_id", F.substring("text", 1, 800).alias("text")).join(F.broadcast(hits), "doc_id")
-    listed = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("l"))
+    listed = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("l"))
     body = F.array_join(F.transform("l", lambda x: F.concat(F.lit("• "), x["text"], F.lit("\n"))), "")
     first = docs.select("doc_id", F.substring("text", 1, 1200).alias("text")).orderBy("doc_id").limit(5)
-    extra = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n---\n")).scalar()
+    extra = first.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n---\n")).scalar()
     c = listed.select("query_id", F.concat(F.lit("Fragmentos de código relevantes:\n"), body).alias("ctx")).withColumn("extra", extra)
     more = F.concat("ctx", F.lit("\nContexto adicional del proyecto:\n"), "extra")
     return c.select("query_id", F.when(F.length("ctx") < 1000, more).otherwise(F.col("ctx")).alias("context"))
@@ -119,7 +119,7 @@ def collected_context(spark, sf):
         return F.when(F.length(c) > 0, F.concat(F.regexp_replace(c, "(?m)^", "  "), F.lit("\n"))).otherwise("")
 
     shown = F.concat(indented(F.col("context_before")), F.lit("  "), F.col("line_number").cast("string"), F.lit(": "), F.col("line"), F.lit("\n"), indented(F.col("context_after")), F.lit("\n"))
-    g = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", shown.alias("s")))), lambda x: x["s"]), "").alias("body"))
+    g = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_number", shown.alias("s")))), lambda x: x["s"]), "").alias("body"))
     return g.select("doc_id", F.concat(F.lit("Archivo: "), F.col("doc_id").cast("string"), F.lit("\n"), "body", F.lit("---")).alias("snippet"))
 
 
@@ -149,7 +149,7 @@ a AS (SELECT plan_id, k, d FROM n UNION ALL SELECT plan_id, 1, analysis FROM tas
 SELECT plan_id, '# Plan: ' || plan_id || chr(10) || chr(10) || '## Tasks:' || chr(10) || string_agg(k || '. ' || d, chr(10) ORDER BY k) AS markdown FROM a GROUP BY plan_id""")
 def plan_markdown(spark, sf):
     t = rules.plan_tasks(derived(spark, sf, "task_plans"), "plan_id", "analysis")
-    g = t.groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("task_no", "description"))).alias("l"))
+    g = t.groupBy("plan_id").agg(F.sort_array(F.collect_list(F.struct("task_no", "description"))).alias("l"))
     lines = F.array_join(F.transform("l", lambda x: F.concat(x["task_no"].cast("string"), F.lit(". "), x["description"])), "\n")
     return g.select("plan_id", F.concat(F.lit("# Plan: "), F.col("plan_id").cast("string"), F.lit("\n\n## Tasks:\n"), lines).alias("markdown"))
 

@@ -436,7 +436,7 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
 
 
 # Inputs of row-local work heavy enough to be worth rebalancing.
-COSTLY = {"src_files", "requests", "commands", "task_plans"}
+COSTLY = {"src_files", "requests", "commands", "task_plans", "git_diffs", "git_blames", "error_log"}
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -40,7 +40,7 @@ def _snapshot(spark, sf):
     points = m.nearest_rank(events.filter(F.col("event_type") != "error"), [], "value", fixed.POINTS).withColumn("_one", F.lit(1))
     by_type = (
         derived(spark, sf, "error_log").filter("is_error").groupBy(error_type(F.col("message")).alias("t")).agg(F.count("*").alias("c"))
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "c")))).alias("errors")).withColumn("_one", F.lit(1))
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("t", "c")))).alias("errors")).withColumn("_one", F.lit(1))
     )
     joined = counters.join(points, "_one", "left").join(by_type, "_one", "left")
     return joined.withColumn(
@@ -99,7 +99,7 @@ SELECT 'Metrics Snapshot' || chr(10) || printf('  Cache: %d/%d hits (%.1f%% rate
  || (SELECT string_agg('    - ' || t || ': ' || c || ' occurrences', chr(10) ORDER BY c DESC, t) FROM top) AS report FROM s""")
 def metrics_report(spark, sf):
     s = _snapshot(spark, sf)
-    by_count = F.slice(F.array_sort(F.transform(F.map_entries("errors"), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("t")))), 1, 5)
+    by_count = F.slice(F.sort_array(F.transform(F.map_entries("errors"), lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("t")))), 1, 5)
     total = F.col("cache_hits") + F.col("cache_misses")
     head = F.concat(
         F.lit("Metrics Snapshot\n  Cache: "), F.col("cache_hits").cast("string"), F.lit("/"), total.cast("string"), F.lit(" hits ("),

@@ -45,7 +45,7 @@ def change_counts(spark, sf):
 
     c = parsers.git_status(derived(spark, sf, "git_status"), "row_id", "line").filter(F.col("worktree_type").isNotNull()).select(F.col("worktree_type").alias("kind"), "row_id", "path")
     counts = c.groupBy("kind").agg(F.count("*").alias("files"))
-    first = last_n(c, ["kind"], F.col("row_id"), 5).groupBy("kind").agg(F.array_sort(F.collect_list(F.struct("row_id", "path"))).alias("p"))
+    first = last_n(c, ["kind"], F.col("row_id"), 5).groupBy("kind").agg(F.sort_array(F.collect_list(F.struct("row_id", "path"))).alias("p"))
     shown = F.array_join(F.transform("p", lambda x: x["path"]), ", ")
     more = F.when(F.col("files") > 5, F.concat(F.lit(" +"), (F.col("files") - 5).cast("string"))).otherwise("")
     return counts.join(first, "kind").select("kind", "files", F.concat(shown, more).alias("shown"))

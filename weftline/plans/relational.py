@@ -8,7 +8,7 @@ from weftline.functions import text as tx
 from weftline.operators import relational as r
 from weftline.plans.corpus import cte, derived
 from weftline.registry import query
-from weftline.sources.tables import table
+from weftline.sources.tables import spread, table
 
 
 @query("key_lookup", "FLT1 SRC6 TK1", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey")
@@ -97,7 +97,8 @@ SELECT lang, files, lines, bytes, CASE WHEN bytes >= 1073741824 THEN printf('%.2
  CASE WHEN lines >= 1000000 THEN printf('%.1fM', lines / 1000000) WHEN lines >= 1000 THEN printf('%.1fk', lines / 1000) ELSE CAST(lines AS VARCHAR) END AS lines_text
 FROM g ORDER BY lines DESC, lang LIMIT 11""")
 def index_summary(spark, sf):
-    f = table(spark, sf, "documents").select("lang", F.octet_length("text").alias("size"), F.size(tx.lines(F.col("text"))).alias("n"))
+    f = spread(table(spark, sf, "documents").select("lang", "text"))
+    f = f.select("lang", F.octet_length("text").alias("size"), F.size(tx.lines(F.col("text"))).alias("n"))
     g = f.rollup("lang").agg(F.count("*").alias("files"), F.sum("n").alias("lines"), F.sum("size").alias("bytes"))
     g = g.withColumn("lang", F.coalesce("lang", F.lit("(all)")))
     return g.withColumn("size_text", tx.format_size(F.col("bytes"))).withColumn("lines_text", tx.format_count(F.col("lines"))).orderBy(F.desc("lines"), "lang").limit(11)

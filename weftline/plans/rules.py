@@ -92,7 +92,7 @@ SELECT id, intent, path, CAST(CASE intent WHEN 'SearchCode' THEN 0.9 WHEN 'ReadC
  CASE intent WHEN 'SearchCode' THEN 'semantic_search' WHEN 'ReadCode' THEN CASE WHEN path IS NULL THEN 'semantic_search>reasoning' ELSE 'read_file' END
  WHEN 'AnalyzeCode' THEN CASE WHEN path IS NULL THEN 'project_context' ELSE 'analyze_code' END WHEN 'BrowseFiles' THEN 'list_directory' WHEN 'Explain' THEN 'semantic_search>reasoning' ELSE 'reasoning' END AS steps FROM k""")
 def intent_plan(spark, sf):
-    path = rules.first_pattern(F.col("text"), [tx.unicode_regex(p) for p in fixed.REQUEST_PATHS])
+    path = rules.first_pattern(F.col("text"), [(tx.unicode_regex(p), needs) for p, needs in zip(fixed.REQUEST_PATHS, (".", "src/", "/"))])
     p = phrases(spark, sf).select("id", rules.intent(F.col("text")).alias("intent"), path.alias("path"))
     has = F.col("path").isNotNull()
     return p.select("id", "intent", "path", rules.plan_confidence(F.col("intent"), has).alias("confidence"), F.array_join(rules.plan_steps(F.col("intent"), has), ">").alias("steps"))

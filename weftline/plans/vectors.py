@@ -162,7 +162,7 @@ def _leaves(spark, sf):
 @query("greedy_clusters", "VR4 VR5")
 def greedy_clusters(spark, sf):
     leaves = _leaves(spark, sf)
-    return clustering.cluster(leaves, _TREE_THRESHOLD, leaves.count())
+    return clustering.cluster(leaves, _TREE_THRESHOLD, leaves.count()).select("block", F.col("parent").alias("cluster_id"), F.col("child").alias("vec_id"))
 
 
 @query("cluster_tree", "VR6 VR7")

@@ -58,7 +58,7 @@ def assembled(chunks: DataFrame, key: str, order: list[str], response: str) -> D
     A chunk is spoken unless a think block is open after looking at that chunk's own marks.
     """
     item = F.struct(*order, "content", "done")
-    g = chunks.groupBy(key, response).agg(F.array_sort(F.collect_list(item)).alias("l"))
+    g = chunks.groupBy(key, response).agg(F.sort_array(F.collect_list(item)).alias("l"))
     zero = F.struct(F.lit(False).alias("thinking"), F.lit("").alias("spoken"))
 
     def step(state, x):
