@@ -40,10 +40,10 @@ def newer(files: DataFrame, cached: DataFrame, limit: int = 500) -> DataFrame:
 
 
 def contents(spark: SparkSession, root: str, extensions: list[str]) -> DataFrame:
-    """``(path, content)`` of visible text files."""
+    """``(path, content)`` of visible text files; files that are not UTF-8 are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     relative = F.regexp_replace(F.col("path"), rf"^.*?{tx.regex_escape(os.path.abspath(root).rstrip('/'))}/", "")
-    rows = files.select(relative.alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    rows = files.select(relative.alias("path"), F.col("content").cast("string").alias("content")).filter(F.is_valid_utf8("content"))
     return visible(rows.withColumn("depth", F.size(F.split("path", "/"))), extensions).drop("depth")
 
 
