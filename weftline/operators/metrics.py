@@ -31,9 +31,12 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, points: dict[str, f
     bounds = data.groupBy(*group).agg(
         F.percentile_approx("_v", probes, PROBE_ACCURACY).alias("_bounds"), F.count("_v").alias("samples")
     )
-    bounds = small_or_shuffled(bounds, "bounds")
+    if keys:
+        placed = data.join(small_or_shuffled(bounds, "bounds"), group)
+    else:
+        placed = data.withColumn("_s", bounds.select(F.struct("_bounds", "samples")).scalar()).select(*group, "_v", "_s.*")
     bracket = sum((F.col("_v") > F.col("_bounds")[i]).cast("int") for i in range(len(probes)))
-    placed = data.join(bounds, group).withColumn("_bracket", bracket)
+    placed = placed.withColumn("_bracket", bracket)
 
     upto = W.partitionBy(*group).orderBy("_bracket").rowsBetween(W.unboundedPreceding, W.currentRow)
     counts = placed.groupBy(*group, "samples", "_bracket").count().withColumn("_cum", F.sum("count").over(upto))

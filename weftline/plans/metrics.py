@@ -34,18 +34,16 @@ def _counters(events):
 
 
 def _snapshot(spark, sf):
-    """Counters, percentiles and the error map on one row; every side has exactly one row."""
+    """Counters, percentiles and the error map on one row; each part is a scalar of the others' row."""
     events = table(spark, sf, "events")
-    counters = _counters(events).withColumn("_one", F.lit(1))
-    points = m.nearest_rank(events.filter(F.col("event_type") != "error"), [], "value", fixed.POINTS).withColumn("_one", F.lit(1))
+    points = m.nearest_rank(events.filter(F.col("event_type") != "error"), [], "value", fixed.POINTS)
+    points = points.select(F.struct("samples", *fixed.POINTS)).scalar()
     by_type = (
         derived(spark, sf, "error_log").filter("is_error").groupBy(error_type(F.col("message")).alias("t")).agg(F.count("*").alias("c"))
-        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("t", "c")))).alias("errors")).withColumn("_one", F.lit(1))
-    )
-    joined = counters.join(points, "_one", "left").join(by_type, "_one", "left")
-    return joined.withColumn(
-        "cache_hit_rate", m.ratio(F.col("cache_hits"), F.col("cache_hits") + F.col("cache_misses"))
+        .agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("t", "c")))).alias("errors")).scalar()
     )
+    row = _counters(events).withColumn("_p", points).withColumn("errors", by_type).select("*", "_p.*").drop("_p")
+    return row.withColumn("cache_hit_rate", m.ratio(F.col("cache_hits"), F.col("cache_hits") + F.col("cache_misses")))
 
 
 _SNAPSHOT_CTE = f"""

@@ -34,8 +34,20 @@ def phrases(spark, sf):
 PHRASES = f"""{cte("requests")}, phrases AS (SELECT 'r' || req_id AS id, request AS text FROM requests UNION ALL SELECT 'c' || conv_id || '.' || turn, text FROM conversations
  UNION ALL SELECT 'b' || item_id, text FROM benchmark), low AS (SELECT id, text, lower(text) AS l, regexp_replace(lower(text), {TRIM}) AS t FROM phrases)"""
 
-_RISK_SQL = cases([(any_matches("lower(command)", ps), q(level)) for level, ps in fixed.RISK.items()], q("Safe"))
-_RISK_CI_SQL = cases([(any_matches("lower(command)", ["(?i)" + p for p in ps]), q(level)) for level, ps in fixed.RISK.items()], q("Safe"))
+
+
+def risk_re2(pattern: str) -> str:
+    """A risk pattern with Unicode words, boundaries and white space spelled out for RE2."""
+    outside = rf"[^{_WORDS}]"
+    if pattern.startswith(r"\b"):
+        pattern = f"(^|{outside})" + pattern[2:]
+    if pattern.endswith(r"\b"):
+        pattern = pattern[:-2] + f"({outside}|$)"
+    return pattern.replace(r"[^\s]", "[^" + WS[1:]).replace(r"\s", WS).replace(r"\w", f"[{_WORDS}]")
+
+
+_RISK_SQL = cases([(any_matches("lower(command)", map(risk_re2, ps)), q(level)) for level, ps in fixed.RISK.items()], q("Safe"))
+_RISK_CI_SQL = cases([(any_matches("lower(command)", ["(?i)" + risk_re2(p) for p in ps]), q(level)) for level, ps in fixed.RISK.items()], q("Safe"))
 
 
 @query("command_risk", "CL10 CL11", f"""WITH {cte("commands")}, r AS (SELECT cmd_id, command, {_RISK_SQL} AS risk, {_RISK_CI_SQL} AS risk_any_case FROM commands)
