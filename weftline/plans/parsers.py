@@ -182,7 +182,7 @@ def http_responses(spark, sf):
                     F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), (F.contains("url", F.lit("#")) | F.contains("url", F.lit("?"))).alias("has_suffix"))
 
 
-@query("pretty_json", "SC39")
+@query("pretty_json", "SC39", """SELECT event_id, '{' || chr(10) || '  "k": ' || json_extract_string(props, '$.k') || chr(10) || '}' AS pretty, true AS changed FROM events""")
 def pretty_json(spark, sf):
     from weftline.functions.documents import pretty
 
