@@ -382,3 +382,25 @@ def test_no_cartesian_products(spark, sf):
         if not name.startswith(("stream_", "tree_", "cluster_")):
             plan = q.run(spark, sf)._jdf.queryExecution().executedPlan().toString()
             assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+
+
+def test_time_bucket_splits_crowds(spark):
+    from weftline.operators.ordered import time_bucket
+
+    df = spark.sql("SELECT id % 2 AS k, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id) AS ts FROM range(200)")
+    for most, distinct in ((1000, 1), (40, 4), (5, 200)):
+        assert df.select(time_bucket(df, ["k"], "ts", most)).distinct().count() == distinct
+
+
+def test_plans_are_the_wanted_ones(spark, sf):
+    from weftline.registry import all_queries
+
+    def plan(name):
+        return all_queries()[name].run(spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+    assert "EqualTo(o_custkey,7)" in plan("key_lookup")
+    recent = plan("recent_messages")
+    assert "WindowGroupLimit" in recent and "text:string" not in recent
+    assert "TakeOrderedAndProject" in plan("session_tokens")
+    assert "Exchange" not in plan("replace_count").replace("REPARTITION_BY_NUM", "").split("RoundRobinPartitioning")[0].replace("Exchange ", "", 1)
+    assert "text:string" not in plan("embedding_stats")

@@ -6,7 +6,7 @@ POINTS = {"p50": 0.50, "p95": 0.95, "p99": 0.99}
 # Preset baselines: operation -> (target, p50, p95, p99, regression threshold in percent).
 PRESET_BASELINES = {
     "classification": (50, 30, 45, 50, 20.0),
-    "raptor_query": (500, 300, 450, 500, 20.0),
+    "tree_query": (500, 300, 450, 500, 20.0),
     "tool_execution": (200, 100, 180, 200, 20.0),
     "file_operations": (10, 5, 8, 10, 20.0),
     "cache_lookup": (1, 0, 1, 1, 50.0),

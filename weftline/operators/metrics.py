@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.operators.sizing import small_or_shuffled
+from weftline.operators.sizing import BROADCAST_ROWS, stored_and_counted
 
 PROBE_WIDTH = 0.0005
 PROBE_ACCURACY = 10_000
@@ -31,8 +31,10 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, points: dict[str, f
     bounds = data.groupBy(*group).agg(
         F.percentile_approx("_v", probes, PROBE_ACCURACY).alias("_bounds"), F.count("_v").alias("samples")
     )
+    groups = 1
     if keys:
-        placed = data.join(small_or_shuffled(bounds, "bounds"), group)
+        bounds, groups = stored_and_counted(bounds, "bounds")
+        placed = data.join(F.broadcast(bounds) if groups <= BROADCAST_ROWS else bounds, group)
     else:
         placed = data.withColumn("_s", bounds.select(F.struct("_bounds", "samples")).scalar()).select(*group, "_v", "_s.*")
     bracket = sum((F.col("_v") > F.col("_bounds")[i]).cast("int") for i in range(len(probes)))
@@ -48,7 +50,8 @@ def nearest_rank(df: DataFrame, keys: list[str], value: str, points: dict[str, f
         .filter((F.col("_cum") > F.col("_index")) & (F.col("_cum") - F.col("count") <= F.col("_index")))
         .select(*group, "samples", "_bracket", "point", (F.col("_index") - (F.col("_cum") - F.col("count"))).alias("_rest"))
     )
-    targets = small_or_shuffled(targets, "targets")
+    if groups * len(points) <= BROADCAST_ROWS:  # one target per group and point
+        targets = F.broadcast(targets)
     inside = placed.drop("samples", "_bounds").join(targets, [*group, "_bracket"])
     folded = inside.groupBy(*group, "samples", "point", "_rest", "_v").count()
     ranked = folded.withColumn(

@@ -11,6 +11,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+BUCKET_ROWS = 1_000_000
+UNITS = ("day", "hour", "minute", "second", "millisecond", "microsecond")
+
+
+def time_bucket(df: DataFrame, keys: list[str], ts: str, most: int = BUCKET_ROWS) -> Column:
+    """The coarsest time unit in which no key has more than ``most`` rows, so that no bucket grows with the data."""
+    for unit in UNITS[:-1]:
+        crowd = df.groupBy(*keys, F.date_trunc(unit, ts).alias("_unit")).count().agg(F.max("count")).collect()[0][0]
+        if (crowd or 0) <= most:
+            return F.date_trunc(unit, ts)
+    return F.date_trunc(UNITS[-1], ts)
+
+
 def consecutive_runs(df: DataFrame, keys: list[str], order: list[str], bucket: Column, hit: Column) -> DataFrame:
     """Add ``run``: how many rows up to this one satisfied ``hit`` without a break; 0 on a row that breaks it.
 

@@ -9,6 +9,7 @@ from weftline import fixed
 from weftline.functions import text as tx
 from weftline.operators import history, project, relational, retrieval, rules, search
 from weftline.operators.chunking import line_chunks
+from weftline.operators.ordered import time_bucket
 from weftline.operators.rules import first_match
 from weftline.plans.code import SYMBOL_CTE, lines_sql
 from weftline.plans.corpus import cte, derived
@@ -166,7 +167,7 @@ def undo_history(spark, sf):
     """Clicks undo, errors redo, everything else pushes; logs keep ten entries."""
     op = F.when(F.col("event_type") == "click", "undo").when(F.col("event_type") == "error", "redo").otherwise("push")
     e = table(spark, sf, "events").select("user_id", "event_id", "ts", op.alias("op"))
-    return history.replay(e, "user_id", ["ts", "event_id"], "op", F.date_trunc("day", "ts")).drop("ts")
+    return history.replay(e, "user_id", ["ts", "event_id"], "op", time_bucket(e, ["user_id"], "ts", 10_000)).drop("ts")
 
 
 @query("reindex_report", "SM5 SM4 CH2", f"""WITH old AS (SELECT doc_id, 100 AS mtime FROM documents WHERE doc_id % 9 <> 0), new AS (SELECT doc_id, text, CASE WHEN doc_id % 5 = 0 THEN 200 ELSE 100 END AS mtime FROM documents WHERE doc_id % 7 <> 0),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline import fixed
 from weftline.functions import text as tx
 from weftline.operators import metrics as m
-from weftline.operators.ordered import consecutive_runs
+from weftline.operators.ordered import consecutive_runs, time_bucket
 from weftline.operators.rules import error_type, first_match
 from weftline.plans.corpus import cte, derived
 from weftline.plans.sqltext import any_contains, cases, q
@@ -179,7 +179,7 @@ def benchmark_csv(spark, sf):
     return _status(spark, sf).select(F.concat_ws(",", "event_type", *[tx.fixed(F.col(c), 2) for c in cols], "status").alias("line"))
 
 
-_OPERATION = {"view": "cache_lookup", "click": "file_operations", "signup": "classification", "purchase": "tool_execution", "error": "raptor_query"}
+_OPERATION = {"view": "cache_lookup", "click": "file_operations", "signup": "classification", "purchase": "tool_execution", "error": "tree_query"}
 
 
 @query("preset_baselines", "CL18 CL17", f"""
@@ -204,7 +204,7 @@ def preset_baselines(spark, sf):
 
 def _runs(spark, sf):
     log = derived(spark, sf, "error_log")
-    return consecutive_runs(log, ["user_id"], ["ts", "event_id"], F.date_trunc("hour", "ts"), F.col("is_error"))
+    return consecutive_runs(log, ["user_id"], ["ts", "event_id"], time_bucket(table(spark, sf, "events"), ["user_id"], "ts"), F.col("is_error"))
 
 
 _RUN_CTE = f"""{cte("error_log")},

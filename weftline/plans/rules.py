@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from weftline import fixed
 from weftline.functions import text as tx
 from weftline.operators import rules
-from weftline.operators.ordered import running_sum
+from weftline.operators.ordered import running_sum, time_bucket
 from weftline.plans.corpus import cte, derived
 from weftline.plans.sqltext import any_contains, any_matches, any_starts, cases, in_list, q
 from weftline.registry import query
-from weftline.sources.tables import table
+from weftline.sources.tables import spread, table
 
 _WORDS = r"\p{L}\p{M}\p{N}_"
 WS = tx.WS
@@ -64,7 +64,7 @@ def command_risk(spark, sf):
 
 @query("text_command_risk", "CL10", f"""WITH c AS (SELECT doc_id AS cmd_id, text AS command FROM documents) SELECT risk, count(*) AS n FROM (SELECT {_RISK_SQL} AS risk FROM c) GROUP BY risk""")
 def text_command_risk(spark, sf):
-    return table(spark, sf, "documents").select(rules.command_risk(F.col("text")).alias("risk")).groupBy("risk").agg(F.count("*").alias("n"))
+    return spread(table(spark, sf, "documents").select("text")).select(rules.command_risk(F.col("text")).alias("risk")).groupBy("risk").agg(F.count("*").alias("n"))
 
 
 _ACTION_SQL = cases([(f"(t = {q(w)} OR starts_with(t, {q(w + ' ')}))", q(a)) for w, a in fixed.SIMPLE_COMMANDS.items()])
@@ -230,5 +230,5 @@ def tool_groups(spark, sf):
     e = table(spark, sf, "events").select("user_id", "event_id", "ts", conflict.alias("cls"))
     leader = e.groupBy("user_id").agg(F.min_by(F.coalesce("cls", F.lit("")), F.struct("ts", "event_id")).alias("leader"))
     same = F.coalesce(F.col("cls") == F.col("leader"), F.lit(False))
-    counted = running_sum(e.join(leader, "user_id"), ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), same.cast("bigint"), "nth")
+    counted = running_sum(e.join(leader, "user_id"), ["user_id"], ["ts", "event_id"], time_bucket(e, ["user_id"], "ts"), same.cast("bigint"), "nth")
     return counted.select("user_id", "event_id", F.when(same, F.col("nth")).otherwise(F.lit(1)).cast("bigint").alias("group_no"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weftline.operators.ordered import running_sum
+from weftline.operators.ordered import running_sum, time_bucket
 from weftline.plans.corpus import DERIVED, cte, derived
 from weftline.registry import query
+from weftline.sources.tables import table
 from weftline.streaming import jobs
 
 
@@ -37,7 +38,8 @@ def stream_chunks(spark, sf):
 def stream_responses(spark, sf):
     """Responses put together from chunk lines; a response ends with its done mark."""
     chunks = jobs.parsed_chunks(derived(spark, sf, "stream_lines"), F.col("line"), ["event_id", "user_id", "ts"])
-    numbered = running_sum(chunks, ["user_id"], ["ts", "event_id"], F.date_trunc("day", "ts"), F.col("done").cast("bigint"), "_done")
+    events = table(spark, sf, "events")
+    numbered = running_sum(chunks, ["user_id"], ["ts", "event_id"], time_bucket(events, ["user_id"], "ts"), F.col("done").cast("bigint"), "_done")
     numbered = numbered.withColumn("response_no", F.col("_done") - F.col("done").cast("bigint"))
     return jobs.assembled(numbered, "user_id", ["ts", "event_id"], "response_no")
 
