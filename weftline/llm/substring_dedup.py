@@ -182,13 +182,7 @@ def _kept(window: int):
                 doc = np.repeat(np.arange(b - a), np.diff(before))
                 kb, ke, kd = begin[keep], end[keep], doc[keep]
                 n_kept = np.bincount(kd, minlength=b - a)
-                inner = np.r_[kd[1:] == kd[:-1], False] if len(kd) else np.zeros(0, bool)
-                # Bytes of the kept words, and one space behind each but a document's last.
-                length = ke - kb + inner
-                out_at = np.cumsum(np.r_[0, length])
-                source = np.arange(out_at[-1]) + np.repeat(kb - out_at[:-1], length)
-                out = data[np.minimum(source, max(len(data) - 1, 0))] if len(source) else np.zeros(0, np.uint8)
-                out[out_at[1:][inner] - 1] = 0x20
+                out, out_at = W.joined(data, kb, ke, kd)
                 edges = out_at[np.r_[0, np.cumsum(n_kept)]]
                 text = pa.Array.from_buffers(pa.large_string(), b - a, [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(out)]).cast(pa.string())
                 n_words = np.diff(before)

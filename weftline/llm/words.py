@@ -137,3 +137,16 @@ def windows(hashes: np.ndarray, before: np.ndarray, size: int, seed: int = 0x254
         out *= factor
         out += hashes[j : j + len(out)]
     return index, mixed(out[index])
+
+
+def joined(data: np.ndarray, begin: np.ndarray, end: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each row joined by one space, and where each word starts in that (one more for the end).
+
+    ``doc`` is the row of each word; rows follow each other without a space between.
+    """
+    inner = np.r_[doc[1:] == doc[:-1], False] if len(doc) else np.zeros(0, bool)
+    length = end - begin + inner
+    at = np.cumsum(np.r_[0, length])
+    out = data[np.arange(at[-1]) + np.repeat(begin - at[:-1], length)] if len(begin) else np.zeros(0, np.uint8)
+    out[at[1:][inner] - 1] = 0x20
+    return out, at
