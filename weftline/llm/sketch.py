@@ -110,7 +110,7 @@ def _merged(log2_cells: int):
     return merge
 
 
-def repeated(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], log2_cells: int, depth: int = 2, most: int = 1 << 22):
+def repeated(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], log2_cells: int, depth: int = 2, most: int = 1 << 21):
     """Sketch ``hashes`` of the batches of ``docs``. Returns a broadcast ``Repeated`` and the number of hashes."""
 
     def sketch(batches):

@@ -28,7 +28,7 @@ from weftline.sources.tables import table
 WINDOW = 13
 LOG2_CELLS = 28
 BUCKET_ROWS = 1 << 21
-TASK_ROWS = 1 << 22
+TASK_ROWS = 1 << 21
 
 _MOVED = "bucket int, settled boolean, n int, hash binary, check binary, doc binary, at binary, ids binary, ths binary"
 
@@ -80,17 +80,15 @@ def _candidates(window: int, maybe, buckets: int):
             if not len(pick):
                 continue
             if settled:
-                pick = pick[np.lexsort((at[pick], doc[pick]))]
-                edges = [0, len(pick)]
-            else:
-                edges = np.searchsorted(h[pick] >> np.uint64(33), (np.arange(buckets + 1) * (1 << 31)) // buckets)
-            for b in range(len(edges) - 1):
+                rows += [(x[0], True, x[1], b"", b"", *x[2:]) for x in _by_bin(ids, ths, doc[pick], at[pick], buckets)]
+                continue
+            edges = np.searchsorted(h[pick] >> np.uint64(33), (np.arange(buckets + 1) * (1 << 31)) // buckets)
+            for b in range(buckets):
                 part = pick[edges[b] : edges[b + 1]]
                 if len(part):
                     used, where = np.unique(doc[part], return_inverse=True)
-                    hashes = np.diff(h[part], prepend=np.uint64(0)) if not settled else np.zeros(0, np.uint64)
                     rows.append((
-                        b if not settled else int(ids[used[0]] % buckets), settled, len(part), _squeezed(hashes), _squeezed(g[part] if not settled else g[:0]),
+                        b, False, len(part), _squeezed(np.diff(h[part], prepend=np.uint64(0))), _squeezed(g[part]),
                         _squeezed(where.astype(np.uint32)), _squeezed(at[part].astype(np.uint32)), ids[used].tobytes(), ths[used].tobytes(),
                     ))
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -118,19 +116,50 @@ def _candidates(window: int, maybe, buckets: int):
     return found
 
 
-_FOUND = pa.schema([("_id", pa.int64()), ("_th", pa.int64()), ("at", pa.binary())])
+def _by_bin(ids, ths, doc, at, bins):
+    """Positions by bin of their document, ordered by document: (bin, n, doc, at, ids, ths)."""
+    bin_of = (W.mixed((ids ^ ths).view(np.uint64)) % np.uint64(bins)).astype(np.int64)[doc]
+    order = np.lexsort((at, doc, bin_of))
+    doc, at, bin_of = doc[order], at[order], bin_of[order]
+    edges = np.searchsorted(bin_of, np.arange(bins + 1))
+    for b in np.flatnonzero(np.diff(edges)):
+        part = slice(edges[b], edges[b + 1])
+        used, where = np.unique(doc[part], return_inverse=True)
+        yield int(b), len(where), _squeezed(where.astype(np.uint32)), _squeezed(at[part].astype(np.uint32)), ids[used].tobytes(), ths[used].tobytes()
+
+
+_BINNED = "bin int, n int, doc binary, at binary, ids binary, ths binary"
+_BINNED_SCHEMA = pa.schema([("bin", pa.int32()), ("n", pa.int32()), *((x, pa.binary()) for x in ("doc", "at", "ids", "ths"))])
+
+
+def _by_document(batches):
+    """The positions found in each document, from whatever buckets they come."""
 
+    def merged(rows):
+        ids, ths = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in (4, 5))
+        shift = np.cumsum([0] + [len(r[4]) // 8 for r in rows[:-1]])
+        doc = np.concatenate([_unsqueezed(r[2], r[1], np.uint32).astype(np.int64) + x for r, x in zip(rows, shift)])
+        at = np.concatenate([_unsqueezed(r[3], r[1], np.uint32) for r in rows]).astype(np.int32)
+        order = np.lexsort((at, ths[doc], ids[doc]))
+        doc, at = doc[order], at[order]
+        first = np.flatnonzero(np.r_[True, (ids[doc][1:] != ids[doc][:-1]) | (ths[doc][1:] != ths[doc][:-1])])
+        blobs = [at[a:b].tobytes() for a, b in zip(first, np.r_[first[1:], len(doc)])]
+        which = doc[first]
+        return pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(ths[which]), pa.array(blobs, pa.binary())], names=["_id", "_th", "found"])
 
-def _by_document(ids, ths, doc, at):
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order].astype(np.int32)
-    edges = np.r_[np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]), len(doc)] if len(doc) else np.zeros(1, np.int64)
-    which = doc[edges[:-1]] if len(doc) else doc
-    blobs = [at[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
-    return pa.RecordBatch.from_arrays([pa.array(ids[which]), pa.array(ths[which]), pa.array(blobs, pa.binary())], schema=_FOUND)
+    rows, current = [], None
+    for batch in batches:
+        for r in zip(*(c.to_pylist() for c in batch.columns)):
+            if r[0] != current and rows:
+                yield merged(rows)
+                rows = []
+            current = r[0]
+            rows.append(r)
+    if rows:
+        yield merged(rows)
 
 
-def _grouped(batches):
+def _grouped(buckets: int):
     """Exact groups of one bucket after another: a window goes if its hash also starts in a smaller document."""
 
     def judged(rows):
@@ -146,21 +175,28 @@ def _grouped(batches):
         first = np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])]
         doc, at = doc[order], at[order]
         gone = ids[doc] > ids[doc][np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))]
-        return _by_document(ids, ths, doc[gone], at[gone])
+        return binned(_by_bin(ids, ths, doc[gone], at[gone], buckets))
 
-    rows, bucket = [], None
-    for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
-            if r[1]:
-                yield _by_document(np.frombuffer(r[7], np.int64), np.frombuffer(r[8], np.int64), _unsqueezed(r[5], r[2], np.uint32), _unsqueezed(r[6], r[2], np.uint32))
-                continue
-            if r[0] != bucket and rows:
-                yield judged(rows)
-                rows = []
-            bucket = r[0]
-            rows.append(r)
-    if rows:
-        yield judged(rows)
+    def binned(rows):
+        columns = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(columns) or [[]] * 6, _BINNED_SCHEMA.types)], schema=_BINNED_SCHEMA)
+
+    def group(batches):
+        rows, bucket = [], None
+        for batch in batches:
+            for r in zip(*(c.to_pylist() for c in batch.columns)):
+                if r[1]:
+                    yield binned([(r[0], r[2], *r[5:])])
+                    continue
+                if r[0] != bucket and rows:
+                    yield judged(rows)
+                    rows = []
+                bucket = r[0]
+                rows.append(r)
+        if rows:
+            yield judged(rows)
+
+    return group
 
 
 def _kept(window: int):
@@ -173,11 +209,11 @@ def _kept(window: int):
                 begin, end, before = W.spans(data, starts)
                 step = np.zeros(len(begin) + 1, np.int64)
                 blobs = found.slice(a, b - a).to_pylist()
-                for k, several in enumerate(blobs):
-                    for blob in several or ():
-                        at = np.frombuffer(blob, np.int32) + before[k]
-                        np.add.at(step, at, 1)
-                        np.add.at(step, at + window, -1)
+                for k, blob in enumerate(blobs):
+                    if blob:
+                        at = np.unique(np.frombuffer(blob, np.int32)) + before[k]
+                        step[at] += 1
+                        step[at + window] -= 1
                 keep = np.cumsum(step[:-1]) == 0
                 doc = np.repeat(np.arange(b - a), np.diff(before))
                 kb, ke, kd = begin[keep], end[keep], doc[keep]
@@ -202,8 +238,8 @@ def without_repeated_windows(docs: DataFrame, window: int = WINDOW, log2_cells:
     maybe, total = repeated(rows.select("_text"), window_hashes(window), log2_cells)
     buckets = max(1, math.ceil(total / BUCKET_ROWS))
     moved = rows.select("_text", "_id", "_th").mapInArrow(_candidates(window, maybe, buckets), _MOVED)
-    found = moved.repartition(buckets, "bucket").sortWithinPartitions("settled", "bucket").mapInArrow(_grouped, "_id long, _th long, at binary")
-    found = found.groupBy("_id", "_th").agg(F.collect_list("at").alias("found"))
+    found = moved.repartition(buckets, "bucket").sortWithinPartitions("settled", "bucket").mapInArrow(_grouped(buckets), _BINNED)
+    found = found.repartition(buckets, "bin").sortWithinPartitions("bin").mapInArrow(_by_document, "_id long, _th long, found binary")
     joined = rows.join(found, ["_id", "_th"], "left").select("_text", "_id", "found")
     return joined.mapInArrow(_kept(window), "_id long, text string, n_words long, n_removed long").select(W.null_id("_id").alias("doc_id"), "text", "n_words", "n_removed")
 
