@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("packing", "simhash", "substring_dedup", "huffman")
+MODULES = ("packing", "simhash", "classifier", "substring_dedup", "huffman")
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
