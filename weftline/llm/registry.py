@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("packing", "simhash", "classifier", "substring_dedup", "huffman")
+MODULES = (
+    "sharding", "packing", "simhash", "divergence", "decontamination", "classifier", "substring_dedup", "huffman",
+)
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
