@@ -7,6 +7,7 @@ met, up to ``CACHE`` of them, and asks the library for new ones only.
 
 from __future__ import annotations
 
+import json
 import re
 
 import public_tokenizers
@@ -33,26 +34,35 @@ class Encoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.words: dict[str, bytes] = {}
+        with open(path) as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.model = BPE(model["vocab"], merges, cache_capacity=0)  # words that come again are kept here
         self.pieces: dict[str, bytes] = {}
         self.shown = dict(enumerate(_byte_characters()))
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
 
     def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
+        """Ids of what the pattern leaves in one, kept if new."""
+        found = self.pieces.get(word)
         if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            ids = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
-            found = self.words[word] = b"".join([i.to_bytes(4, "little") for i in ids])
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
+            shown = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.shown)
+            id_bytes = self.id_bytes
+            found = self.pieces[word] = b"".join([id_bytes[t.id] for t in self.model.tokenize(shown)])
         return found
 
     def _piece(self, piece: str) -> bytes:
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
+        bare = piece[1:] if piece[:1] == " " else piece
+        if bare.isalpha():  # the pattern's letters are those of isalpha
+            return self._word(piece)
+        if bare[:-1].isalpha() and bare[-1] in ".,;:?!|#*$%&":
+            return self._word(piece[:-1]) + self._word(piece[-1])
         found = b"".join([self._word(w) for w in _PIECES.findall(piece)])
         if len(piece) < 64:
             self.pieces[piece] = found
