@@ -5,8 +5,10 @@ the bits ``i`` with ``<vector(i), v>`` odd. Two fingerprints that differ in ``ra
 all of these bits' vectors, so they agree on that table's mask and meet there: no pair within the radius is missed.
 
 Equal fingerprints are collapsed first, so copies cost one row. A bucket is compared with itself in one task and sends a
-spanning forest of its links, never its pairs. Buckets over ``BUCKET_LIMIT`` are dealt anew by covering masks over the bits
-their table leaves free; that leaves about 16 free bits, and so at most ``2**16`` distinct fingerprints a bucket.
+spanning forest of its links, never its pairs. For larger radii the bits can be cut into ``parts``: of ``radius`` differing bits
+some part has ``radius // parts`` or fewer, and each part is covered by itself, with far fewer tables. A fingerprint may also be
+longer than the 64 bits that are covered; links are then judged on all of its bits. Buckets over ``BUCKET_LIMIT`` are dealt anew by covering masks over the bits
+their table leaves free; a quarter of the covered bits stays free then, which bounds the fingerprints of a bucket.
 
 Defined cases: a null text is empty; texts without a word have fingerprint zero and are linked like any other; every input row
 gets one result row; ``component_id`` ignores null doc_ids and is null only where a component has no other. Other columns of
@@ -41,10 +43,12 @@ def _shingles(before: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np
     return first, first + np.repeat(np.minimum(n, size), count) - 1, count
 
 
-def _fingerprinted(size: int):
+def _fingerprinted(size: int, n_words: int):
+    names = ["doc_id", "fingerprint", *(f"more_{k}" for k in range(1, n_words))]
+
     def fingerprints(batches):
         for batch in batches:
-            out = [np.zeros(0, np.int64)]
+            out = [np.zeros((0, n_words), np.int64)]
             for a, b, data, starts in W.chunks(batch.column(0)):
                 data = W.lowered(data)
                 begin, end, before = W.spans(data, starts)
@@ -54,24 +58,32 @@ def _fingerprinted(size: int):
                 text, digest = text.tobytes(), xxhash.xxh64_digest
                 length = (end - begin)[last]
                 raw = b"".join([digest(text[x:y], 42) for x, y in zip(at[first].tolist(), (at[last] + length).tolist())])
-                hashes = np.frombuffer(raw, np.uint8).reshape(-1, 8)
-                own = np.zeros(b - a, np.int64)
+                own = np.zeros((b - a, n_words), np.int64)
                 some = np.flatnonzero(count)
                 if len(some):
                     starts_at = (np.cumsum(count) - count)[some]
-                    sums = np.add.reduceat(np.unpackbits(hashes, axis=1), starts_at, axis=0, dtype=np.int32)
-                    ones = np.packbits(sums * 2 > count[some][:, None], axis=1)
-                    own[some] = np.ascontiguousarray(ones).view(">u8").ravel().astype(np.uint64).view(np.int64)
+                    hashes = np.frombuffer(raw, ">u8")
+                    for k in range(n_words):
+                        if k:  # further bits of each shingle, drawn from its hash
+                            hashes = W.mixed(hashes.astype(np.uint64) + np.uint64(k)).astype(">u8")
+                        sums = np.add.reduceat(np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1), starts_at, axis=0, dtype=np.int32)
+                        ones = np.packbits(sums * 2 > count[some][:, None], axis=1)
+                        own[some, k] = np.ascontiguousarray(ones).view(">u8").ravel().astype(np.uint64).view(np.int64)
                 out.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(np.concatenate(out))], names=["doc_id", "fingerprint"])
+            out = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(np.ascontiguousarray(out[:, k])) for k in range(n_words))], names=names)
 
     return fingerprints
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id`` and the 64-bit SimHash of each whole text as a long: lower-cased A-Z, shingles of words, repeats counted."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, n_words: int = 1) -> DataFrame:
+    """``doc_id`` and the SimHash of each whole text: lower-cased A-Z, shingles of words, repeats counted.
+
+    The 64 bits are the long ``fingerprint``; with ``n_words`` above one, further 64 bits each are in ``more_1`` and so on.
+    """
     rows = docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(_fingerprinted(shingle), "doc_id long, fingerprint long")
+    more = "".join(f", more_{k} long" for k in range(1, n_words))
+    return rows.mapInArrow(_fingerprinted(shingle, n_words), "doc_id long, fingerprint long" + more)
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -81,33 +93,46 @@ def covering_masks(bits: list[int], radius: int) -> list[int]:
     return [sum(1 << bit for bit in bits if (vector[bit] & v).bit_count() & 1) for v in range(1, whole + 1)]
 
 
-def _dealt(radius: int):
-    masks = np.array(covering_masks(list(range(BITS)), radius), np.uint64)
+def _tables(radius: int, parts: int) -> list[tuple[int, list[int]]]:
+    """Mask of every table, and the bits of its part that it leaves free."""
+    out = []
+    for p in range(parts):
+        bits = list(range(p * BITS // parts, (p + 1) * BITS // parts))
+        out += [(m, [b for b in bits if not m >> b & 1]) for m in covering_masks(bits, radius // parts)]
+    return out
+
+
+def _repeated_rows(batch, count: int) -> list[pa.Array]:
+    return [pa.array(np.tile(c.to_numpy(), count)) for c in batch.columns]
+
+
+def _dealt(radius: int, parts: int):
+    masks = np.array([m for m, _ in _tables(radius, parts)], np.uint64)
 
     def deal(batches):
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            key = (fp[None, :] & masks[:, None]).ravel()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(np.arange(len(masks)), len(fp))), pa.array(key.view(np.int64)), pa.array(np.tile(fp, len(masks)).view(np.int64))], names=["mask", "key", "fp"]
-            )
+            for a in range(0, batch.num_rows, 2000):
+                own = batch.slice(a, 2000)
+                fp = own.column("fp").to_numpy().view(np.uint64)
+                key = (fp[None, :] & masks[:, None]).ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(masks)), len(fp))), pa.array(key.view(np.int64)), *_repeated_rows(own, len(masks))], names=["mask", "key", *own.schema.names])
 
     return deal
 
 
-def _dealt_again(radius: int):
+def _dealt_again(radius: int, parts: int):
     """Rows of crowded buckets by masks over the bits that their first mask leaves free."""
-    first = covering_masks(list(range(BITS)), radius)
-    finer = [np.array([m | x for x in covering_masks([b for b in range(BITS) if not m >> b & 1], radius)], np.uint64) for m in first]
+    finer = [np.array([m | x for x in covering_masks(free, radius // parts)], np.uint64) for m, free in _tables(radius, parts)]
 
     def deal(batches):
         for batch in batches:
-            mask, fp = batch.column(0).to_numpy(), batch.column(2).to_numpy().view(np.uint64)
+            mask = batch.column("mask").to_numpy()
             for m in np.unique(mask):
-                own = fp[mask == m]
-                key = (own[None, :] & finer[m][:, None]).ravel()
-                table_ = np.repeat((int(m) + 1) * 1000 + np.arange(len(finer[m])), len(own))
-                yield pa.RecordBatch.from_arrays([pa.array(table_), pa.array(key.view(np.int64)), pa.array(np.tile(own, len(finer[m])).view(np.int64))], names=["mask", "key", "fp"])
+                own = batch.filter(pa.array(mask == m)).drop_columns(["mask", "key"])
+                fp = own.column("fp").to_numpy().view(np.uint64)
+                key = (fp[None, :] & finer[m][:, None]).ravel()
+                table_ = np.repeat((int(m) + 1) * 1000 + np.arange(len(finer[m])), len(fp))
+                yield pa.RecordBatch.from_arrays([pa.array(table_), pa.array(key.view(np.int64)), *_repeated_rows(own, len(finer[m]))], names=["mask", "key", *own.schema.names])
 
     return deal
 
@@ -132,39 +157,45 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[child], nodes[label[child]]
 
 
-def _grown(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def _near(a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Whether fingerprints, one per last index of (words, ..), differ in ``limit`` bits or fewer."""
+    bits = np.bitwise_count(a[0] ^ b[0]).astype(np.uint16)
+    for x, y in zip(a[1:], b[1:]):
+        bits += np.bitwise_count(x ^ y)
+    return bits <= limit
+
+
+def _grown(node: np.ndarray, fp: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect one large bucket: components grow from a front that is compared with the unreached only."""
-    a, b, rest = [], [], fp
+    a, b, rest = [], [], np.arange(len(node))
     while len(rest):
-        root, front, rest = rest[0], rest[:1], rest[1:]
+        root, front, rest = node[rest[0]], rest[:1], rest[1:]
         while len(front) and len(rest):
             near = np.zeros(len(rest), bool)
-            step = max(1, (1 << 21) // len(rest))
+            step = max(1, (1 << 20) // len(rest))
             for k in range(0, len(front), step):
-                near |= (np.bitwise_count(front[k : k + step, None] ^ rest[None, :]) <= radius).any(axis=0)
+                near |= _near(fp[:, front[k : k + step], None], fp[:, None, rest], limit).any(axis=0)
             front, rest = rest[near], rest[~near]
-            a.append(front)
+            a.append(node[front])
             b.append(np.full(len(front), root))
-    return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
+    return (np.concatenate(a), np.concatenate(b)) if a else (node[:0], node[:0])
 
 
-def _linked(radius: int):
-    def links_of(mask, key, fp):
+def _linked(limit: int):
+    def links_of(mask, key, node, fp):
         run = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (key[1:] != key[:-1])])
-        size = np.diff(np.r_[run, len(fp)])
-        a, b = [fp[:0]], [fp[:0]]
+        size = np.diff(np.r_[run, len(node)])
+        a, b = [node[:0]], [node[:0]]
         for k in np.flatnonzero(size > PAIRWISE):
-            x, y = _grown(fp[run[k] : run[k] + size[k]], radius)
+            x, y = _grown(node[run[k] : run[k] + size[k]], fp[:, run[k] : run[k] + size[k]], limit)
             a.append(x)
             b.append(y)
         small = np.repeat(np.where(size > PAIRWISE, -1, np.arange(len(size))), size)
-        own = fp
         for shift in range(1, int(size[size <= PAIRWISE].max(initial=1))):
             pair = np.flatnonzero((small[shift:] == small[:-shift]) & (small[shift:] >= 0))
-            x, y = own[pair], own[pair + shift]
-            near = np.bitwise_count(x ^ y) <= radius
-            a.append(x[near])
-            b.append(y[near])
+            pair = pair[_near(fp[:, pair], fp[:, pair + shift], limit)]
+            a.append(node[pair])
+            b.append(node[pair + shift])
         return np.concatenate(a), np.concatenate(b)
 
     def link(batches):
@@ -172,21 +203,21 @@ def _linked(radius: int):
 
         def flush(last: bool):
             nonlocal held, n
-            mask, key, fp = (np.concatenate(x) for x in zip(*held))
-            stop = len(fp)
+            rows = np.concatenate(held, axis=1)
+            stop = rows.shape[1]
             if not last:  # the last bucket may go on in the next batch
-                stop = int(np.flatnonzero((mask != mask[-1]) | (key != key[-1])).max(initial=-1)) + 1
-            held, n = [(mask[stop:], key[stop:], fp[stop:])], len(fp) - stop
+                stop = int(np.flatnonzero((rows[0] != rows[0, -1]) | (rows[1] != rows[1, -1])).max(initial=-1)) + 1
+            held, n = [rows[:, stop:]], rows.shape[1] - stop
             if stop:
-                found.append(links_of(mask[:stop], key[:stop], fp[:stop].view(np.uint64)))
+                found.append(links_of(rows[0, :stop], rows[1, :stop], rows[2, :stop], rows[3:, :stop].view(np.uint64)))
 
         def sent():
             a, b = _forest(*(np.concatenate(x) for x in zip(*found)))
             found.clear()
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
-            held.append(tuple(c.to_numpy() for c in batch.columns))
+            held.append(np.stack([c.to_numpy() for c in batch.columns]))
             n += batch.num_rows
             if n >= 1 << 18:
                 flush(False)
@@ -200,14 +231,20 @@ def _linked(radius: int):
     return link
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Edges ``(a, b)`` that connect exactly what links within ``radius`` bits connect, from a stored table of distinct ``fp``."""
-    rows = distinct.select("fp").mapInArrow(_dealt(radius), "mask long, key long, fp long")
+def links(distinct: DataFrame, radius: int = RADIUS, parts: int = 1, limit: int | None = None, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
+    """Edges ``(a, b)`` that connect exactly what links connect, from a stored table of distinct ``node, fp, more..``.
+
+    Two nodes link if some part of ``fp`` differs in ``radius // parts`` bits or fewer, and all words together in ``limit``
+    (``radius`` if none) or fewer.
+    """
+    longs = ", ".join(f"{c} long" for c in ["mask", "key", *distinct.columns])
+    rows = distinct.mapInArrow(_dealt(radius, parts), longs)
     crowded = cut_lineage(rows.groupBy("mask", "key").count().filter(F.col("count") > bucket_limit).select("mask", "key"), "crowded")
     if not crowded.isEmpty():
-        again = rows.join(crowded, ["mask", "key"], "left_semi").select("mask", "key", "fp").mapInArrow(_dealt_again(radius), "mask long, key long, fp long")
-        rows = rows.join(crowded, ["mask", "key"], "left_anti").select("mask", "key", "fp").unionByName(again)
-    return rows.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_linked(radius), "a long, b long").distinct()
+        again = rows.join(crowded, ["mask", "key"], "left_semi").select(*rows.columns).mapInArrow(_dealt_again(radius, parts), longs)
+        rows = rows.join(crowded, ["mask", "key"], "left_anti").select(*rows.columns).unionByName(again)
+    linked = rows.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(_linked(radius if limit is None else limit), "a long, b long")
+    return linked.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,15 +267,21 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """``doc_id``, ``fingerprint`` (long) and ``component_id`` (least doc_id reachable over links) of every row of ``docs``."""
-    prints = cut_lineage(fingerprints(docs, shingle), "fingerprints")
-    distinct = cut_lineage(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least")), "distinct")
-    roots = components(links(distinct, radius, bucket_limit))
-    of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def near_duplicates(
+    docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, parts: int = 1, n_words: int = 1, limit: int | None = None, bucket_limit: int = BUCKET_LIMIT
+) -> DataFrame:
+    """``doc_id``, ``fingerprint`` (long) and ``component_id`` (least doc_id reachable over links) of every row of ``docs``.
+
+    Without further arguments two texts link if their 64-bit fingerprints differ in ``radius`` bits or fewer; see ``links``.
+    """
+    prints = cut_lineage(fingerprints(docs, shingle, n_words), "fingerprints")
+    words = ["fingerprint", *(f"more_{k}" for k in range(1, n_words))]
+    node = F.col("fingerprint") if n_words == 1 else F.xxhash64(*words)
+    distinct = cut_lineage(prints.groupBy(*words).agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct")
+    roots = components(links(distinct.select("node", F.col("fingerprint").alias("fp"), *words[1:]), radius, parts, limit, bucket_limit))
+    of = distinct.join(roots, "node", "left").select(*words, "least", F.coalesce("root", "node").alias("root"))
     first = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = of.join(first, "root").select(F.col("fp").alias("fingerprint"), "component_id")
-    return prints.join(of, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    return prints.join(of.join(first, "root").select(*words, "component_id"), words).select("doc_id", "fingerprint", "component_id")
 
 
 @llm_query("op5_simhash")
