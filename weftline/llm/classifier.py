@@ -108,25 +108,27 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
     return np.frombuffer(bytes(found[0].weights), "<f4").astype(np.float64) if found else np.zeros((1 << BITS) + 1)
 
 
-def _scored(weights: np.ndarray):
+def _scored(weights: np.ndarray, names: list[str]):
     def score(batches):
         for batch in batches:
             out = [np.zeros(0)]
-            for a, b, data, starts in W.chunks(batch.column(1)):
+            for a, b, data, starts in W.chunks(batch.column("text")):
                 total = np.full(b - a, weights[-1])
                 for index, before in features(data, starts):
                     own = np.r_[0.0, np.cumsum(weights[index])]
                     total += GAIN * (own[before[1:]] - own[before[:-1]]) / np.maximum(np.diff(before), 1)
                 out.append(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(out))], names=["doc_id", "text", "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.concatenate(out))], names=[*names, "score"])
 
     return score
 
 
-def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``doc_id``, ``text`` (null: empty) and ``score`` (0 to 1, higher is better) of every row of ``docs``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_scored(weights), "doc_id long, text string, score double")
+def scored(docs: DataFrame, weights: np.ndarray, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """Columns ``keep`` and ``score`` (0 to 1, higher is better) of every row of ``docs``."""
+    kept = docs.select(*keep)
+    rows = kept if "text" in keep else docs.select(*keep, "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return rows.mapInArrow(_scored(weights, list(keep)), f"{schema}, score double")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -304,7 +304,7 @@ def _united(batches):
 
 
 def _cut(batches):
-    names = ["_id", "kept", "text", "n_bytes", "n_removed", "n_spans"]
+    names = ["_id", "kept", "text", "n_bytes", "n_removed", "n_spans", "rest"]
     for batch in batches:
         data, starts = W.utf8(batch.column(0))
         kept, texts, removed, spans = [], [], [], []
@@ -332,12 +332,15 @@ def _cut(batches):
             removed.append(int((end - begin).sum()))
             spans.append(len(begin))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(1), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), pa.array(np.diff(starts)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], names=names
+            [batch.column(1), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), pa.array(np.diff(starts)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), batch.column(3)], names=names
         )
 
 
-def without_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, keep_first: bool = True, log2_cells: int = LOG2_CELLS) -> DataFrame:
-    """``doc_id, kept`` (bytes), ``text`` (cut at whole characters only), ``n_bytes, n_removed, n_spans`` of every row of ``docs``."""
+def without_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, keep_first: bool = True, log2_cells: int = LOG2_CELLS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, kept`` (bytes), ``text`` (cut at whole characters only), ``n_bytes, n_removed, n_spans`` of every row of ``docs``.
+
+    ``carry``: columns of ``docs`` that come along in the struct ``rest``.
+    """
     if min_length < 2 * GRAM:
         raise ValueError(f"min_length must be {2 * GRAM} or more")
     rows = W.keyed(docs)
@@ -346,9 +349,12 @@ def without_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, keep_first: b
     moved = rows.select("_text", "_id", "_th").mapInArrow(_contexts(min_length, maybe, buckets, keep_first), _MOVED)
     spans = moved.repartition(buckets, "bucket").sortWithinPartitions("settled", "bucket").mapInArrow(_matched(min_length, keep_first, buckets), _MOVED)
     runs = spans.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_united, "_id long, _th long, runs binary")
-    joined = rows.join(runs, ["_id", "_th"], "left").select("_text", "_id", "runs")
-    cut = joined.mapInArrow(_cut, "_id long, kept binary, text string, n_bytes long, n_removed long, n_spans long")
-    return cut.select(W.null_id("_id").alias("doc_id"), "kept", "text", "n_bytes", "n_removed", "n_spans")
+    rest = F.struct(*carry) if carry else F.lit(None).cast("string")
+    whole = W.keyed(docs, rest.alias("rest"))
+    joined = whole.join(runs, ["_id", "_th"], "left").select("_text", "_id", "runs", "rest")
+    kind = joined.schema["rest"].dataType.simpleString()
+    cut = joined.mapInArrow(_cut, f"_id long, kept binary, text string, n_bytes long, n_removed long, n_spans long, rest {kind}")
+    return cut.select(W.null_id("_id").alias("doc_id"), "kept", "text", "n_bytes", "n_removed", "n_spans", *(["rest"] if carry else []))
 
 
 @llm_query("op4_suffix_dedup")

@@ -27,14 +27,14 @@ _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """``_id`` (doc_id; the least long for null), ``_th`` (hash of the text) and ``_text`` (null: empty), nothing else.
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """``_id`` (doc_id; the least long for null), ``_th`` (hash of the text) and ``_text`` (null: empty), then ``more``.
 
     Rows equal in ``_id`` and ``_th`` are the same document listed more than once.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("_id"), F.xxhash64(text).alias("_th"), text.alias("_text"), *more
     )
 
 
