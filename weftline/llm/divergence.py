@@ -25,7 +25,7 @@ from weftline.sources.tables import table
 
 MIN_WORDS = 50
 CHAR_LIMIT = 0.28
-WORD_LIMIT = 0.5
+WORD_LIMIT = 0.42
 WINDOW = 8
 
 # The commonest words of each language.
