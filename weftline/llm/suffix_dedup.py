@@ -38,8 +38,9 @@ from weftline.sources.tables import table
 MIN_LENGTH = 200
 GRAM = 32
 LOG2_CELLS = 26
-BUCKET_ANCHORS = 1 << 16
-TASK_ROWS = 150_000
+BUCKET_ANCHORS = 1 << 15
+TASK_ROWS = 100_000
+CHUNK = 1 << 18
 SLICE = 50_000
 
 
@@ -168,7 +169,7 @@ def _contexts(min_length: int, maybe, buckets: int, keep_first: bool):
         parts, n = [], 0
         for batch in batches:
             ids, ths = (batch.column(k).to_numpy() for k in (1, 2))
-            for a, b, data, starts in W.chunks(batch.column(0)):
+            for a, b, data, starts in W.chunks(batch.column(0), CHUNK):
                 h, row, place, begin, stop, sums = _anchors(data, starts, min_length)
                 pick = maybe.value(h)
                 hot = pick & maybe.value.hot(h) if pick.any() else pick
@@ -190,7 +191,7 @@ def _contexts(min_length: int, maybe, buckets: int, keep_first: bool):
                     got |= {"id": ids[a:b][r], "th": ths[a:b][r], "at": got["at"] - starts[r]}
                     parts.append((got, data.copy(), source))
                     n += len(r)
-                if n >= TASK_ROWS or len(parts) >= 16:
+                if n >= TASK_ROWS or len(parts) >= 64:
                     yield send(parts)
                     parts, n = [], 0
         if n:
@@ -211,6 +212,25 @@ def _in_suffix_order(buffer: np.ndarray, at: np.ndarray, min_length: int, keep_f
     return out
 
 
+def _window_hashes(raw: np.ndarray, source: np.ndarray, count: np.ndarray, min_length: int) -> np.ndarray:
+    """Hashes of the ``count`` windows of each context, in the order of the contexts, for a stretch of ``raw`` at a time."""
+    out = np.empty(int(count.sum()), np.uint64)
+    to = np.cumsum(count) - count
+    order = np.argsort(source, kind="stable")
+    a = 0
+    while a < len(order):
+        low = source[order[a]]
+        b = max(a + 1, int(np.searchsorted(source[order], low + CHUNK)))
+        own = order[a:b]
+        n = count[own]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(source[own] - low, n) + step
+        sums = W.prefix_sums(raw[low : int(source[own[-1]] + n[-1]) + min_length - 1])
+        out[np.repeat(to[own], n) + step] = W.span_hash(sums, at, at + min_length)
+        a = b
+    return out
+
+
 def _matched(min_length: int, keep_first: bool, bins: int):
     def judged(rows):
         fields = [[_unsqueezed(x, r[1], t) for x, t in zip(r[3], _FIELDS.values())] for r in rows]
@@ -234,8 +254,7 @@ def _matched(min_length: int, keep_first: bool, bins: int):
             source = np.arange(int(count.sum())) + np.repeat(f["source"][own] - (np.cumsum(count) - count), count)
             context = np.repeat(np.arange(len(own)), count)
             offset = np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
-            sums = W.prefix_sums(raw)
-            h = W.span_hash(sums, source, source + min_length)
+            h = _window_hashes(raw, f["source"][own], count, min_length)
             order = np.argsort(h, kind="stable")
             same = h[order][1:] == h[order][:-1]
             order = order[np.r_[False, same] | np.r_[same, False]]
