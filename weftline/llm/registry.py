@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
-    "sharding", "packing", "suffix_dedup", "simhash", "divergence", "decontamination", "classifier", "substring_dedup", "huffman",
+    "katz", "sharding", "packing", "suffix_dedup", "simhash", "divergence", "decontamination", "classifier", "substring_dedup", "huffman",
 )
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
