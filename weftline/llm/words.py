@@ -95,7 +95,7 @@ def spans(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def _powers(name: str, n: int) -> np.ndarray:
-    if len(_POWERS.get(name, ())) < n:
+    if name not in _POWERS or len(_POWERS[name]) < n:
         step = _BASE if name == "up" else _INVERSE
         table = np.full(max(n, CHUNK + 1), step, np.uint64)
         table[0] = 1
