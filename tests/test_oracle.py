@@ -7,7 +7,7 @@ from weftline.registry import all_queries
 
 QUERIES = all_queries()
 # Empty at the smallest scale by nature of the data.
-MAY_BE_EMPTY = {"clear_store", "embedded_topk", "fuzzy_match", "hybrid_search"}
+MAY_BE_EMPTY = {"clear_store", "embedded_topk", "fuzzy_match", "fuzzy_match_all", "hybrid_search"}
 
 
 @pytest.fixture(scope="module")

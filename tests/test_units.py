@@ -314,7 +314,7 @@ def test_fuzzy_brute_force(spark):
     asked = [(i, " ".join(rng.choice(words, 7))) for i in range(80)] + [(900, ""), (901, known[5][1].upper())]
     k = spark.createDataFrame(known + [(77, " ")], "id bigint, t string")
     a = spark.createDataFrame(asked, "q bigint, t string")
-    got = {r.q: (r.cached_id, round(r.similarity, 6)) for r in similarity.fuzzy_lookup(a, "q", "t", similarity.cached_texts(k, "id", "t"), 0.6).collect()}
+    got = {r.q: (r.cached_id, round(r.similarity, 6)) for r in similarity.fuzzy_lookup(a, "q", "t", similarity.cached_texts(k, "id", "t", 100), 0.6).collect()}
     cache = {}
     for i, t in known + [(77, "")]:
         cache[t] = max(i, cache.get(t, -1))

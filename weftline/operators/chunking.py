@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,46 +18,32 @@ SPANS = "array<struct<chunk_no:bigint,start_byte:int,end_byte:int,text:string>>"
 
 
 def byte_windows(text: str, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """Windows of at most ``limit`` UTF-8 bytes that end after a newline or else a blank where one is inside.
+    """Windows of at most ``limit`` UTF-8 bytes, as (start, end, text without outer white space).
 
-    Offsets always fall between characters; each window starts ``overlap`` bytes before the last one ended.
+    All places where a text may be cut are listed first: between characters, behind newlines, behind blanks. A window takes
+    as many whole characters as fit, at least one; unless the text ends there, it then gives up what follows its last
+    newline, or else its last blank. The next window starts at the last character boundary ``overlap`` bytes or more before
+    that end, if this is behind the present start, or else at the end. Windows of white space only are left out.
     """
-    raw = text.encode("utf-8")
-    size = len(raw)
-    if not size or limit <= 0:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    if not len(raw) or limit <= 0:
         return []
+    between = [*np.flatnonzero(raw & 0xC0 != 0x80).tolist(), len(raw)]
+    marks = [(np.flatnonzero(raw == byte) + 1).tolist() for byte in b"\n "]
+
+    def last(places: list[int], low: int, high: int) -> int | None:
+        """The greatest of the sorted places in (low, high]."""
+        k = bisect_right(places, high)
+        return places[k - 1] if k and places[k - 1] > low else None
 
-    def inside_char(at: int) -> bool:
-        return at < size and raw[at] & 0xC0 == 0x80
-
-    def back(at: int) -> int:
-        while inside_char(at):
-            at -= 1
-        return at
-
-    def ahead(at: int) -> int:
-        while inside_char(at):
-            at += 1
-        return min(at, size)
-
-    out, at = [], 0
-    while at < size:
-        stop = back(min(size, at + limit))
-        if at < stop < size:
-            mark = raw.rfind(b"\n", at, stop)
-            if mark < 0:
-                mark = raw.rfind(b" ", at, stop)
-            stop = mark + 1 if mark >= 0 else stop
-        if stop <= at:
-            stop = ahead(at + 1)
-        piece = raw[at:stop].decode("utf-8").strip(WS_CHARS)
-        if piece:
-            out.append((at, stop, piece))
-        resume = back(stop - overlap) if overlap < stop - at else stop
-        if stop >= size:
-            break
-        at = resume if resume > at else ahead(max(stop, at + 1))
-    return out
+    found, start, end = [], 0, 0
+    while end < len(raw):
+        end = last(between, start, start + limit) or between[bisect_right(between, start)]
+        if end < len(raw) and end - start <= limit:
+            end = last(marks[0], start, end) or last(marks[1], start, end) or end
+        found.append((start, end, raw[start:end].tobytes().decode().strip(WS_CHARS)))
+        start = last(between, start, end - overlap) or end
+    return [w for w in found if w[2]]
 
 
 def text_chunks(df: DataFrame, key: str, text: str, limit: int, overlap: int) -> DataFrame:
@@ -62,8 +51,7 @@ def text_chunks(df: DataFrame, key: str, text: str, limit: int, overlap: int) ->
 
     @F.pandas_udf(SPANS)
     def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [
-            {"chunk_no": i, "start_byte": a, "end_byte": b, "text": c} for i, (a, b, c) in enumerate(byte_windows(t or "", limit, overlap))])
+        return pd.Series([[(k, *w) for k, w in enumerate(byte_windows(t or "", limit, overlap))] for t in texts])
 
     rows = unnest(df, [key], split(F.col(text)), "_chunk")
     number = F.col("_chunk.chunk_no")

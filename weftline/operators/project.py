@@ -27,8 +27,11 @@ def project_counts(files: DataFrame, project: Column) -> DataFrame:
         count(lambda x: (x["visibility"] == "Public") & ~documented(x)).alias("undocumented"), count(lambda x: tx.trim(x["above"]) == "#[test]").alias("tests"),
         count(lambda x: F.contains(x["head"], F.lit("async "))).alias("asyncs"), count(lambda x: x["kind"] == "Function").alias("functions"))
     sums = ["lines", "n", "complexity", "public", "complex", "very_complex", "documented", "undocumented", "tests", "asyncs", "functions"]
-    return per_file.groupBy("project").agg(
-        F.count("*").alias("files"), F.count_if(F.col("bytes") > 10_000).alias("large"), F.max("language").alias("language"),
+    per_language = per_file.groupBy("project", "language").agg(F.count("*").alias("files"), F.count_if(F.col("bytes") > 10_000).alias("large"), *[F.sum(c).alias(c) for c in sums])
+    # The main language has most lines, of equals the first by name.
+    main = F.min_by("language", F.struct(-F.col("lines"), "language"))
+    return per_language.groupBy("project").agg(
+        F.sum("files").alias("files"), F.sum("large").alias("large"), main.alias("language"), F.max(F.when(F.col("language").isNotNull(), F.col("lines"))).alias("main_lines"),
         *[F.sum(c).alias(c) for c in sums])
 
 
@@ -46,9 +49,9 @@ def _said(*parts) -> Column:
 
 
 def insights() -> Column:
-    """Findings over ``project_metrics`` columns."""
+    """Findings over ``project_metrics`` columns. The texts are fixed values."""
     c = F.col
-    share = F.floor(c("lines") * 100 / c("lines"))
+    share = F.floor(c("main_lines") * 100 / c("lines"))
     return F.array_compact(F.array(
         F.when(c("lines") > 0, _said(share, "% del código está en ", c("language"))),
         F.when(c("complex") > 0, _said(c("complex"), " funciones con complejidad alta detectadas")).otherwise("Complejidad general del código es manejable"),

@@ -30,16 +30,16 @@ def prefix(tokens: Column, threshold: float) -> Column:
     return F.transform(F.slice(ordered, 1, (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")), lambda s: s["h"])
 
 
-def cached_texts(df: DataFrame, key: str, text: str, capacity: int = fixed.FUZZY_CACHE) -> DataFrame:
-    """What an LRU cache of ``capacity`` holds after ``df`` was inserted in ``key`` order."""
+def cached_texts(df: DataFrame, key: str, text: str, capacity: int | None) -> DataFrame:
+    """What an LRU cache of ``capacity`` (none: no bound) holds after ``df`` was inserted in ``key`` order."""
     last = df.groupBy(tx.normalise(F.col(text)).alias("cached")).agg(F.max(key).alias("cached_id"))
-    return last.orderBy(F.desc("cached_id")).limit(capacity)
+    return last if capacity is None else last.orderBy(F.desc("cached_id")).limit(capacity)
 
 
 def fuzzy_lookup(queries: DataFrame, key: str, text: str, cache: DataFrame, threshold: float = fixed.FUZZY_THRESHOLD) -> DataFrame:
     """Best cached text per query: the same text first, then highest Jaccard, then most recent.
 
-    ``cache`` holds at most ``FUZZY_CACHE`` rows, so it is broadcast; candidates meet on prefix hashes only.
+    Candidates meet on prefix hashes only, by a join whose kind is left to the planner.
     """
     side = cache.select("cached_id", "cached", F.split("cached", " ").alias("_all")).select(
         "cached_id", "cached", F.array_distinct("_all").alias("cached_tokens"))
@@ -48,7 +48,7 @@ def fuzzy_lookup(queries: DataFrame, key: str, text: str, cache: DataFrame, thre
     asked = unnest(asked, [key, "query", "tokens"], prefix(F.col("tokens"), threshold), "_h")
     # Similar sets also have similar sizes.
     sizes = (F.size("tokens") >= F.size("cached_tokens") * threshold) & (F.size("cached_tokens") >= F.size("tokens") * threshold)
-    met = asked.join(F.broadcast(side), "_h").filter(sizes)
+    met = asked.join(side, "_h").filter(sizes)
     scored = met.withColumn("similarity", jaccard(F.col("tokens"), F.col("cached_tokens"))).filter(F.col("similarity") >= threshold)
     best = F.max_by(F.struct("cached_id", "similarity"), F.struct(F.col("query") == F.col("cached"), "similarity", "cached_id"))
     return scored.groupBy(key).agg(best.alias("_best")).select(key, "_best.*")

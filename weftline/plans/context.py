@@ -27,8 +27,9 @@ _COUNTS_CTE = f"""{SYMBOL_CTE}, pf AS (SELECT s.file_id, regexp_extract(s.path,
 sc AS (SELECT file_id, count(*) AS n, sum(complexity) AS complexity, count(*) FILTER (visibility = 'Public') AS public, count(*) FILTER (complexity > 10) AS complex, count(*) FILTER (complexity > 15) AS very_complex,
  count(*) FILTER (starts_with(trim(above), '///')) AS documented, count(*) FILTER (visibility = 'Public' AND NOT starts_with(trim(above), '///')) AS undocumented, count(*) FILTER (trim(above) = '#[test]') AS tests, count(*) FILTER (contains(t, 'async ')) AS asyncs,
  count(*) FILTER (kind = 'Function') AS functions FROM sym GROUP BY file_id),
-pc AS (SELECT project, count(*) AS files, count(*) FILTER (bytes > 10000) AS large, max(language) AS language, sum(lines) AS lines, sum(n) AS n, sum(complexity) AS complexity, sum(public) AS public, sum(complex) AS complex, sum(very_complex) AS very_complex, sum(documented) AS documented,
- sum(undocumented) AS undocumented, sum(tests) AS tests, sum(asyncs) AS asyncs, sum(functions) AS functions FROM pf JOIN sc USING (file_id) GROUP BY project),
+pl AS (SELECT project, language, sum(lines) AS language_lines FROM pf JOIN sc USING (file_id) GROUP BY 1, 2), pk AS (SELECT pf.*, language_lines, (-language_lines, language) AS main_key FROM pf JOIN pl USING (project, language)),
+pc AS (SELECT project, count(*) AS files, count(*) FILTER (bytes > 10000) AS large, arg_min(language, main_key) AS language, max(language_lines) AS main_lines, sum(lines) AS lines, sum(n) AS n, sum(complexity) AS complexity, sum(public) AS public, sum(complex) AS complex, sum(very_complex) AS very_complex, sum(documented) AS documented,
+ sum(undocumented) AS undocumented, sum(tests) AS tests, sum(asyncs) AS asyncs, sum(functions) AS functions FROM pk JOIN sc USING (file_id) GROUP BY project),
 pm AS (SELECT *, least(greatest((CAST(complexity AS DOUBLE) / n - 1.0) * 10.0, 0.0), 100.0) AS score FROM pc), pr AS (SELECT *, greatest(100.0 - least(lines / 1000, 30.0) - score / 2.0, 0.0) AS maintainability FROM pm)"""
 
 
@@ -43,7 +44,7 @@ def project_metrics(spark, sf):
                                      F.round("doc_coverage", 6).alias("doc_coverage"), F.round("test_coverage", 6).alias("test_coverage"))
 
 
-@query("project_insights", "CD19 AG5 CX1", f"""WITH {_COUNTS_CTE} SELECT project, '100% del código está en ' || language || '|' || CASE WHEN complex > 0 THEN complex || ' funciones con complejidad alta detectadas' ELSE 'Complejidad general del código es manejable' END || '|' || CAST(documented * 100 // n AS BIGINT) || '% de símbolos documentados'
+@query("project_insights", "CD19 AG5 CX1", f"""WITH {_COUNTS_CTE} SELECT project, CAST(main_lines * 100 // lines AS BIGINT) || '% del código está en ' || language || '|' || CASE WHEN complex > 0 THEN complex || ' funciones con complejidad alta detectadas' ELSE 'Complejidad general del código es manejable' END || '|' || CAST(documented * 100 // n AS BIGINT) || '% de símbolos documentados'
  || CASE WHEN tests > 0 THEN '|' || tests || ' tests detectados' ELSE '' END || CASE WHEN asyncs > 0 THEN '|' || asyncs || ' funciones asíncronas (uso de async/await)' ELSE '' END || '|' || CASE WHEN maintainability >= 70 THEN 'Índice de mantenibilidad: Alto (código fácil de mantener)'
  WHEN maintainability >= 50 THEN 'Índice de mantenibilidad: Medio' ELSE 'Índice de mantenibilidad: Bajo (considerar refactoring)' END AS insights,
  coalesce(nullif(concat_ws('|', CASE WHEN undocumented > 0 THEN 'Agregar documentación a ' || undocumented || ' símbolos públicos sin documentar' END, CASE WHEN very_complex > 0 THEN 'Refactorizar ' || very_complex || ' funciones con complejidad muy alta (>15)' END,
@@ -132,16 +133,17 @@ def largest_files(spark, sf):
     return d.join(F.broadcast(top), "doc_id").select("doc_id", "size", F.array_join(F.slice(tx.lines(F.col("text")), 1, 200), "\n").alias("head"))
 
 
-@query("group_summary", "VR16 SC5", """WITH g AS (SELECT conv_id, count(*) AS n, arg_min(text, turn) AS a, arg_max(text, turn) AS b FROM conversations GROUP BY 1)
-SELECT conv_id, n, CASE WHEN n = 1 THEN substr(string_split(a, chr(10))[1], 1, 100) WHEN n = 2 THEN substr(string_split(a, chr(10))[1], 1, 100) || ' | ' || substr(string_split(b, chr(10))[1], 1, 100) END AS summary FROM g""")
+@query("group_summary", "VR16 SC5", """WITH g AS (SELECT conv_id, count(*) AS n, arg_min(text, turn) AS a, arg_max(text, turn) AS b, substr(string_agg(substr(string_split(text, chr(10))[1], 1, 100), ' | ' ORDER BY turn, text), 1, 300) AS heads FROM conversations GROUP BY 1)
+SELECT conv_id, n, CASE WHEN n = 1 THEN substr(string_split(a, chr(10))[1], 1, 100) WHEN n = 2 THEN substr(string_split(a, chr(10))[1], 1, 100) || ' | ' || substr(string_split(b, chr(10))[1], 1, 100) ELSE heads END AS summary FROM g""")
 def group_summary(spark, sf):
-    """Groups of one or two texts join their first lines; larger groups need a model and stay null."""
-    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"), F.min_by("text", "turn").alias("a"), F.max_by("text", "turn").alias("b"))
-
-    def head(c):
-        return F.substring(F.substring_index(F.col(c), "\n", 1), 1, 100)
-
-    return g.select("conv_id", "n", F.when(F.col("n") == 1, head("a")).when(F.col("n") == 2, F.concat(head("a"), F.lit(" | "), head("b"))).alias("summary"))
+    """First lines joined: of one or two texts whole, of more cut at 300 characters, which stands in for a model's answer."""
+    head = F.substring(F.substring_index("text", "\n", 1), 1, 100)
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text", head.alias("head"))
+    sizes = c.groupBy("conv_id").agg(F.count("*").alias("n"))
+    # A separator has three characters, so 300 characters hold the heads of 102 texts at most.
+    first = c.withColumn("k", F.row_number().over(W.partitionBy("conv_id").orderBy("turn", "text"))).filter("k <= 102")
+    heads = first.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", "head"))), lambda x: x["head"]), " | ").alias("heads"))
+    return sizes.join(heads, "conv_id").select("conv_id", "n", F.when(F.col("n") <= 2, F.col("heads")).otherwise(F.substring("heads", 1, 300)).alias("summary"))
 
 
 @query("plan_markdown", "CX4 SC32", f"""WITH {cte("task_plans")}, l AS (SELECT plan_id, unnest(string_split(analysis, chr(10))) AS line, generate_subscripts(string_split(analysis, chr(10)), 1) AS i FROM task_plans),

@@ -70,10 +70,10 @@ def git_diff_hunks(spark, sf):
     return parsers.git_diff_hunks(derived(spark, sf, "git_diffs"), "diff_id", "output")
 
 
-@query("git_diff_totals", "AG16", f"""WITH {_DIFF_CTE} SELECT coalesce(path, '(total)') AS path, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions FROM g GROUP BY ROLLUP (path)""")
+@query("git_diff_totals", "AG16", f"""WITH {_DIFF_CTE} SELECT CASE WHEN grouping(path) = 1 THEN '(total)' ELSE path END AS path, CAST(sum(additions) AS BIGINT) AS additions, CAST(sum(deletions) AS BIGINT) AS deletions FROM g GROUP BY ROLLUP (path)""")
 def git_diff_totals(spark, sf):
     h = parsers.git_diff_hunks(derived(spark, sf, "git_diffs"), "diff_id", "output")
-    return h.rollup("path").agg(F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")).withColumn("path", F.coalesce("path", F.lit("(total)")))
+    return h.rollup("path").agg(F.grouping("path").alias("whole"), F.sum("additions").alias("additions"), F.sum("deletions").alias("deletions")).withColumn("path", F.when(F.col("whole") == 1, "(total)").otherwise(F.col("path"))).drop("whole")
 
 
 @query("git_blame", "SRC11 WN8", f"""WITH {exploded("git_blames", "blame_id", "output")}, m AS (SELECT *, CASE WHEN regexp_matches(line, '^[0-9a-f]{{40}}$') THEN substr(line, 1, 8) END AS c, CASE WHEN starts_with(line, 'author ') THEN substr(line, 8) END AS a,

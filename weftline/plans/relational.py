@@ -99,8 +99,8 @@ FROM g ORDER BY lines DESC, lang LIMIT 11""")
 def index_summary(spark, sf):
     f = spread(table(spark, sf, "documents").select("lang", "text"))
     f = f.select("lang", F.octet_length("text").alias("size"), F.size(tx.lines(F.col("text"))).alias("n"))
-    g = f.rollup("lang").agg(F.count("*").alias("files"), F.sum("n").alias("lines"), F.sum("size").alias("bytes"))
-    g = g.withColumn("lang", F.coalesce("lang", F.lit("(all)")))
+    g = f.rollup("lang").agg(F.grouping("lang").alias("whole"), F.count("*").alias("files"), F.sum("n").alias("lines"), F.sum("size").alias("bytes"))
+    g = g.withColumn("lang", F.when(F.col("whole") == 1, "(all)").otherwise(F.col("lang"))).drop("whole")
     return g.withColumn("size_text", tx.format_size(F.col("bytes"))).withColumn("lines_text", tx.format_count(F.col("lines"))).orderBy(F.desc("lines"), "lang").limit(11)
 
 

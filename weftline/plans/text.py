@@ -169,16 +169,27 @@ def _asked(spark, sf):
             .unionByName(c.select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("."), F.col("turn").cast("string")).alias("id"), "text")))
 
 
-@query("fuzzy_match", "JN10 CL9 ST1 SC3", f"""WITH n AS (SELECT item_id, array_to_string(list_filter(string_split_regex(lower(text), '{WS}+'), lambda w: w <> ''), ' ') AS cached FROM benchmark),
-cache AS (SELECT cached, max(item_id) AS cached_id FROM n GROUP BY 1 ORDER BY 2 DESC LIMIT 100), asked AS (SELECT 'b' || item_id AS id, text FROM benchmark UNION ALL
+def _fuzzy_sql(limit: str) -> str:
+    return f"""WITH n AS (SELECT item_id, array_to_string(list_filter(string_split_regex(lower(text), '{WS}+'), lambda w: w <> ''), ' ') AS cached FROM benchmark),
+cache AS (SELECT cached, max(item_id) AS cached_id FROM n GROUP BY 1 {limit}), asked AS (SELECT 'b' || item_id AS id, text FROM benchmark UNION ALL
  SELECT 'a' || item_id, CASE item_id % 4 WHEN 0 THEN text || ' ' || text WHEN 1 THEN 'please ' || text WHEN 2 THEN substr(text, 1 + instr(text, ' ')) ELSE '  ' || text || '  x y z w v u t s r q p o' END FROM benchmark
  UNION ALL SELECT 'c' || conv_id || '.' || turn, text FROM conversations),
 a AS (SELECT id, array_to_string(list_filter(string_split_regex(lower(text), '{WS}+'), lambda w: w <> ''), ' ') AS query FROM asked),
 s AS (SELECT id, query, cached, cached_id, list_distinct(string_split(query, ' ')) AS x, list_distinct(string_split(cached, ' ')) AS y FROM a, cache),
 j AS (SELECT *, len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))) AS sim FROM s)
-SELECT id, arg_max(cached_id, (query = cached, sim, cached_id)) AS cached_id, round(arg_max(sim, (query = cached, sim, cached_id)), 6) AS similarity FROM j WHERE sim >= 0.85 GROUP BY id""")
+SELECT id, arg_max(cached_id, (query = cached, sim, cached_id)) AS cached_id, round(arg_max(sim, (query = cached, sim, cached_id)), 6) AS similarity FROM j WHERE sim >= 0.85 GROUP BY id"""
+
+
+@query("fuzzy_match", "JN10 CL9 ST1 SC3", _fuzzy_sql(f"ORDER BY 2 DESC LIMIT {fixed.FUZZY_CACHE}"))
 def fuzzy_match(spark, sf):
-    cache = similarity.cached_texts(table(spark, sf, "benchmark"), "item_id", "text")
+    """Against the cache of the client, which holds so many texts."""
+    cache = similarity.cached_texts(table(spark, sf, "benchmark"), "item_id", "text", fixed.FUZZY_CACHE)
+    return similarity.fuzzy_lookup(_asked(spark, sf), "id", "text", cache).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("fuzzy_match_all", "JN10 CL9 ST1 SC3", _fuzzy_sql(""))
+def fuzzy_match_all(spark, sf):
+    cache = similarity.cached_texts(table(spark, sf, "benchmark"), "item_id", "text", None)
     return similarity.fuzzy_lookup(_asked(spark, sf), "id", "text", cache).withColumn("similarity", F.round("similarity", 6))
 
 
