@@ -84,7 +84,7 @@ class Mixture:
                     high = mid - 1
             given, n = [g + s for g, s in zip(given, self._split(share, low))], n + low
         self.starts = [p[0] for p in self.phases]
-        self._edges: dict[int, list[int]] = {}
+        self._edges: dict[int, tuple[list[int], list[int]]] = {}
 
     @staticmethod
     def _split(share: list[int], n: int) -> list[int]:
@@ -96,15 +96,20 @@ class Mixture:
             out[0] = n
         return out
 
-    def given(self, window: int) -> list[int]:
-        """Tokens of each queue ahead of that window."""
-        if window not in self._edges:
+    def edges(self, window: int) -> tuple[list[int], list[int]]:
+        """Tokens of each queue ahead of that window, and of all queues before each."""
+        found = self._edges.get(window)
+        if found is None:
             if len(self._edges) > 4096:
                 self._edges.clear()
             n = min(window * self.length, self.total)
             start, given, share = self.phases[max(0, bisect_right(self.starts, n) - 1)]
-            self._edges[window] = [g + s for g, s in zip(given, self._split(share, n - start))]
-        return self._edges[window]
+            own = [g + s for g, s in zip(given, self._split(share, n - start))]
+            found = self._edges[window] = own, list(accumulate(own, initial=0))
+        return found
+
+    def given(self, window: int) -> list[int]:
+        return self.edges(window)[0]
 
     def window_of(self, queue: int, token: int) -> int:
         low, high = 0, self.total // self.length
@@ -131,16 +136,17 @@ def _cut(mixture: Mixture, queues: dict, with_ids: bool):
                 w = at.get(queue, -1)
                 if w < 0 or not mixture.given(w)[queue] <= begin < mixture.given(w + 1)[queue]:
                     w = mixture.window_of(queue, begin)
+                low, before = mixture.edges(w)
                 while start < n:
-                    low, high = mixture.given(w), mixture.given(w + 1)
+                    high, behind = mixture.edges(w + 1)
                     length = min(n - start, high[queue] - begin - start)
                     if length > 0:
                         piece = ids[4 * start : 4 * (start + length)]
-                        offset = sum(high[:queue]) - sum(low[:queue]) + begin + start - low[queue]
+                        offset = behind[queue] - before[queue] + begin + start - low[queue]
                         rows.append((doc, start, length, zlib.crc32(piece), n, w, offset, source, piece if with_ids else None))
                         start, size = start + length, size + len(piece)
                     if start < n:
-                        w += 1
+                        w, low, before = w + 1, high, behind
                 at[queue] = w
                 if size > 1 << 22:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)

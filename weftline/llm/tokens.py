@@ -14,7 +14,7 @@ import public_tokenizers
 import regex
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-CACHE = 200_000
+CACHE = 250_000
 
 _PLACE = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s")
@@ -40,7 +40,8 @@ class Encoder:
             spec = json.load(f)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.model = BPE(spec["model"]["vocab"], merges, cache_capacity=0)  # words that come again are kept here
-        self.pieces: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}  # ids of what follows a blank, with that blank
+        self.pieces: dict[str, bytes] = {}  # of anything else
         self.shown = dict(enumerate(_byte_characters()))
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.id_bytes = [i.to_bytes(4, "little") for i in range(len(spec["model"]["vocab"]) + len(self.special))]
@@ -51,39 +52,47 @@ class Encoder:
 
         return b"".join([self.id_bytes[i] for i in Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids])
 
-    def _word(self, word: str) -> bytes:
-        """Ids of what the pattern leaves in one, kept if new."""
-        found = self.pieces.get(word)
+    def _ids(self, word: str) -> bytes:
+        """Of what the pattern leaves in one."""
+        shown = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.shown)
+        id_bytes = self.id_bytes
+        return b"".join([id_bytes[t.id] for t in self.model.tokenize(shown)])
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
         if found is None:
             if len(self.pieces) >= CACHE:
                 self.pieces.clear()
-            shown = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.shown)
-            id_bytes = self.id_bytes
-            found = self.pieces[word] = b"".join([id_bytes[t.id] for t in self.model.tokenize(shown)])
+            found = b"".join([self._ids(w) for w in _PIECES.findall(piece)])
+            if len(piece) < 64:
+                self.pieces[piece] = found
         return found
 
-    def _piece(self, piece: str) -> bytes:
-        bare = piece[1:] if piece[:1] == " " else piece
-        if bare.isalpha():  # the pattern's letters are those of isalpha
-            return self._word(piece)
-        if bare[:-1].isalpha() and bare[-1] in ".,;:?!|#*$%&":
-            return self._word(piece[:-1]) + self._word(piece[-1])
-        found = b"".join([self._word(w) for w in _PIECES.findall(piece)])
-        if len(piece) < 64:
-            self.pieces[piece] = found
+    def _after_blank(self, word: str) -> bytes:
+        bare = self.bare
+        if word.isalpha():  # the pattern's letters are those of isalpha
+            if len(bare) >= CACHE:
+                bare.clear()
+            found = bare[word] = self._ids(" " + word)
+        elif word[:-1].isalpha() and word[-1] in ".,;:?!|#*$%&":
+            first = bare.get(word[:-1])
+            found = (self._after_blank(word[:-1]) if first is None else first) + self._piece(word[-1])
+            if first is not None:  # met before, so likely to come again
+                bare[word] = found
+        else:
+            found = self._piece(" " + word)
+            bare[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._whole(text)
         parts = text.split(" ") if not _ODD.search(text) and text[:1] != " " and text[-1:] != " " else _PLACE.split(text)
-        pieces, own = self.pieces, self._piece
-        out = [own(parts[0])]
-        for part in parts[1:]:
-            part = " " + part
-            found = pieces.get(part)
-            out.append(own(part) if found is None else found)
-        return b"".join(out)
+        found = list(map(self.bare.get, parts))
+        found[0] = self._piece(parts[0])
+        for k in [k for k, x in enumerate(found) if x is None]:
+            found[k] = self._after_blank(parts[k])
+        return b"".join(found)
 
 
 def encoder(path: str) -> Encoder:
