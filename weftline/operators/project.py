@@ -81,7 +81,8 @@ def _pieces(text: Column) -> Column:
 def related_files(sources: DataFrame, others: DataFrame) -> DataFrame:
     """``(path, related, relation, confidence)`` for Rust ``sources(path, content)`` among ``others(path)``.
 
-    Imports resolve to module files, tests lie under ``tests/`` and share the stem, guides lie beside the source.
+    Imports resolve to module files, tests lie under ``tests/`` and share the stem, guides lie beside the source, and every
+    source depends on the manifest at the root, if there is one. For each source the surest relations come first.
     """
     src = sources.filter(tx.extension(F.col("path")) == "rs").select("path", "content")
     known = others.select(F.col("path").alias("related")).unionByName(sources.select(F.col("path").alias("related"))).distinct()
@@ -102,10 +103,14 @@ def related_files(sources: DataFrame, others: DataFrame) -> DataFrame:
     guides = known.filter(tx.file_name(F.col("related")) == "README.md").select("related", tx.parent_dir(F.col("related")).alias("dir"))
     beside = src.select("path", tx.parent_dir(F.col("path")).alias("dir")).join(guides, "dir").select("path", "related")
 
+    manifest = src.select("path", F.lit("Cargo.toml").alias("related")).join(known.filter(F.col("related") == "Cargo.toml"), "related", "left_semi")
+
     def tagged(df, relation, confidence):
         return df.select("path", "related", F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence"))
 
-    return (tagged(imports, "import", 0.8).unionByName(tagged(by_stem.unionByName(by_pattern).distinct(), "test", 0.85)).unionByName(tagged(beside, "documentation", 0.7)))
+    found = tagged(imports, "import", 0.8).unionByName(tagged(by_stem.unionByName(by_pattern).distinct(), "test", 0.85))
+    found = found.unionByName(tagged(beside, "documentation", 0.7)).unionByName(tagged(manifest.select("path", "related"), "dependency", 0.6))
+    return found.repartition("path").sortWithinPartitions("path", F.desc("confidence"), "related")
 
 
 def fit_budget(sections: DataFrame, key: str, order: str, rank: str, tokens: str, budget: int) -> DataFrame:

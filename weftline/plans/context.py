@@ -62,7 +62,8 @@ i AS (SELECT b.path, CASE WHEN base || '.rs' IN (SELECT path FROM known) THEN ba
 t AS (SELECT path AS related, regexp_extract(path, '([^/]*)$', 1) AS name FROM known WHERE starts_with(path, 'tests/'))
 SELECT path, related, 'import' AS relation, CAST(0.8 AS DOUBLE) AS confidence FROM i WHERE related IS NOT NULL
 UNION ALL SELECT path, related, 'test', 0.85 FROM src JOIN t ON contains(name, stem) OR contains(stem || '_test.rs', name) OR contains('test_' || stem || '.rs', name) OR contains(stem || '_tests.rs', name) OR contains('tests/' || stem || '.rs', name)
-UNION ALL SELECT s.path, k.path, 'documentation', 0.7 FROM src s JOIN known k ON k.path = regexp_extract(s.path, '{_PROJECT}', 1) || '/README.md'""")
+UNION ALL SELECT s.path, k.path, 'documentation', 0.7 FROM src s JOIN known k ON k.path = regexp_extract(s.path, '{_PROJECT}', 1) || '/README.md'
+UNION ALL SELECT s.path, 'Cargo.toml', 'dependency', 0.6 FROM src s WHERE 'Cargo.toml' IN (SELECT path FROM known)""")
 def related_files(spark, sf):
     return project.related_files(derived(spark, sf, "src_files"), derived(spark, sf, "side_files"))
 

@@ -406,7 +406,7 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
     }),
     "file_paths": ("part", {"file_id": _K, "path": choose("p_partkey", FILE_NAMES), "size": "p_size * p_partkey * 97"}),
     "side_files": ("part", {"file_id": _K, "path": choose("p_partkey", [
-        "tests/unit_<<p_partkey * 4 % 400>>_test.rs", "tests/test_unit_<<p_partkey % 90 * 4>>.rs", "src/mod<<p_partkey % 30>>/README.md", "tests/common.rs", "tests/nit_<<p_partkey>>.rs"])}),
+        "tests/unit_<<p_partkey * 4 % 400>>_test.rs", "tests/test_unit_<<p_partkey % 90 * 4>>.rs", "src/mod<<p_partkey % 30>>/README.md", "tests/common.rs", "tests/nit_<<p_partkey>>.rs", "Cargo.toml"])}),
     "changes": ("part", {"path": f"(CASE p_partkey % 4 WHEN 0 THEN {template('src/mod<<p_partkey % 37>>/unit_<<p_partkey>>.rs')} ELSE {template('lib/mod<<p_partkey % 37>>/unit_<<p_partkey>>.py')} END)",
                          "line": "(CASE p_partkey % 9 WHEN 0 THEN 'M ' WHEN 1 THEN ' M' WHEN 2 THEN 'A ' WHEN 3 THEN 'D ' WHEN 4 THEN '??' WHEN 5 THEN 'UU' ELSE 'MM' END)", "nth": "p_partkey"}),
     "commands": ("orders", {"cmd_id": "o_orderkey", "command": choose("o_orderkey", COMMANDS)}),
