@@ -185,7 +185,7 @@ def test_diff(spark):
     df = spark.createDataFrame([(["a", "b"], ["a", "c", "d"]), ([], ["x"]), (["x"], [])], "o array<string>, n array<string>")
     plus, minus = code.diff_stats(F.col("o"), F.col("n"))
     assert [tuple(r) for r in df.select(plus, minus).collect()] == [(2, 1), (1, 0), (0, 1)]
-    h = [r[0].asDict() for r in df.select(code.diff_hunk(F.col("o"), F.col("n"))).collect()]
+    h = [r[0].asDict() for r in df.select(code.diff_hunk(F.col("o"), F.col("n"), 50)).collect()]
     assert h[0] == {"old_start": 1, "old_count": 2, "new_start": 1, "new_count": 3, "lines": [" a", "-b", "+c", "+d"]}
     assert h[1]["lines"] == ["+x"] and h[2]["lines"] == ["-x"]
 

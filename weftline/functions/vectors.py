@@ -70,24 +70,53 @@ def _mapped(column: Column, kind: str, one) -> Column:
     return run(column)
 
 
+def _to_bytes(column: Column, convert) -> Column:
+    """Vectors to bytes, all of a batch converted at once."""
+
+    @F.pandas_udf("binary")
+    def run(values: pd.Series) -> pd.Series:
+        held = [v for v in values if v is not None]
+        raw = convert(np.concatenate([np.zeros(0, "<f4"), *(np.asarray(v, "<f4") for v in held)]))
+        size, raw = raw.itemsize, raw.tobytes()
+        ends = np.cumsum([0, *(len(v) * size for v in held)])
+        parts = iter([raw[a:b] for a, b in zip(ends[:-1], ends[1:])])
+        return pd.Series([None if v is None else next(parts) for v in values], dtype=object)
+
+    return run(column)
+
+
+def _from_bytes(column: Column, size: int, convert) -> Column:
+    """Bytes to vectors, all of a batch converted at once; a length that is no multiple of ``size`` gives null."""
+
+    @F.pandas_udf("array<float>")
+    def run(blobs: pd.Series) -> pd.Series:
+        whole = [b is not None and len(b) % size == 0 for b in blobs]
+        held = [b for b, ok in zip(blobs, whole) if ok]
+        flat = convert(np.frombuffer(b"".join(held), f"<u{size}"))
+        parts = iter(np.split(flat, np.cumsum([len(b) // size for b in held])[:-1]) if held else [])
+        return pd.Series([next(parts) if ok else None for ok in whole], dtype=object)
+
+    return run(column)
+
+
 def to_half(vector: Column) -> Column:
     """Vector to little-endian half-precision bytes."""
-    return _mapped(vector, "binary", lambda v: half_bits(np.asarray(v, dtype="<f4")).tobytes())
+    return _to_bytes(vector, half_bits)
 
 
 def from_half(blob: Column) -> Column:
     """Half-precision bytes to a vector; an odd length is not a vector and gives null."""
-    return _mapped(blob, "array<float>", lambda b: None if len(b) % 2 else half_values(np.frombuffer(b, dtype="<u2")))
+    return _from_bytes(blob, 2, half_values)
 
 
 def to_blob(vector: Column) -> Column:
     """Vector to little-endian single-precision bytes."""
-    return _mapped(vector, "binary", lambda v: np.asarray(v, dtype="<f4").tobytes())
+    return _to_bytes(vector, lambda flat: flat)
 
 
 def from_blob(blob: Column) -> Column:
     """Single-precision bytes to a vector; a length that is no multiple of four gives null."""
-    return _mapped(blob, "array<float>", lambda b: None if len(b) % 4 else np.frombuffer(b, dtype="<f4"))
+    return _from_bytes(blob, 4, lambda bits: bits.view("<f4"))
 
 
 def hashed_embedding(text: str, dim: int) -> np.ndarray:

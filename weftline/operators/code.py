@@ -375,10 +375,10 @@ def diff_stats(old: Column, new: Column) -> tuple[Column, Column]:
     return F.greatest(grown, F.lit(0)) + changed, F.greatest(-grown, F.lit(0)) + changed
 
 
-def diff_hunk(old: Column, new: Column, context: int = 3, most: int = 50) -> Column:
+def diff_hunk(old: Column, new: Column, most: int | None, context: int = 3) -> Column:
     """``struct(old_start, old_count, new_start, new_count, lines)`` from the first differing position on, null for no lines.
 
-    The printed hunk stops once it holds more than ``most`` lines; the statistics never do.
+    The printed hunk stops once it holds more than ``most`` lines (none: never); the statistics never do.
     """
 
     def hunk(a, b, c, d, lines):
@@ -399,6 +399,10 @@ def diff_hunk(old: Column, new: Column, context: int = 3, most: int = 50) -> Col
     def from_first(zipped, first):
         start = F.greatest(first - context, F.lit(0))
         lead = F.transform(F.slice(zipped, start + 1, first - start), lambda z: F.concat(F.lit(" "), z["a"]))
+        if most is None:
+            rest = F.size(zipped) - first
+            body = F.concat(lead, F.flatten(F.transform(F.slice(zipped, first + 1, rest), printed)))
+            return hunk(start + 1, F.greatest(n_old - start, F.lit(0)), start + 1, F.greatest(n_new - start, F.lit(0)), body)
         steps = F.transform(F.slice(zipped, first + 1, F.lit(most + 1)), printed)
         zero = F.struct(lead.alias("lines"), F.lit(0).alias("taken"))
 

@@ -247,22 +247,36 @@ def diff_stats(spark, sf):
                     ((F.col("old") != "") & (F.col("new") == "")).alias("is_deleted"), (F.col("old") != F.col("new")).alias("has_changes"))
 
 
-@query("diff_text", "CD15 CX12 SC32", f"""WITH {_DIFF_CTE}, f AS (SELECT doc_id, coalesce(min(i) FILTER (x <> y), 1) AS first FROM p GROUP BY 1), w AS (SELECT p.*, first, greatest(first - 3, 1) AS start, o, n FROM p JOIN f USING (doc_id) JOIN a USING (doc_id)),
+def _diff_sql(limit: str) -> str:
+    return f"""WITH {_DIFF_CTE}, f AS (SELECT doc_id, coalesce(min(i) FILTER (x <> y), 1) AS first FROM p GROUP BY 1), w AS (SELECT p.*, first, greatest(first - 3, 1) AS start, o, n FROM p JOIN f USING (doc_id) JOIN a USING (doc_id)),
 e AS (SELECT *, CASE WHEN x = y THEN ' ' || x WHEN x IS NOT NULL AND y IS NOT NULL THEN '-' || x || chr(10) || '+' || y WHEN x IS NOT NULL THEN '-' || x ELSE '+' || y END AS txt, CASE WHEN x <> y THEN 2 ELSE 1 END AS k FROM w WHERE i >= first),
-cum AS (SELECT *, first - start + coalesce(sum(k) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e), kept AS (SELECT * FROM cum WHERE before <= 50),
+cum AS (SELECT *, first - start + coalesce(sum(k) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e), kept AS (SELECT * FROM cum {limit}),
 g AS (SELECT doc_id, any_value(start) AS start, any_value(first) AS first, max(i) AS last, any_value(len(o)) AS no, any_value(len(n)) AS nn, any_value(o) AS o, string_agg(txt, chr(10) ORDER BY i) AS body FROM kept GROUP BY 1),
 h AS (SELECT doc_id, '@@ -' || start || ',' || (least(last, no) - start + 1) || ' +' || start || ',' || (least(last, nn) - start + 1) || ' @@' || chr(10) || CASE WHEN first > start THEN array_to_string(list_transform(o[start:first - 1], lambda z: ' ' || z), chr(10)) || chr(10) ELSE '' END || body AS diff FROM g WHERE no > 0 AND nn > 0
  UNION ALL SELECT doc_id, '@@ -1,' || len(o) || ' +0,0 @@' || chr(10) || array_to_string(list_transform(o, lambda z: '-' || z), chr(10)) FROM a WHERE len(n) = 0 AND len(o) > 0
  UNION ALL SELECT doc_id, '@@ -0,0 +1,' || len(n) || ' @@' || chr(10) || array_to_string(list_transform(n, lambda z: '+' || z), chr(10)) FROM a WHERE len(o) = 0 AND len(n) > 0)
-SELECT doc_id, '--- a/' || doc_id || chr(10) || '+++ b/' || doc_id || chr(10) || diff || chr(10) AS diff FROM h""")
-def diff_text(spark, sf):
+SELECT doc_id, '--- a/' || doc_id || chr(10) || '+++ b/' || doc_id || chr(10) || diff || chr(10) AS diff FROM h"""
+
+
+def _diff_texts(spark, sf, most):
     d = _snapshots(spark, sf).select("doc_id", tx.lines(F.col("old")).alias("o"), tx.lines(F.col("new")).alias("n"))
-    h = worked_out(d, ["doc_id"], code.diff_hunk(F.col("o"), F.col("n")), "h").filter(F.col("h").isNotNull())
+    h = worked_out(d, ["doc_id"], code.diff_hunk(F.col("o"), F.col("n"), most), "h").filter(F.col("h").isNotNull())
     key = F.col("doc_id").cast("string")
     head = F.format_string("@@ -%d,%d +%d,%d @@", "h.old_start", "h.old_count", "h.new_start", "h.new_count")
     return h.select("doc_id", F.concat(F.lit("--- a/"), key, F.lit("\n+++ b/"), key, F.lit("\n"), head, F.lit("\n"), F.array_join("h.lines", "\n"), F.lit("\n")).alias("diff"))
 
 
+@query("diff_text", "CD15 CX12 SC32", _diff_sql("WHERE before <= 50"))
+def diff_text(spark, sf):
+    """The preview, which stops after 50 lines."""
+    return _diff_texts(spark, sf, 50)
+
+
+@query("diff_text_whole", "CD15 CX12 SC32", _diff_sql(""))
+def diff_text_whole(spark, sf):
+    return _diff_texts(spark, sf, None)
+
+
 @query("extract_code", "SC36", f"""WITH {cte("src_files")}, e AS (SELECT file_id, regexp_extract(path, '\\.([^.]*)$', 1) AS ext, array_to_string(({lines_sql("content")})[2:3], chr(10)) AS code FROM src_files)
 SELECT file_id, CASE ext WHEN 'rs' THEN 'fn part() {{' || chr(10) || '    ' || replace(code, chr(10), chr(10) || '    ') || chr(10) || '}}' WHEN 'py' THEN 'def part():' || chr(10) || '    ' || replace(code, chr(10), chr(10) || '    ')
  ELSE 'function part() {{' || chr(10) || '    ' || replace(code, chr(10), chr(10) || '    ') || chr(10) || '}}' END AS as_function, CASE ext WHEN 'rs' THEN 'let part = ' || code || ';' WHEN 'py' THEN 'part = ' || code ELSE 'const part = ' || code || ';' END AS as_variable,
