@@ -168,6 +168,44 @@ def judged(docs: DataFrame, min_words: int = MIN_WORDS, char_limit: float = CHAR
     return at.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "lang", "char_distance", "word_distance")
 
 
-@llm_query("op6_divergence")
+def _sql() -> str:
+    ws = "[ \\t-\\r]+"
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    listed = lambda words: "[" + ", ".join(map(quoted, words)) + "]"
+    of_class = lambda inside: f"length(regexp_replace(text, {quoted('[^' + inside + ']+')}, '', 'g'))"
+    known = list(COMMON)
+    score = [f"len([x for x in lw if list_contains({listed(COMMON[k])}, x)])" for k in known]
+    best = " ".join(f"WHEN {score[k]} >= greatest({', '.join(score[k + 1 :])}) THEN '{known[k]}'" for k in range(len(known) - 1))
+    common = " ".join(f"WHEN '{k}' THEN [{', '.join(f'len([x for x in lw if x = {quoted(w)}])' for w in words)}]" for k, words in COMMON.items())
+    n_chars, n_common = len(CLASSES) + 1, len(COMMON[known[0]]) + 1
+
+    def distance(p: str, q: str, total: str, n: int) -> str:
+        terms = []
+        for k in range(1, n + 1):
+            x, y = f"({p}[{k}] / {total})", f"{q}[{k}]"
+            half = [f"CASE WHEN {z} > 0 THEN {z} * log2({z} * 2 / ({x} + {y})) ELSE 0 END" for z in (x, y)]
+            terms.append(f"({half[0]} + {half[1]}) / 2")
+        return f"sqrt(greatest({' + '.join(terms)}, 0.0))"
+
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, [x for x in string_split_regex(text, '{ws}') if x <> ''] AS w, [x for x in string_split_regex(lower(text), '{ws}') if x <> ''] AS lw,
+ [x for x in string_split(text, chr(10)) if regexp_matches(x, '[^ \\t-\\r]')] AS ls FROM d),
+win AS (SELECT rid, k, array_to_string(w[k : k + {WINDOW - 1}], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - {WINDOW - 2})) AS k FROM w)),
+rep AS (SELECT rid, k FROM (SELECT *, count(*) OVER (PARTITION BY rid, s) AS c FROM win) WHERE c > 1),
+cov AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(k, k + {WINDOW})) AS p FROM rep) GROUP BY rid),
+l AS (SELECT *, CASE WHEN lang IN {tuple(known)} THEN lang {best} ELSE '{known[-1]}' END AS lang_ FROM w),
+c AS (SELECT rid, doc_id, lang_, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST({of_class('#*$%&|<>')} AS BIGINT) AS n_symbols,
+ CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(length(text) AS DOUBLE) AS size, CAST([{', '.join(map(of_class, CLASSES))}] AS DOUBLE[]) AS ch, CAST(CASE lang_ {common} END AS DOUBLE[]) AS co FROM l),
+b AS (SELECT c.*, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, list_append(ch, size - list_sum(ch)) AS chars, list_append(co, n_words - list_sum(co)) AS common FROM c LEFT JOIN cov USING (rid)),
+f AS (SELECT *, n_words < 20 OR n_repeat_words * 100 > n_words * 30 AS base_failed FROM b),
+r AS (SELECT lang_, [{', '.join(f'sum(chars[{k}]) / sum(size)' for k in range(1, n_chars + 1))}] AS char_ref, [{', '.join(f'sum(common[{k}]) / sum(n_words)' for k in range(1, n_common + 1))}] AS word_ref
+ FROM f WHERE n_words >= {MIN_WORDS} AND NOT base_failed GROUP BY lang_),
+j AS (SELECT f.*, r.lang_ IS NOT NULL AND n_words >= {MIN_WORDS} AND ({distance('chars', 'char_ref', 'size', n_chars)} > {CHAR_LIMIT} OR {distance('common', 'word_ref', 'n_words', n_common)} > {WORD_LIMIT}) AS far FROM f LEFT JOIN r USING (lang_))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT far AS kept FROM j
+"""
+
+
+@llm_query("op6_divergence", _sql())
 def op6_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).drop("lang", "char_distance", "word_distance")
