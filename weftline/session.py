@@ -47,7 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
+    """A fresh path in the application's own part of the shared folder, which goes when the application ends."""
+    own = os.path.join(shared_dir(spark), f"weftline-{spark.sparkContext.applicationId}")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+    return os.path.join(own, f"{label}-{uuid.uuid4().hex}")
 
 
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
