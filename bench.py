@@ -18,7 +18,7 @@ HEADLINE = [
     "command_risk", "intent_plan", "nl_action", "plan_tasks",
     "text_metrics", "grep_regex", "rename_word", "line_chunks", "text_chunks", "fuzzy_match",
     "symbols", "file_metrics", "lint_issues", "review_grade", "diff_text", "git_diff_hunks",
-    "cosine_topk", "centroid_by_label", "bm25_top50", "hybrid_search", "cluster_tree", "tree_search",
+    "cosine_topk", "centroid_by_label", "bm25_top50", "hybrid_search", "hybrid_benchmark", "cluster_tree", "tree_search",
     "token_budget", "project_metrics", "stream_counters", "stream_responses",
 ]
 

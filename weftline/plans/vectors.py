@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline import fixed
+from weftline.functions import text as tx
 from weftline.functions import vectors as vx
 from weftline.operators import clustering, retrieval
 from weftline.registry import query
+from weftline.session import cut_lineage
 from weftline.sources.tables import spread, table
 
 _Q = [0, 1, 2, 3, 4]
@@ -139,6 +141,34 @@ def hybrid_search_ordered(spark, sf):
     return found.select("doc_id", F.round("rank", 6).alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+_FOLDED = "[x for x in string_split_regex(strip_accents(lower({})), '[^\\p{{L}}\\p{{N}}]+') if x <> '']"
+_TERM_VECTOR = "SELECT {key}, CAST('0x' || substr(md5(term), 1, 2) AS INTEGER) % 64 AS dim, sum(CASE WHEN substr(md5(term), 3, 1) < '8' THEN 1 ELSE -1 END * {weight}) AS v FROM {rows} GROUP BY 1, 2"
+
+
+def _hybrid_benchmark_sql() -> str:
+    return f"""WITH dt AS (SELECT doc_id, {_FOLDED.format("text || ' ' || source || ' ' || lang")} AS t FROM documents), tt AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dt),
+terms AS (SELECT doc_id, dl, term, count(*) AS tf FROM tt GROUP BY ALL), it AS (SELECT item_id, {_FOLDED.format("text")} AS t FROM benchmark), ii AS (SELECT item_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM it),
+fi AS (SELECT item_id, term, min(i) AS i FROM ii GROUP BY 1, 2), wanted AS (SELECT item_id, term FROM fi QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i) <= 3), st AS (SELECT count(*) AS docs, avg(len(t)) AS avgdl FROM dt),
+fr AS (SELECT term, count(*) AS df FROM terms WHERE term IN (SELECT term FROM wanted) GROUP BY 1), needed AS (SELECT item_id, count(*) AS needed FROM wanted GROUP BY 1),
+sc AS (SELECT item_id, doc_id, count(*) AS held, round(-sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS rank FROM terms JOIN wanted USING (term) JOIN fr USING (term), st GROUP BY 1, 2),
+best AS (SELECT item_id, doc_id, rank FROM sc JOIN needed USING (item_id) WHERE held = needed QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank, doc_id) <= 50),
+dv AS ({_TERM_VECTOR.format(key="doc_id", weight="tf", rows="terms")}), qv AS ({_TERM_VECTOR.format(key="item_id", weight="1", rows="ii")}),
+dn AS (SELECT doc_id, sqrt(sum(v * v)) AS s FROM dv GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(v * v)) AS s FROM qv GROUP BY 1),
+dots AS (SELECT item_id, doc_id, rank, sum(dv.v * qv.v) AS dot FROM best JOIN dv USING (doc_id) JOIN qv USING (item_id, dim) GROUP BY 1, 2, 3),
+sim AS (SELECT item_id, doc_id, rank, round(dot / (dn.s * qn.s), 9) AS similarity FROM dots JOIN dn USING (doc_id) JOIN qn USING (item_id) WHERE dn.s * qn.s > 0)
+SELECT item_id, doc_id, round(rank, 6) AS rank, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sim.similarity DESC, doc_id) <= 10"""
+
+
+@query("hybrid_benchmark", "VR12 FLT8 VR11 VR1", _hybrid_benchmark_sql())
+def hybrid_benchmark(spark, sf):
+    """Every benchmark text asks; questions and documents are embedded alike, and the term table is built once."""
+    docs = _docs(spark, sf)
+    terms = cut_lineage(retrieval.term_table(docs, "doc_id", F.col("indexed")), "terms")
+    sizes = docs.select("doc_id", F.size(tx.terms(F.col("indexed"))).alias("dl"))
+    found = retrieval.hybrid_many(terms, sizes, "doc_id", table(spark, sf, "benchmark").select("item_id", "text"), "item_id", F.col("text"), 3, fixed.CANDIDATES, 10, fixed.SIMILARITY_THRESHOLD)
+    return found.select("item_id", "doc_id", F.round("rank", 6).alias("rank"), F.round("similarity", 6).alias("similarity"))
+
+
 @query("hybrid_fallback", "VR13 FLT8", f"WITH {SIMS} SELECT vec_id AS doc_id, round(similarity, 6) AS similarity FROM sims WHERE query_id = 3 AND similarity >= 0.3 ORDER BY sims.similarity DESC, vec_id LIMIT 10")
 def hybrid_fallback(spark, sf):
     """No document holds the term, so every vector is scored."""
