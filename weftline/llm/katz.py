@@ -39,7 +39,7 @@ from weftline.sources.tables import table
 
 BLOCK_TOKENS = 1 << 20
 BUCKET_WORDS = 1 << 20
-BUCKET_PAIRS = 3 << 20
+BUCKET_PAIRS = 3 << 19
 HOT_CONTEXT = 1 << 20
 K = 5
 END = np.uint64(0x5BF03635DEADBEEF)
@@ -241,12 +241,14 @@ def _answer_pairs(unigrams: Unigrams, hot_from: int):
         v, cv = np.concatenate(v), np.concatenate(cv)
         w, cw, doc, often = (np.concatenate([_unsqueezed(r[4][k], r[3], t) for r in rows]) for k, t in ((4, np.int64), (5, np.int64), (6, np.uint32), (7, np.uint32)))
         order = np.lexsort((w, v))
-        v, w, cw, cv, doc, often = (x[order] for x in (v, w, cw, cv, doc, often))
+        v, w, cw, cv, doc, often = v[order], w[order], cw[order], cv[order], doc[order], often[order]
         which = np.repeat(np.arange(len(rows), dtype=np.int32), n)[order]
-        train, often = (often & 1).astype(np.int64), (often >> 1).astype(np.int64)
+        del order
+        train, often = (often & 1).astype(np.int32), (often >> 1).astype(np.int32)
         pair = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (w[1:] != w[:-1])])
         size = np.diff(np.r_[pair, len(v)])
-        c = np.add.reduceat(often * train, pair)
+        c = np.add.reduceat(often * train, pair, dtype=np.int64)
+        del train
         start = np.flatnonzero(np.r_[True, v[pair][1:] != v[pair][:-1]])
         total = cv[pair][start]
         by_count = np.stack([np.add.reduceat((c == r).astype(np.int64), start) for r in range(1, K + 1)])
@@ -262,8 +264,10 @@ def _answer_pairs(unigrams: Unigrams, hot_from: int):
         ])], _PAIRS)
         if hot.any():
             yield _rows([(bucket, -1, HOT, int(hot.sum()), [x.tobytes() for x in (v[pair][start][hot], total[hot], np.ascontiguousarray(by_count[:, hot]), above[hot], mass[hot])])], _PAIRS)
-        context = np.repeat(np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(pair)])), size)
+        context = np.repeat(np.repeat(np.arange(len(start), dtype=np.int32), np.diff(np.r_[start, len(pair)])), size)
         count = np.repeat(c, size)
+        named = v[pair][start]
+        del v, w, cv, pair, size, c, seen
         log = np.where(count > 0, np.log10(np.maximum(count, 1) / np.maximum(total_of[context], 1)), np.log10(unigrams(cw))) * often
         order = np.argsort(which, kind="stable")
         edges = np.searchsorted(which[order], np.arange(len(rows) + 1))
@@ -275,9 +279,9 @@ def _answer_pairs(unigrams: Unigrams, hot_from: int):
             own = own[(count[own] == 0) & (total[context[own]] > 0)]
             if len(own):
                 used, at = np.unique(context[own], return_inverse=True)
-                named = np.where(hot[used], v[pair][start][used], -1)
+                names = np.where(hot[used], named[used], -1)
                 yield _rows([(bucket, r[1], UNSEEN, len(own), [
-                    len(used).to_bytes(8, "little"), _squeezed(named, np.int64), _squeezed(total_of[used], np.int64), _squeezed(by_count[:, used], np.uint32),
+                    len(used).to_bytes(8, "little"), _squeezed(names, np.int64), _squeezed(total_of[used], np.int64), _squeezed(by_count[:, used], np.uint32),
                     _squeezed(above[used], np.int64), _squeezed(mass[used], np.float64), _squeezed(doc[own], np.uint32), _squeezed(at, np.uint32), _squeezed(often[own], np.uint32),
                 ])], _PAIRS)
 
