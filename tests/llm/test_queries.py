@@ -29,7 +29,7 @@ def test_query(spark, sf, name):
     if name not in ("op3_packing", "op7_decontamination"):
         assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in docs.select("doc_id").collect())
     sql = __spark_entry__.oracle_sql().get(name)
-    assert (sql is not None) == (name in ("op2_sharding", "op6_divergence", "op7_decontamination"))
+    assert (sql is not None) == (name in ("op2_sharding", "op6_divergence", "op7_decontamination", "op9_substring_dedup"))
     if sql:
         found = duck(sf).execute(sql)
         columns = [d[0] for d in found.description]

@@ -244,7 +244,19 @@ def without_repeated_windows(docs: DataFrame, window: int = WINDOW, log2_cells:
     return joined.mapInArrow(_kept(window), "_id long, text string, n_words long, n_removed long").select(W.null_id("_id").alias("doc_id"), "text", "n_words", "n_removed")
 
 
-@llm_query("op9_substring_dedup")
+def _sql(window: int = WINDOW) -> str:
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, {W.NULL_ID}) AS id, [x for x in string_split_regex(coalesce(text, ''), '[ \\t-\\r]+') if x <> ''] AS w FROM documents),
+win AS (SELECT rid, id, k, array_to_string(w[k : k + {window - 1}], ' ') AS s FROM (SELECT rid, id, w, unnest(range(1, len(w) - {window - 2})) AS k FROM d)),
+least AS (SELECT s, min(id) AS least_id FROM win GROUP BY s),
+gone AS (SELECT DISTINCT rid, unnest(range(k, k + {window})) AS p FROM win JOIN least USING (s) WHERE least_id < id),
+one AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM one ANTI JOIN gone USING (rid, p) GROUP BY rid)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)
+"""
+
+
+@llm_query("op9_substring_dedup", _sql())
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = without_repeated_windows(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
