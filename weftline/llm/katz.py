@@ -62,7 +62,7 @@ def _by_bucket(batches, key: int):
     """Lists of the rows of one bucket, in a partition sorted by bucket."""
     held = []
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
+        for r in W.each(batch):
             if held and r[key] != held[0][key]:
                 yield held
                 held = []
@@ -125,7 +125,7 @@ _ASKED = {"bucket": pa.int32(), "block": pa.int64(), "n": pa.int32(), "words": p
 def _ask_words(buckets: int):
     def ask(batches):
         for batch in batches:
-            for block, n, words, counts in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, n, words, counts in W.each(batch):
                 words, counts = np.cumsum(_unsqueezed(words, n, np.uint64), dtype=np.uint64), _unsqueezed(counts, n, np.uint32)
                 edges = np.searchsorted(words >> np.uint64(33), (np.arange(buckets + 1) * (1 << 31)) // buckets)
                 yield _rows([
@@ -194,7 +194,7 @@ def _ask_pairs(buckets: int, unigrams: Unigrams, begins: int, hot_from: int):
 
     def ask(batches):
         for batch in batches:
-            for block, n_docs, n, n_words, ids, train, lengths, tokens, answers in zip(*(c.to_pylist() for c in batch.columns)):
+            for block, n_docs, n, n_words, ids, train, lengths, tokens, answers in W.each(batch):
                 answers = sorted(answers, key=lambda a: a["bucket"])
                 number = np.concatenate([_unsqueezed(a["numbers"], a["n"], np.uint64) for a in answers]).astype(np.int64)
                 count = np.concatenate([_unsqueezed(a["counts"], a["n"], np.uint64) for a in answers]).astype(np.int64)
@@ -288,7 +288,7 @@ def _answer_pairs(unigrams: Unigrams, hot_from: int):
     def answer(batches):
         held: list = []
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
+            for r in W.each(batch):
                 if r[2] == DOCS:
                     yield _rows([r], _PAIRS)
                     continue

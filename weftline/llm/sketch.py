@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.words import mixed
+from weftline.llm.words import each, mixed
 
 BLOCK_LOG2 = 22
 
@@ -104,7 +104,7 @@ def _merged(log2_cells: int):
             )
 
         for batch in batches:
-            for b, n, blob, more, t in zip(*(c.to_pylist() for c in batch.columns)):
+            for b, n, blob, more, t in each(batch):
                 if b != block:
                     if block is not None:
                         yield done()

@@ -149,7 +149,7 @@ def _by_document(batches):
 
     rows, current = [], None
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
+        for r in W.each(batch):
             if r[0] != current and rows:
                 yield merged(rows)
                 rows = []
@@ -184,7 +184,7 @@ def _grouped(buckets: int):
     def group(batches):
         rows, bucket = [], None
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
+            for r in W.each(batch):
                 if r[1]:
                     yield binned([(r[0], r[2], *r[5:])])
                     continue

@@ -41,6 +41,7 @@ LOG2_CELLS = 26
 BUCKET_ANCHORS = 1 << 15
 TASK_ROWS = 100_000
 CHUNK = 1 << 18
+WINDOWS = 300_000
 SLICE = 50_000
 
 
@@ -232,6 +233,31 @@ def _window_hashes(raw: np.ndarray, source: np.ndarray, count: np.ndarray, min_l
 
 
 def _matched(min_length: int, keep_first: bool, bins: int):
+    def in_suffix_order(f, raw, own):
+        """Removed stretches of the contexts ``own`` of some anchors: context, and begin and end within it."""
+        own = own[np.lexsort((f["at"][own] - f["back"][own], f["th"][own], f["id"][own]))]
+        count = f["windows"][own].astype(np.int64)
+        context = np.repeat(np.arange(len(own)), count)
+        offset = np.arange(len(context)) - np.repeat(np.cumsum(count) - count, count)
+        source = np.repeat(f["source"][own], count) + offset
+        h = _window_hashes(raw, f["source"][own], count, min_length)
+        order = np.argsort(h, kind="stable")
+        same = h[order][1:] == h[order][:-1]
+        order = order[np.r_[False, same] | np.r_[same, False]]
+        edges = _runs(h[order])
+        removed = np.zeros(len(source), bool)
+        a = 0
+        while a < len(edges):
+            b = max(a + 1, int(np.searchsorted(edges, edges[a] + SLICE)))
+            part = order[edges[a] : edges[b] if b < len(edges) else len(order)]
+            part = np.sort(part)  # by position
+            removed[part] = _in_suffix_order(raw, source[part], min_length, keep_first)
+            a = b
+        hit = np.flatnonzero(removed)
+        stretch = np.flatnonzero(np.r_[True, (context[hit][1:] != context[hit][:-1]) | (offset[hit][1:] != offset[hit][:-1] + 1)]) if len(hit) else hit
+        last = np.r_[stretch[1:], len(hit)] - 1 if len(hit) else hit
+        return own[context[hit[stretch]]], offset[hit[stretch]], offset[hit[last]] + min_length
+
     def judged(rows):
         fields = [[_unsqueezed(x, r[1], t) for x, t in zip(r[3], _FIELDS.values())] for r in rows]
         f = {k: np.concatenate([x[j] for x in fields]) for j, k in enumerate(_FIELDS)}
@@ -248,37 +274,20 @@ def _matched(min_length: int, keep_first: bool, bins: int):
         run = _runs(f["h"])
         several = np.repeat(np.add.reduceat(first & ~f["single"], run, dtype=np.int64) > 1, np.diff(np.r_[run, len(f["h"])])) if len(run) else first
         own = np.flatnonzero(first & several & ~f["single"])
-        if len(own):
-            own = own[np.lexsort((begin[own], f["th"][own], f["id"][own]))]
-            count = f["windows"][own].astype(np.int64)
-            source = np.arange(int(count.sum())) + np.repeat(f["source"][own] - (np.cumsum(count) - count), count)
-            context = np.repeat(np.arange(len(own)), count)
-            offset = np.arange(len(source)) - np.repeat(np.cumsum(count) - count, count)
-            h = _window_hashes(raw, f["source"][own], count, min_length)
-            order = np.argsort(h, kind="stable")
-            same = h[order][1:] == h[order][:-1]
-            order = order[np.r_[False, same] | np.r_[same, False]]
-            edges = _runs(h[order])
-            removed = np.zeros(len(source), bool)
-            a = 0
-            while a < len(edges):
-                b = max(a + 1, int(np.searchsorted(edges, edges[a] + SLICE)))
-                part = order[edges[a] : edges[b] if b < len(edges) else len(order)]
-                part = np.sort(part)  # by position
-                removed[part] = _in_suffix_order(raw, source[part], min_length, keep_first)
-                a = b
-            hit = np.flatnonzero(removed)
-            if len(hit):
-                stretch = np.flatnonzero(np.r_[True, (context[hit][1:] != context[hit][:-1]) | (offset[hit][1:] != offset[hit][:-1] + 1)])
-                last = np.r_[stretch[1:], len(hit)] - 1
-                c = own[context[hit[stretch]]]
-                found.append((f["id"][c], f["th"][c], begin[c] + offset[hit[stretch]], begin[c] + offset[hit[last]] + min_length))
+        edges = np.r_[_runs(f["h"][own]), len(own)]
+        before = np.r_[0, np.cumsum(f["windows"][own], dtype=np.int64)][edges]
+        a = 0
+        while a < len(edges) - 1:  # whole anchors, some at a time
+            b = max(a + 1, int(np.searchsorted(before, before[a] + WINDOWS, "right")) - 1)
+            c, start, stop = in_suffix_order(f, raw, own[edges[a] : edges[b]])
+            found.append((f["id"][c], f["th"][c], begin[c] + start, begin[c] + stop))
+            a = b
         return _batch(_spans_by_bin(*(np.concatenate(x) for x in zip(*found)), bins))
 
     def match(batches):
         rows, bucket = [], None
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns)):
+            for r in W.each(batch):
                 if r[2]:
                     yield _batch([r])
                     continue
@@ -312,7 +321,7 @@ def _united(batches):
 
     rows, current = [], None
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns)):
+        for r in W.each(batch):
             if r[0] != current and rows:
                 yield merged(rows)
                 rows = []

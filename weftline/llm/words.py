@@ -44,6 +44,12 @@ def null_id(column: str | Column) -> Column:
     return F.when(column != NULL_ID, column)
 
 
+def each(batch: pa.RecordBatch, step: int = 32) -> Iterator[tuple]:
+    """The rows of a batch as tuples, some at a time: rows of compressed columns are large."""
+    for a in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(a, step).columns))
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string or binary column, and where each row starts (one more for the end). Nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
