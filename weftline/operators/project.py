@@ -103,7 +103,8 @@ def related_files(sources: DataFrame, others: DataFrame) -> DataFrame:
     guides = known.filter(tx.file_name(F.col("related")) == "README.md").select("related", tx.parent_dir(F.col("related")).alias("dir"))
     beside = src.select("path", tx.parent_dir(F.col("path")).alias("dir")).join(guides, "dir").select("path", "related")
 
-    manifest = src.select("path", F.lit("Cargo.toml").alias("related")).join(known.filter(F.col("related") == "Cargo.toml"), "related", "left_semi")
+    there = known.filter(F.col("related") == "Cargo.toml").agg(F.count("*")).scalar() > 0
+    manifest = src.filter(there).select("path", F.lit("Cargo.toml").alias("related"))
 
     def tagged(df, relation, confidence):
         return df.select("path", "related", F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence"))
