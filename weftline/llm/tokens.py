@@ -2,7 +2,7 @@
 
 A text is cut at single blanks between characters that aren't white space; a byte-level BPE never merges over such a place,
 so the pieces' ids put together are the text's ids. Pieces come again and again, so each worker keeps the ids of those it has
-met, up to ``CACHE`` of them, and asks the library for new ones only.
+met and asks the library for new ones only. When it has ``CACHE`` of them it starts afresh, and looks through those of before once more.
 """
 
 from __future__ import annotations
@@ -14,10 +14,11 @@ import public_tokenizers
 import regex
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-CACHE = 250_000
+CACHE = 200_000
 
 _PLACE = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s\s")
+_ODD_ASCII = ["  ", *(x for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for x in (" " + c, c + " "))]
 #: Fixed value: the public pattern that splits a text before the merges.
 _PIECES = regex.compile(public_tokenizers.PATTERN)
 
@@ -41,6 +42,7 @@ class Encoder:
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.model = BPE(spec["model"]["vocab"], merges, cache_capacity=0)  # words that come again are kept here
         self.bare: dict[str, bytes] = {}  # ids of what follows a blank, with that blank
+        self.before: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}  # of anything else
         self.shown = dict(enumerate(_byte_characters()))
         self.special = [t["content"] for t in spec["added_tokens"]]
@@ -58,6 +60,12 @@ class Encoder:
         id_bytes = self.id_bytes
         return b"".join([id_bytes[t.id] for t in self.model.tokenize(shown)])
 
+    def _kept(self, word: str, ids: bytes) -> bytes:
+        if len(self.bare) >= CACHE:
+            self.before, self.bare = self.bare, {}
+        self.bare[word] = ids
+        return ids
+
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
@@ -69,25 +77,25 @@ class Encoder:
         return found
 
     def _after_blank(self, word: str) -> bytes:
-        bare = self.bare
+        found = self.before.get(word)
+        if found is not None:
+            return self._kept(word, found)
         if word.isalpha():  # the pattern's letters are those of isalpha
-            if len(bare) >= CACHE:
-                bare.clear()
-            found = bare[word] = self._ids(" " + word)
-        elif word[:-1].isalpha() and word[-1] in ".,;:?!|#*$%&":
-            first = bare.get(word[:-1])
-            found = (self._after_blank(word[:-1]) if first is None else first) + self._piece(word[-1])
-            if first is not None:  # met before, so likely to come again
-                bare[word] = found
-        else:
-            found = self._piece(" " + word)
-            bare[word] = found
-        return found
+            if not word.isascii():
+                return self._kept(word, self._ids(" " + word))
+            id_bytes = self.id_bytes
+            return self._kept(word, b"".join([id_bytes[t.id] for t in self.model.tokenize(self.shown[32] + word)]))
+        if word[:-1].isalpha() and word[-1] in ".,;:?!|#*$%&":
+            first = self.bare.get(word[:-1])
+            ids = (self._after_blank(word[:-1]) if first is None else first) + self._piece(word[-1])
+            return ids if first is None else self._kept(word, ids)  # met before, so likely to come again
+        return self._kept(word, self._piece(" " + word))
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._whole(text)
-        parts = text.split(" ") if not _ODD.search(text) and text[:1] != " " and text[-1:] != " " else _PLACE.split(text)
+        odd = text[:1] == " " or text[-1:] == " " or (any(x in text for x in _ODD_ASCII) if text.isascii() else _ODD.search(text))
+        parts = _PLACE.split(text) if odd else text.split(" ")
         found = list(map(self.bare.get, parts))
         found[0] = self._piece(parts[0])
         for k in [k for k, x in enumerate(found) if x is None]:
