@@ -36,8 +36,9 @@ from weftline.llm.sketch import repeated
 from weftline.sources.tables import table
 
 MIN_LENGTH = 200
-GRAM = 32
-LOG2_CELLS = 26
+GRAM = 48
+LOG2_CELLS = 27
+DEPTH = 3
 BUCKET_ANCHORS = 1 << 15
 TASK_ROWS = 100_000
 CHUNK = 1 << 18
@@ -372,7 +373,7 @@ def without_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, keep_first: b
     if min_length < 2 * GRAM:
         raise ValueError(f"min_length must be {2 * GRAM} or more")
     rows = W.keyed(docs)
-    maybe, total = repeated(rows.select("_text"), _anchor_hashes(min_length), log2_cells, keep_hot=True)
+    maybe, total = repeated(rows.select("_text"), _anchor_hashes(min_length), log2_cells, DEPTH, keep_hot=True)
     buckets = max(1, math.ceil(total / BUCKET_ANCHORS))
     moved = rows.select("_text", "_id", "_th").mapInArrow(_contexts(min_length, maybe, buckets, keep_first), _MOVED)
     spans = moved.repartition(buckets, "bucket").sortWithinPartitions("settled", "bucket").mapInArrow(_matched(min_length, keep_first, buckets), _MOVED)
