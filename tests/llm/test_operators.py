@@ -154,6 +154,26 @@ def test_good_turing_discounts():
     assert all(0 < x < 1 for x in d[1:]) and katz.discounts([0] * 6)[1:] == [0.5, 0.75, 2.5 / 3, 0.875, 0.9]
 
 
+@pytest.mark.parametrize("n, smooth_from", [
+    ([1655711, 262472, 56325, 23262, 20048, 8151], 4),  # bigrams of sf0.1: groups of copies lift n5
+    ([1000, 400, 900, 120, 80, 50], 2), ([1000, 1200, 200, 120, 80, 50], 1), ([1000, 400, 200, 0, 80, 50], 3), ([1000, 400, 200, 120, 80, 150], 1),
+])
+def test_good_turing_discounts_of_copies(n, smooth_from):
+    d = katz.discounts(n)
+    tail = 6 * n[5] / n[0]
+    for r in range(1, smooth_from):
+        assert math.isclose(d[r], ((r + 1) * n[r] / n[r - 1] / r - tail) / (1 - tail))
+    slope = np.polyfit(np.log([r for r in range(1, 7) if n[r - 1]]), np.log([x * (2 / 3 if n[3] == 0 and r in (3, 5) else 1) for r, x in enumerate(n, 1) if x]), 1)[0] + 1
+    for r in range(smooth_from, 6):
+        assert math.isclose(d[r], ((1 + 1 / r) ** slope - 6**slope) / (1 - 6**slope))
+    assert all(0 < x < 1 for x in d[1:])
+
+
+def test_good_turing_falls_back_for_what_stays_invalid():
+    assert katz.discounts([0, 400, 200, 120, 80, 50])[1:] == [0.5, 0.75, 2.5 / 3, 0.875, 0.9]
+    assert katz.discounts([10, 20, 30, 40, 50, 60])[1:] == [0.5, 0.75, 2.5 / 3, 0.875, 0.9]
+
+
 def encoded(text, end):
     return np.array([*LIBRARY.encode(text or "", add_special_tokens=False).ids, end], "<u4")
 

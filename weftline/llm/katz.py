@@ -71,17 +71,34 @@ def _by_bucket(batches, key: int):
         yield held
 
 
+def _turing(n) -> list[float]:
+    """``d[1..K]`` of Good-Turing from counts of counts ``n[1..K + 1]``; 0 where there is none."""
+    tail = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
+    return [0.0] + [((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail) if n[r] and tail < 1 else 0.0 for r in range(1, K + 1)]
+
+
+def _smoothed(n: list[int]) -> list[float]:
+    """Counts of counts on the line through their logarithms over log r, each averaged over the gap around it (Gale and Sampson)."""
+    seen = [r for r in range(1, K + 2) if n[r]]
+    if len(seen) < 2:
+        return [0.0] * (K + 2)
+    before, after = [0, *seen[:-1]], [*seen[1:], 2 * seen[-1] - seen[-2]]
+    slope, level = np.polyfit(np.log(seen), [math.log(2 * n[r] / (z - q)) for r, q, z in zip(seen, before, after)], 1)
+    return [0.0] + [math.exp(level + slope * math.log(r)) for r in range(1, K + 2)]
+
+
 def discounts(counts_of_counts: list[int]) -> list[float]:
     """``d[1..K]`` by Good-Turing from how many things were seen 1, .., K + 1 times (``d[0]`` is unused).
 
-    Where too few counts make one of them no discount, half a count is taken from each instead.
+    Copies lift single counts of counts, so that an estimate leaves (0, 1). From the first such r on, smoothed counts of counts
+    give the discounts; only an r for which these give none either, or all if nothing was seen once, lose half a count.
     """
     n = [0, *counts_of_counts]
-    out = [1.0]
-    tail = (K + 1) * n[K + 1] / n[1] if n[1] else 1.0
-    for r in range(1, K + 1):
-        out.append(((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail) if n[r] and tail < 1 else 0.0)
-    return out if all(0 < d < 1 for d in out[1:]) else [1.0, *((r - 0.5) / r for r in range(1, K + 1))]
+    out, fitted = _turing(n), _turing(_smoothed(n))
+    first = next((r for r in range(1, K + 1) if not 0 < out[r] < 1), K + 1)
+    for r in range(first, K + 1):
+        out[r] = fitted[r] if n[1] and 0 < fitted[r] < 1 else (r - 0.5) / r
+    return [1.0, *(float(d) for d in out[1:])]
 
 
 _BLOCK = {"block": pa.int64(), "n_docs": pa.int32(), "n": pa.int64(), "n_words": pa.int64(), "ids": pa.binary(), "train": pa.binary(), "lengths": pa.binary(), "tokens": pa.binary(), "words": pa.binary(), "counts": pa.binary()}
