@@ -1,4 +1,6 @@
-"""Repeated byte strings of ``min_length`` or more, by longest previous factors in suffix order.
+"""Repeated byte strings of ``min_length`` or more: where a longest previous factor reaches it, by equal windows and suffix order.
+
+The array of these factors is not built; windows are grouped by hash, and those of differing contexts then sorted as suffixes.
 
 A position's longest previous factor is the longest string that starts there and also at an earlier position. In suffix order
 the best earlier matches of a position are its nearest neighbours, before and behind, that start earlier in the text. Where it
