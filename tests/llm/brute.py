@@ -162,3 +162,47 @@ def katz(docs, discounts, hot, k=5):
 
 def sha(data):
     return hashlib.sha256(data if isinstance(data, bytes) else data.encode()).hexdigest()
+
+
+def winnowed(text, k, window):
+    """Chosen (position, hash input) pairs: for every window of k-grams the one of least hash, the last of equal ones."""
+    kept = [(c, p) for p, c in enumerate(lower(text)) if c not in " \t\n\v\f\r"]
+    grams = ["".join(c for c, _ in kept[j : j + k]) for j in range(max(len(kept) - k + 1, min(len(kept), 1)))]
+    hashes = [gram_hash(g) for g in grams]
+    chosen = []
+    for j in range(max(len(grams) - window, 0) + 1 if grams else 0):
+        least = min(range(j, min(j + window, len(grams))), key=lambda x: (hashes[x], -x))
+        if not chosen or chosen[-1] != least:
+            chosen.append(least)
+    return [hashes[x] for x in chosen], [kept[x][1] for x in chosen]
+
+
+def gram_hash(gram):
+    m, base, h = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0
+    for j, c in enumerate(gram):
+        h = h + (ord(c) + 1) * pow(base, j, 1 << 64) & m
+    h ^= h >> 30
+    h = h * 0xBF58476D1CE4E5B9 & m
+    h ^= h >> 27
+    h = h * 0x94D049BB133111EB & m
+    return (h ^ h >> 31) >> 24
+
+
+def compared_with_edits(docs, k, window):
+    distinct = sorted({(order(i), text_order(t), t or "") for i, t in docs}, key=lambda x: (-x[0], x[1]))
+    following = {x[:2]: y[2] for x, y in zip(distinct, distinct[1:] + distinct[:1])}
+    out = []
+    for i, t in docs:
+        text = t or ""
+        after = following[order(i), text_order(t)]
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        prints = [winnowed(x, k, window)[0] for x in (text, edited, after)]
+        like = [len(set(prints[0]) & set(x)) / len(set(prints[0]) | set(x)) if prints[0] or x else 1.0 for x in prints[1:]]
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), *("".join(f"{h:010x}" for h in x) for x in prints[:2]), *like))
+    return out
+
+
+def text_order(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
