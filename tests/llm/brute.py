@@ -177,10 +177,12 @@ def winnowed(text, k, window):
     return [hashes[x] for x in chosen], [kept[x][1] for x in chosen]
 
 
+POWERS = [pow(0x9E3779B97F4A7C15, j, 1 << 64) for j in range(64)]
+
+
 def gram_hash(gram):
-    m, base, h = (1 << 64) - 1, 0x9E3779B97F4A7C15, 0
-    for j, c in enumerate(gram):
-        h = h + (ord(c) + 1) * pow(base, j, 1 << 64) & m
+    m = (1 << 64) - 1
+    h = sum((ord(c) + 1) * p for c, p in zip(gram, POWERS)) & m
     h ^= h >> 30
     h = h * 0xBF58476D1CE4E5B9 & m
     h ^= h >> 27
