@@ -208,3 +208,30 @@ def compared_with_edits(docs, k, window):
 def text_order(text):
     h = xxhash.xxh64_intdigest((text or "").encode(), 42)
     return h - (1 << 64) if h >> 63 else h
+
+
+def audited(docs, support, shown=50):
+    """``docs``: (lang, source, text) rows."""
+    docs = [(a or "", b or "", re.findall("[a-z\x80-\U0010ffff]+", lower(t))) for a, b, t in docs]
+    out = []
+    for lang in {d[0] for d in docs}:
+        mine = [d for d in docs if d[0] == lang]
+        held = Counter(x for d in mine for x in set(d[2]))
+        kept = sorted(x for x, n in held.items() if n >= support)
+        count = defaultdict(Counter)
+        for _, source, terms in mine:
+            count[source].update(x for x in terms if held[x] >= support)
+        total = sum(count.values(), Counter())
+
+        def share(c):
+            n = sum(c.values())
+            return {x: 1 + 1_000_000_000 * (c[x] + 5) // (n + 5 * len(kept)) for x in kept}
+
+        p, q = {s: share(c) for s, c in count.items()}, share(total)
+        for s in p:
+            pairs = [("pair", o, sum(abs(p[s][x] - p[o][x]) for x in kept)) for o in p if o != s]
+            over = [("term", x, p[s][x] - q[x]) for x in kept if count[s][x] and p[s][x] > q[x]]
+            for rows, most in ((pairs, None), (over, shown)):
+                ranked = sorted(rows, key=lambda r: (-r[2], r[1].encode()))[:most]
+                out += [(lang, s, *r, k + 1) for k, r in enumerate(ranked)]
+    return out

@@ -14,8 +14,9 @@ COLUMNS = {
     "op8_classifier": "doc_id held_out score predicted",
     "op9_substring_dedup": "doc_id n_words n_removed kept_sha256",
     "op10_huffman": "doc_id start n_tokens ids_crc32",
+    "op13_winnowing": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
 }
-KINDS = {"doc_id": "bigint", "held_out": "boolean", "score": "double", "base_score": "double", "fingerprint": "string", "kept_sha256": "string", "predicted": "int", "kept": "boolean", "base_failed": "boolean", "slot": "int", "shard": "string", "n_equal": "int", "n_hits": "bigint"}
+KINDS = {"doc_id": "bigint", "held_out": "boolean", "score": "double", "base_score": "double", "fingerprint": "string", "kept_sha256": "string", "predicted": "int", "kept": "boolean", "base_failed": "boolean", "slot": "int", "shard": "string", "n_equal": "int", "n_hits": "bigint", "edited_sha256": "string", "edited_fingerprint": "string", "near_edited": "double", "near_next": "double"}
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
@@ -36,6 +37,13 @@ def test_query(spark, sf, name):
         assert rows_of(df.columns, [tuple(r) for r in got]) == rows_of(columns, found.fetchall())
 
 
+def test_source_divergence(spark, sf):
+    df = __spark_entry__.queries()["op12_prefixes"](spark, sf)
+    assert df.dtypes == [("lang", "string"), ("source", "string"), ("part", "string"), ("item", "string"), ("value", "bigint"), ("rank", "int")]
+    found = duck(sf).execute(__spark_entry__.oracle_sql()["op12_prefixes"])
+    assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([d[0] for d in found.description], found.fetchall())
+
+
 def test_native_queries_run_no_python(spark, sf):
     for name in ("op2_sharding", "op6_divergence", "op7_decontamination"):
         plan = __spark_entry__.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "katz", "sharding", "packing", "suffix_dedup", "simhash", "divergence", "decontamination", "classifier", "substring_dedup", "huffman",
-    "whitening", "winnowing",
+    "whitening", "prefixes", "winnowing",
 )
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
