@@ -25,9 +25,9 @@ def got(df):
     return sorted(map(tuple, df.collect()))
 
 
-@pytest.mark.parametrize("bits, block, tile, cells", [(26, 1 << 22, 256, 1 << 20), (6, 200, 2, 7)])
-def test_against_plain_counts(spark, docs, monkeypatch, bits, block, tile, cells):
-    for name, value in (("LOG2_BITS", bits), ("BLOCK", block), ("TILE", tile), ("CELLS", cells)):
+@pytest.mark.parametrize("bits, block, terms, tile, cells", [(26, 1 << 23, 1 << 14, 256, 1 << 20), (6, 200, 3, 2, 7)])
+def test_against_plain_counts(spark, docs, monkeypatch, bits, block, terms, tile, cells):
+    for name, value in (("LOG2_BITS", bits), ("BLOCK", block), ("TERMS", terms), ("TILE", tile), ("CELLS", cells)):
         monkeypatch.setattr(prefixes, name, value)
     df = spark.createDataFrame(docs, SCHEMA).withColumns({"piece": F.lit("x"), "number": F.lit("x"), "n": F.lit(1), "term": F.lit("x")}).repartition(3)
     assert got(prefixes.audited(df, support=6, shown=5)) == sorted(brute.audited(docs, 6, 5))
@@ -49,8 +49,16 @@ def test_rare_prefixes_are_not_followed(spark, monkeypatch):
     cut = prefixes.cut_lineage
     monkeypatch.setattr(prefixes, "cut_lineage", lambda df, label: seen.append((label, cut(df, label))) or seen[-1][1])
     docs = [("en", "s", f"common{'x' * 30} rare{'abcdefghij'[k]}{'z' * 60}") for k in range(10)] + [("en", "s", f"q{'uvwxyzabcd'[k]}{'z' * 60}") for k in range(10)]
+    emitted, level = {}, prefixes._level
+
+    def noted(before, length, opened):
+        blocks = next(df for label, df in seen if label == "blocks")
+        emitted[length] = {bytes(r.piece) for r in blocks.mapInArrow(level(before, length, opened), prefixes._LEVEL).collect()}
+        return level(before, length, opened)
+
+    monkeypatch.setattr(prefixes, "_level", noted)
     prefixes.term_counts(spark.createDataFrame(docs, SCHEMA), 5).collect()
     levels = {label: {bytes(r.piece) for r in df.collect()} for label, df in seen if label.startswith("prefixes")}
     assert list(levels) == ["prefixes-2", "prefixes-4", "prefixes-8", "prefixes-16", "prefixes-32", "prefixes-64"][: len(levels)] and len(levels) >= 6
-    assert not any(p.startswith(b"q") for p in levels["prefixes-4"]) and b"rare" in levels["prefixes-4"]
-    assert not any(p.startswith(b"rare") for p in levels["prefixes-16"]) and b"common" + b"x" * 30 in levels["prefixes-64"]
+    assert levels["prefixes-4"] == {b"comm", b"rare"} and levels["prefixes-8"] == {b"commonxx"} and levels["prefixes-64"] == {b"common" + b"x" * 30}
+    assert emitted[4] == {b"comm", b"rare"} and emitted[8] > {b"commonxx", b"rareazzz"} and emitted[16] == {b"common" + b"x" * 10}

@@ -3,11 +3,12 @@
 A term belongs to a language's vocabulary if enough of its documents hold it. Texts are cut into terms once; what is kept is, for
 each block of texts, its distinct terms and for each document which of them it holds how often. Then prefixes grow level by level
 (2, 4, 8, ... bytes): a level counts the distinct documents of each prefix among the terms whose shorter prefix is still open,
-and closes the prefixes that too few documents hold. A term no longer than the level's length is whole: its documents and its
-occurrences by source are counted there. Levels end when no open prefix is left, so rare long terms are never grouped as such.
+and closes the prefixes that too few documents hold. A term no longer than the level's length is whole: it is kept or dropped
+there. Levels end when no open prefix is left, so rare long terms are never grouped as such. Occurrences by source are then
+counted for the terms kept.
 
-Tasks learn which prefixes are open from a bit map of ``2**LOG2_BITS`` bits, made in Spark and of that size whatever the input.
-Prefixes that share a bit with an open one stay open too; whole terms are counted exactly, so the result is the same.
+Tasks learn which prefixes are open, and in the end which terms are kept, from a bit map of ``2**LOG2_BITS`` bits, made in Spark and of that size whatever the input.
+Prefixes that share a bit with an open one are followed too; whole terms are counted and joined exactly, so the result is the same.
 
 The distance of two sources is a sum over the vocabulary. Counts are dealt by blocks of terms; a task adds up the distances
 over its terms for all sources of the language as one array, some sources at a time, and sends one row for each pair.
@@ -36,8 +37,9 @@ SHOWN = 50
 SHARE = 1_000_000_000
 SMOOTHING = 5
 LOG2_BITS = 26
-#: Bytes of text in a block, and sources that a task measures against all others at once.
-BLOCK = 1 << 22
+#: Bytes of text in a block; terms in a task's block of distances, and sources measured against all others there.
+BLOCK = 1 << 23
+TERMS = 1 << 14
 TILE = 256
 CELLS = 1 << 20
 
@@ -45,7 +47,8 @@ _IS_TERM = np.zeros(256, bool)
 _IS_TERM[0x41:0x5B] = _IS_TERM[0x61:0x7B] = _IS_TERM[0x80:] = True
 
 _BLOCKS = "groups array<struct<lang:string,source:string>>, n_docs int, n_entries int, n_pairs int, doc_group binary, entry_group binary, entry_end binary, entries binary, pairs binary, counts binary"
-_LEVEL = "lang string, source string, piece binary, docs long, occurrences long"
+_LEVEL = "lang string, piece binary, whole boolean, docs long"
+_COUNTED = "lang string, source string, piece binary, n long"
 
 
 def _squeezed(a: np.ndarray) -> bytes:
@@ -108,7 +111,10 @@ def _block(langs: pa.Array, sources: pa.Array, texts: pa.Array) -> pa.RecordBatc
     names = [{"lang": x, "source": y} for x, y in zip(lang_names.take(pa.array(group_lang)).to_pylist(), source_names.take(pa.array(group_source)).to_pylist())]
     doc, terms = _terms(*utf8(texts))
     term, known = _numbered(terms)
-    n_known = max(len(known), 1)
+    order = pc.sort_indices(known)
+    rank = np.empty(len(known), np.int64)
+    rank[order.to_numpy()] = np.arange(len(known))
+    term, known, n_known = rank[term], known.take(order), max(len(known), 1)
     entry, at = np.unique(lang[doc] * n_known + term, return_inverse=True)
     entry_lang, entry_term = np.divmod(entry, n_known)
     some_group = np.zeros(len(lang_names), np.int32)  # of each language; an entry names its language by it
@@ -142,64 +148,100 @@ def _bit(lang: str, prefix: bytes) -> int:
     return xxhash.xxh64_intdigest(prefix, xxhash.xxh64_intdigest(lang.encode(), 42)) & (1 << LOG2_BITS) - 1
 
 
+class _Held:
+    """A stored block. Entries stand by language and bytes, pairs by document and entry, so equal prefixes are neighbours."""
+
+    def __init__(self, row):
+        self.groups, self.n_docs, self.n_entries, self.n_pairs, self._group, group, ends, entries, self._pairs, self._counts = row
+        self.ends = _unsqueezed(ends, self.n_entries, np.int64)
+        self.data = _unsqueezed(entries, int(self.ends[-1]) if self.n_entries else 0, np.uint8)
+        self.size = np.diff(self.ends, prepend=0)
+        langs, self.lang_names = _numbered(pa.array([g["lang"] for g in self.groups], pa.string()))
+        self.lang = langs[_unsqueezed(group, self.n_entries, np.int32)]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Document and entry of each pair."""
+        return np.divmod(np.cumsum(_unsqueezed(self._pairs, self.n_pairs, np.int64)), max(self.n_entries, 1))
+
+    def counts(self) -> np.ndarray:
+        return _unsqueezed(self._counts, self.n_pairs, np.int32)
+
+    def doc_group(self) -> np.ndarray:
+        return _unsqueezed(self._group, self.n_docs, np.int32)
+
+    def runs(self, which: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+        """For the entries ``which``, cut to ``most`` bytes: the number of the run of equal ones, the first of each run, the cut entries."""
+        cut = _clipped(self.ends, self.data, which, most)
+        code, _ = _numbered(cut)
+        whole, lang = self.size[which] <= most, self.lang[which]
+        fresh = np.ones(len(which), bool)
+        fresh[1:] = (code[1:] != code[:-1]) | (whole[1:] != whole[:-1]) | (lang[1:] != lang[:-1])
+        return np.cumsum(fresh) - 1, np.flatnonzero(fresh), cut
+
+    def marked(self, which: np.ndarray, most: int, bits: np.ndarray) -> np.ndarray:
+        """Which of ``which`` have the bit of their first ``most`` bytes."""
+        run, first, cut = self.runs(which, most)
+        names = self.lang_names.to_pylist()
+        place = np.array([_bit(names[g], p) for g, p in zip(self.lang[which[first]].tolist(), cut.take(pa.array(first)).to_pylist())], np.int64)
+        return (bits[place >> 3] >> (place & 7) & 1 > 0)[run]
+
+
 def _level(before: int, length: int, opened):
-    """Counts of one level. ``source`` is null for prefixes of longer terms; ``piece`` is then ``length`` bytes."""
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("piece", pa.binary()), ("docs", pa.int64()), ("occurrences", pa.int64())])
-
-    def counted(row) -> pa.RecordBatch:
-        groups, n_docs, n_entries, n_pairs, doc_group, entry_group, ends, entries, pairs, counts = row
-        ends = _unsqueezed(ends, n_entries, np.int64)
-        data = _unsqueezed(entries, int(ends[-1]) if n_entries else 0, np.uint8)
-        entry_group = _unsqueezed(entry_group, n_entries, np.int32)
-        langs = [g["lang"] for g in groups]
-        size = np.diff(ends, prepend=0)
-        live = size > before
+    """Distinct documents of the whole terms of up to ``length`` bytes and of the first ``length`` bytes of longer ones."""
+    names = [x.split()[0] for x in _LEVEL.split(", ")]
+
+    def counted(held: _Held) -> pa.RecordBatch:
+        which = np.flatnonzero(held.size > before)
         if before:
-            bits, at = opened.value, np.flatnonzero(live)
-            heads = _clipped(ends, data, at, before).to_pylist()
-            place = np.array([_bit(langs[g], p) for g, p in zip(entry_group[at].tolist(), heads)], np.int64)
-            live[at] = bits[place >> 3] >> (place & 7) & 1 > 0
-        which = np.flatnonzero(live)
-        piece, names = _numbered(_clipped(ends, data, which, length))
-        whole = size[which] <= length
-        # entries of one language, piece and kind
-        kind, of_entry = np.unique(np.stack([entry_group[which], piece, whole]), axis=1, return_inverse=True)
-        entry_kind = np.full(n_entries, -1)
-        entry_kind[which] = of_entry.ravel()
-        pairs = np.cumsum(_unsqueezed(pairs, n_pairs, np.int64))
-        counts = _unsqueezed(counts, n_pairs, np.int32)
-        doc, found = np.divmod(pairs, max(n_entries, 1))
-        found = entry_kind[found]
-        mine = found >= 0
-        doc, found, counts = doc[mine], found[mine], counts[mine]
-        is_whole = kind[2][found] > 0 if len(found) else np.zeros(0, bool)
-        # whole terms: a pair of document and term comes once, so pairs are documents
-        doc_group = _unsqueezed(doc_group, n_docs, np.int32)
-        n_kinds = max(kind.shape[1], 1)
-        key, at = np.unique(doc_group[doc[is_whole]].astype(np.int64) * n_kinds + found[is_whole], return_inverse=True)
-        docs, occurrences = np.bincount(at, minlength=len(key)), np.bincount(at, weights=counts[is_whole], minlength=len(key)).astype(np.int64)
-        group, whole_kind = np.divmod(key, n_kinds)
-        # prefixes: a document counts once however many of its terms begin so
-        open_kind, open_docs = np.unique(np.unique(doc[~is_whole] * n_kinds + found[~is_whole]) % n_kinds, return_counts=True)
-        kinds = np.r_[whole_kind, open_kind].astype(np.int64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([langs[g] for g in kind[0][kinds]], pa.string()),
-                pa.array([groups[g]["source"] for g in group] + [None] * len(open_kind), pa.string()),
-                names.take(pa.array(kind[1][kinds])).cast(pa.binary()),
-                pa.array(np.r_[docs, open_docs].astype(np.int64)), pa.array(np.r_[occurrences, np.zeros(len(open_kind), np.int64)]),
-            ],
-            schema=schema,
-        )
+            which = which[held.marked(which, before, opened.value)]
+        run, first, cut = held.runs(which, length)
+        run_of = np.full(held.n_entries, -1)
+        run_of[which] = run
+        doc, entry = held.pairs()
+        run = run_of[entry]
+        doc, run = doc[run >= 0], run[run >= 0]
+        once = np.ones(len(run), bool)  # a document counts once however many of its terms begin so
+        once[1:] = (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])
+        at = which[first]
+        columns = [held.lang_names.take(pa.array(held.lang[at])), cut.take(pa.array(first)).cast(pa.binary()), pa.array(held.size[at] <= length)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(np.bincount(run[once], minlength=len(first)))], names=names)
 
     def level(batches):
         for batch in batches:
             for row in each(batch, 1):
-                yield counted(row)
+                yield counted(_Held(row))
 
     return level
 
 
+def _occurrences(kept):
+    """Occurrences by source of the whole terms that have a bit."""
+    names = [x.split()[0] for x in _COUNTED.split(", ")]
+
+    def counted(held: _Held) -> pa.RecordBatch:
+        which = np.arange(held.n_entries)
+        which = which[held.marked(which, int(held.size.max(initial=1)), kept.value)]
+        place = np.full(held.n_entries, -1)
+        place[which] = np.arange(len(which))
+        doc, entry = held.pairs()
+        at = place[entry]
+        mine = at >= 0
+        key, inverse = np.unique(held.doc_group()[doc[mine]].astype(np.int64) * max(len(which), 1) + at[mine], return_inverse=True)
+        n = np.bincount(inverse, weights=held.counts()[mine], minlength=len(key)).astype(np.int64)
+        group, at = np.divmod(key, max(len(which), 1))
+        pieces = _clipped(held.ends, held.data, which, int(held.size.max(initial=1))).cast(pa.binary())
+        sources = pa.array([g["source"] for g in held.groups], pa.string())
+        columns = [held.lang_names.take(pa.array(held.lang[which[at]])), sources.take(pa.array(group)), pieces.take(pa.array(at)), pa.array(n)]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def occurrences(batches):
+        for batch in batches:
+            for row in each(batch, 1):
+                yield counted(_Held(row))
+
+    return occurrences
+
+
 def _bit_map(opened: DataFrame):
     """A broadcast bit map of the open prefixes."""
     place = opened.select(F.xxhash64("lang", "piece").bitwiseAND((1 << LOG2_BITS) - 1).alias("p"))
@@ -215,17 +257,17 @@ def term_counts(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     blocks = cut_lineage(rows.mapInArrow(_blocked, _BLOCKS), "blocks")
     whole, before, length, bits = [], 0, 2, None
     while True:
-        counted = blocks.mapInArrow(_level(before, length, bits), _LEVEL).groupBy("lang", "source", "piece").agg(F.sum("docs").alias("docs"), F.sum("occurrences").alias("n"))
-        counted = cut_lineage(counted, f"prefixes-{length}")
-        whole.append(counted.filter("source IS NOT NULL"))
-        opened = counted.filter(F.col("source").isNull() & (F.col("docs") >= support))
+        counted = blocks.mapInArrow(_level(before, length, bits), _LEVEL).groupBy("lang", "piece", "whole").agg(F.sum("docs").alias("docs"))
+        kept = cut_lineage(counted.filter(F.col("docs") >= support), f"prefixes-{length}")
+        whole.append(kept.filter("whole").select("lang", "piece"))
+        opened = kept.filter("NOT whole")
         if opened.isEmpty():
             break
         before, length, bits = length, 2 * length, _bit_map(opened)
-    found = whole[0]
+    kept = whole[0]
     for more in whole[1:]:
-        found = found.unionByName(more)
-    kept = found.groupBy("lang", "piece").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= support).select("lang", "piece")
+        kept = kept.unionByName(more)
+    found = blocks.mapInArrow(_occurrences(_bit_map(kept)), _COUNTED).groupBy("lang", "source", "piece").agg(F.sum("n").alias("n"))
     return found.join(kept, ["lang", "piece"], "left_semi").select("lang", "source", F.col("piece").cast("string").alias("term"), "n")
 
 
@@ -287,7 +329,6 @@ def _distances(batches):
 
 def audited(docs: DataFrame, support: int = SUPPORT, shown: int = SHOWN) -> DataFrame:
     """``lang, source, part, item, value, rank``: how far each source's shares are from the others', and the terms it overuses."""
-    spark = docs.sparkSession
     counts = cut_lineage(term_counts(docs, support), "counts")
     names = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source")).distinct()
     whole = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
@@ -301,11 +342,10 @@ def audited(docs: DataFrame, support: int = SUPPORT, shown: int = SHOWN) -> Data
     over = shares.join(whole, ["lang", "term"]).withColumn("value", F.col("p") - _share("lang_n", "lang_all")).filter("value > 0")
     terms = over.select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), "value")
 
-    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lists = groups.groupBy("lang").agg(F.count("*").alias("of"))
-    tiled = lists.select("lang", F.explode(F.sequence(F.lit(0), F.floor((F.col("of") - 1) / TILE).cast("int"))).alias("tile"))
-    dealt = shares.join(tiled, "lang").select("lang", F.pmod(F.xxhash64("term"), F.lit(blocks)).cast("int").alias("block"), "tile", F.lit(1).alias("kind"), "term", "number", F.col("p").alias("share"))
-    zeros = groups.join(tiled, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "tile", F.lit(0).alias("kind"), F.lit("").alias("term"), "number", F.col("zero").alias("share"))
+    lists = groups.groupBy("lang").agg(F.count("*").alias("of"), (F.floor(F.max("v") / TERMS) + 1).cast("int").alias("blocks"))
+    tiled = lists.select("lang", "blocks", F.explode(F.sequence(F.lit(0), F.floor((F.col("of") - 1) / TILE).cast("int"))).alias("tile"))
+    dealt = shares.join(tiled, "lang").select("lang", F.pmod(F.xxhash64("term"), "blocks").cast("int").alias("block"), "tile", F.lit(1).alias("kind"), "term", "number", F.col("p").alias("share"))
+    zeros = groups.join(tiled, "lang").select("lang", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "tile", F.lit(0).alias("kind"), F.lit("").alias("term"), "number", F.col("zero").alias("share"))
     dealt = dealt.unionByName(zeros).repartition("lang", "block", "tile").sortWithinPartitions("lang", "block", "tile", "kind", "term", "number")
     sums = dealt.mapInArrow(_distances, "lang string, a int, b int, value long").groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
     one, other = groups.select("lang", "source", "number"), groups.select("lang", F.col("source").alias("item"), F.col("number").alias("b"))
