@@ -287,3 +287,37 @@ def test_empty_tables(spark, make, tmp_path):
         classifier.scored(empty, classifier.train(empty, spark.createDataFrame([], "doc_id long, quality int, toxic int"))),
     ]
     assert [df.count() for df in results] == [0] * len(results)
+
+
+def _thue_morse(n, a="a", b="b"):
+    return "".join(a if bin(k).count("1") % 2 else b for k in range(n))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 4096])
+def test_long_words_that_differ_are_not_held_equal(make, prose, n):
+    before, behind = prose(31, 8), prose(32, 12)
+    docs = [(1, f"{before} {_thue_morse(n)} {behind}"), (2, f"{before} {_thue_morse(n, 'b', 'a')} {behind}")]
+    found = substring_dedup.without_repeated_windows(make(docs), log2_cells=14)
+    assert rows(found, "doc_id", "n_words", "n_removed", "text") == sorted(brute.kept_words(docs), key=str)
+
+
+def test_executors_without_the_package(tmp_path):
+    """A session started elsewhere, with the package on the driver's path only."""
+    import os
+    import pathlib
+    import subprocess
+    import sys
+
+    root = pathlib.Path(__file__).resolve().parents[2]
+    code = f"""
+import sys
+sys.path.append({str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__
+for name in ("op4_suffix_dedup", "op9_substring_dedup", "op12_prefixes", "op13_winnowing"):
+    assert __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001").count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert not done.returncode, done.stderr[-2000:]

@@ -42,7 +42,7 @@ def features(data: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.
     """Per family: index of the weight of each feature, and the number of features before each row (one more for the end)."""
     begin, end, before = W.spans(data, starts)
     sums = W.prefix_sums(data)
-    word = W.span_hash(sums, begin, end)
+    word = W.word_hash(data, begin, end, sums)
     kind = _KIND[data]
     small = np.r_[0, np.cumsum(kind == 1)]
     big = np.r_[0, np.cumsum(kind == 2)]

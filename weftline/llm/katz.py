@@ -125,7 +125,7 @@ def _blocks(batches):
         for a, b, data, starts in W.chunks(batch.column(0)):
             data = W.lowered(data)
             begin, end, before = W.spans(data, starts)
-            hashes = W.span_hash(W.prefix_sums(data), begin, end)
+            hashes = W.word_hash(data, begin, end)
             lengths = np.diff(before) + 1
             parts.append((np.insert(hashes, before[1:], END), lengths, ids[a:b], train[a:b]))
             n += len(hashes) + b - a

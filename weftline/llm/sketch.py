@@ -52,6 +52,20 @@ class Repeated:
         return found
 
 
+class Shared:
+    """A broadcast ``Repeated``. Only its arrays are broadcast: a class of this package could not be read where it is not installed."""
+
+    def __init__(self, spark, *parts):
+        self.parts = spark.sparkContext.broadcast(parts)
+
+    @property
+    def value(self) -> Repeated:
+        return Repeated(*self.parts.value)
+
+    def destroy(self) -> None:
+        self.parts.destroy()
+
+
 #: A task counts a hash this often at most, so a hot one is one that many tasks hold.
 TASK_MOST = 16
 HOT = 240
@@ -136,4 +150,4 @@ def repeated(docs: DataFrame, hashes: Callable[[Iterator[pa.RecordBatch]], Itera
         if keep_hot:
             hot[r.block >> 16][at] = bits[step:]
         total += r.total
-    return docs.sparkSession.sparkContext.broadcast(Repeated(rows, hot, log2_cells)), total
+    return Shared(docs.sparkSession, rows, hot, log2_cells), total

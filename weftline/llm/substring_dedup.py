@@ -44,7 +44,7 @@ def _unsqueezed(blob: bytes, n: int, dtype) -> np.ndarray:
 
 def _chunk_windows(data, starts, window):
     begin, end, before = W.spans(data, starts)
-    hashes = W.span_hash(W.prefix_sums(data), begin, end)
+    hashes = W.word_hash(data, begin, end)
     return hashes, before, *W.windows(hashes, before, window)
 
 

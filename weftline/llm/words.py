@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -127,10 +128,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of the bytes of each span, the same wherever they stand."""
+    """64-bit hash of the bytes of each span, the same wherever they stand. For spans of a few hundred bytes: sums modulo
+    ``2**64`` cannot tell some pairs of periodic strings of 1,024 bytes and more apart, whatever the base."""
     return mixed((sums[end] - sums[begin]) * _powers("down", len(sums))[begin])
 
 
+#: Words of more bytes are hashed by XXH64.
+SHORT = 256
+
+
+def word_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hash of each word, of any length."""
+    out = span_hash(prefix_sums(data) if sums is None else sums, begin, end)
+    for k in np.flatnonzero(end - begin > SHORT):
+        out[k] = xxhash.xxh64_intdigest(data[begin[k] : end[k]].tobytes(), 0x9E3779B97F4A7C15)
+    return out
+
+
 def windows(hashes: np.ndarray, before: np.ndarray, size: int, seed: int = 0x2545F4914F6CDD1D) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word of every window of ``size`` words within one row, and the window's hash."""
     count = np.maximum(np.diff(before) - size + 1, 0)
