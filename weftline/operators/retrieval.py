@@ -153,34 +153,13 @@ def term_table(docs: DataFrame, key: str, text: Column) -> DataFrame:
     return counted.select(key, "dl", F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count("*").alias("tf"))
 
 
+def hashed_place(term: Column) -> tuple[Column, Column]:
+    """Dimension and sign of a term."""
+    code = F.md5(term.cast("binary"))
+    return F.conv(F.substring(code, 1, 2), 16, 10).cast("int") % 64, F.when(F.substring(code, 3, 1) < "8", 1).otherwise(-1)
+
+
 def term_vector(rows: DataFrame, key: str, weight: Column) -> DataFrame:
     """``(key, dim, v)`` by signed hashing of terms: the offline stand-in for a model, of texts and questions alike."""
-    code = F.md5(F.col("term").cast("binary"))
-    dim = F.conv(F.substring(code, 1, 2), 16, 10).cast("int") % 64
-    sign = F.when(F.substring(code, 3, 1) < "8", 1).otherwise(-1)
+    dim, sign = hashed_place(F.col("term"))
     return rows.groupBy(key, dim.alias("dim")).agg(F.sum(sign * weight).alias("v"))
-
-
-def hybrid_many(terms: DataFrame, sizes: DataFrame, key: str, questions: DataFrame, question: str, text: Column, most_terms: int, candidates: int, limit: int, threshold: float) -> DataFrame:
-    """For each question: BM25 candidates holding its first ``most_terms`` distinct terms, re-ranked by cosine.
-
-    ``terms`` is a stored ``term_table``, ``sizes`` has ``(key, dl)`` of all texts. All questions are asked in one plan.
-    """
-    asked = worked_out(questions, [question], tx.terms(text), "_t")
-    wanted = asked.select(question, F.explode(F.slice(F.array_distinct("_t"), 1, most_terms)).alias("term"))
-    needed = wanted.groupBy(question).agg(F.count("*").alias("needed"))
-    stats = sizes.agg(F.struct(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))).scalar()
-    frequency = terms.join(wanted.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    hits = terms.join(wanted, "term").join(frequency, "term").withColumn("_s", stats)
-    idf = F.greatest(F.log((F.col("_s.docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(BM25_IDF_FLOOR))
-    part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("_s.avgdl")))
-    scored = hits.groupBy(question, key).agg(F.count("*").alias("held"), F.round(-F.sum(part), 9).alias("rank")).join(needed, question).filter("held = needed")
-    best = scored.withColumn("_n", F.row_number().over(W.partitionBy(question).orderBy("rank", key))).filter(F.col("_n") <= candidates).select(question, key, "rank")
-    theirs = term_vector(terms.join(best.select(key).distinct(), key, "left_semi"), key, F.col("tf"))
-    ours = term_vector(asked.select(question, F.explode("_t").alias("term")), question, F.lit(1)).withColumnRenamed("v", "q")
-    length = theirs.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("d_size"))
-    q_length = ours.groupBy(question).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_size"))
-    dots = best.join(theirs, key).join(ours, [question, "dim"]).groupBy(question, key, "rank").agg(F.sum(F.col("v") * F.col("q")).alias("dot"))
-    similar = dots.join(length, key).join(q_length, question).withColumn("similarity", F.round(F.try_divide("dot", F.col("d_size") * F.col("q_size")), 9)).filter(F.col("similarity") >= threshold)
-    order = W.partitionBy(question).orderBy(F.desc("similarity"), key)
-    return similar.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= limit).select(question, key, "rank", "similarity")

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from weftline import fixed
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
-from weftline.operators import clustering, retrieval
+from weftline.operators import clustering, postings, retrieval
+from weftline.operators.nearest import nearest
 from weftline.registry import query
-from weftline.session import cut_lineage
 from weftline.sources.tables import spread, table
 
 _Q = [0, 1, 2, 3, 4]
@@ -147,28 +147,44 @@ _TERM_VECTOR = "SELECT {key}, CAST('0x' || substr(md5(term), 1, 2) AS INTEGER) %
 
 def _hybrid_benchmark_sql() -> str:
     return f"""WITH dt AS (SELECT doc_id, {_FOLDED.format("text || ' ' || source || ' ' || lang")} AS t FROM documents), tt AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dt),
-terms AS (SELECT doc_id, dl, term, count(*) AS tf FROM tt GROUP BY ALL), it AS (SELECT item_id, {_FOLDED.format("text")} AS t FROM benchmark), ii AS (SELECT item_id, unnest(t) AS term, generate_subscripts(t, 1) AS i FROM it),
-fi AS (SELECT item_id, term, min(i) AS i FROM ii GROUP BY 1, 2), wanted AS (SELECT item_id, term FROM fi QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i) <= 3), st AS (SELECT count(*) AS docs, avg(len(t)) AS avgdl FROM dt),
+terms AS (SELECT doc_id, dl, term, count(*) AS tf FROM tt GROUP BY ALL), ii AS (SELECT item_id, unnest({_FOLDED.format("text")}) AS term FROM benchmark),
+wanted AS (SELECT DISTINCT item_id, term FROM ii), st AS (SELECT count(*) AS docs, avg(len(t)) AS avgdl FROM dt),
 fr AS (SELECT term, count(*) AS df FROM terms WHERE term IN (SELECT term FROM wanted) GROUP BY 1), needed AS (SELECT item_id, count(*) AS needed FROM wanted GROUP BY 1),
 sc AS (SELECT item_id, doc_id, count(*) AS held, round(-sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS rank FROM terms JOIN wanted USING (term) JOIN fr USING (term), st GROUP BY 1, 2),
 best AS (SELECT item_id, doc_id, rank FROM sc JOIN needed USING (item_id) WHERE held = needed QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY rank, doc_id) <= 50),
-dv AS ({_TERM_VECTOR.format(key="doc_id", weight="tf", rows="terms")}), qv AS ({_TERM_VECTOR.format(key="item_id", weight="1", rows="ii")}),
-dn AS (SELECT doc_id, sqrt(sum(v * v)) AS s FROM dv GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(v * v)) AS s FROM qv GROUP BY 1),
-dots AS (SELECT item_id, doc_id, rank, sum(dv.v * qv.v) AS dot FROM best JOIN dv USING (doc_id) JOIN qv USING (item_id, dim) GROUP BY 1, 2, 3),
-sim AS (SELECT item_id, doc_id, rank, round(dot / (dn.s * qn.s), 9) AS similarity FROM dots JOIN dn USING (doc_id) JOIN qn USING (item_id) WHERE dn.s * qn.s > 0)
+pairs AS (SELECT * FROM best UNION ALL SELECT DISTINCT item_id, doc_id, CAST(NULL AS DOUBLE) FROM ii, terms WHERE item_id NOT IN (SELECT item_id FROM best)),
+{_VECTORS},
+sim AS (SELECT item_id, doc_id, rank, round(CASE WHEN dn.s * qn.s > 0 THEN coalesce(dot, 0) / (dn.s * qn.s) ELSE 0 END, 9) AS similarity FROM pairs LEFT JOIN dots USING (item_id, doc_id) JOIN dn USING (doc_id) JOIN qn USING (item_id))
 SELECT item_id, doc_id, round(rank, 6) AS rank, round(similarity, 6) AS similarity FROM sim WHERE similarity >= 0.3 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY sim.similarity DESC, doc_id) <= 10"""
 
 
-@query("hybrid_benchmark", "VR12 FLT8 VR11 VR1", _hybrid_benchmark_sql())
+# Vectors of texts (from ``terms``) and questions (from ``ii``), their lengths and products; all sums are whole numbers.
+_VECTORS = f"""dv AS ({_TERM_VECTOR.format(key="doc_id", weight="tf", rows="terms")}), qv AS ({_TERM_VECTOR.format(key="item_id", weight="1", rows="ii")}),
+dn AS (SELECT doc_id, sqrt(sum(v * v)) AS s FROM dv GROUP BY 1), qn AS (SELECT item_id, sqrt(sum(v * v)) AS s FROM qv GROUP BY 1),
+dots AS (SELECT item_id, doc_id, sum(dv.v * qv.v) AS dot FROM dv JOIN qv USING (dim) GROUP BY 1, 2)"""
+
+
+@query("hybrid_benchmark", "VR12 VR13 FLT8 VR11 TK3", _hybrid_benchmark_sql())
 def hybrid_benchmark(spark, sf):
-    """Every benchmark text asks; questions and documents are embedded alike, and the term table is built once."""
-    docs = _docs(spark, sf)
-    terms = cut_lineage(retrieval.term_table(docs, "doc_id", F.col("indexed")), "terms")
-    sizes = docs.select("doc_id", F.size(tx.terms(F.col("indexed"))).alias("dl"))
-    found = retrieval.hybrid_many(terms, sizes, "doc_id", table(spark, sf, "benchmark").select("item_id", "text"), "item_id", F.col("text"), 3, fixed.CANDIDATES, 10, fixed.SIMILARITY_THRESHOLD)
+    """Every benchmark text asks with all its words; a question whose words no text holds together is compared with every vector."""
+    index = postings.build(table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", "text", "source", "lang").alias("indexed")), "doc_id", F.col("indexed"))
+    found = postings.search(index, table(spark, sf, "benchmark").select("item_id", "text"), "item_id", F.col("text"), 10, fixed.CANDIDATES, fixed.SIMILARITY_THRESHOLD)
     return found.select("item_id", "doc_id", F.round("rank", 6).alias("rank"), F.round("similarity", 6).alias("similarity"))
 
 
+@query("bm25_questions", "VR11 TK3", f"""WITH dt AS (SELECT doc_id, {_FOLDED.format("text || ' ' || source || ' ' || lang")} AS t FROM documents), tt AS (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM dt),
+terms AS (SELECT doc_id, dl, term, count(*) AS tf FROM tt GROUP BY ALL), wanted AS (SELECT DISTINCT conv_id, term FROM (SELECT conv_id, unnest(array_slice({_FOLDED.format("text")}, 1, 3)) AS term FROM conversations WHERE turn = 0)),
+st AS (SELECT count(*) AS docs, avg(len(t)) AS avgdl FROM dt), fr AS (SELECT term, count(*) AS df FROM terms GROUP BY 1), needed AS (SELECT conv_id, count(*) AS needed FROM wanted GROUP BY 1),
+sc AS (SELECT conv_id, doc_id, count(*) AS held, round(-sum(greatest(ln((docs - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS rank FROM terms JOIN wanted USING (term) JOIN fr USING (term), st GROUP BY 1, 2)
+SELECT conv_id, doc_id, round(rank, 6) AS rank FROM sc JOIN needed USING (conv_id) WHERE held = needed QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY sc.rank, doc_id) <= 10""")
+def bm25_questions(spark, sf):
+    """The opening words of every conversation ask; the ten best texts that hold them."""
+    index = postings.build(table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", "text", "source", "lang").alias("indexed")), "doc_id", F.col("indexed"))
+    opening = table(spark, sf, "conversations").filter("turn = 0").select("conv_id", F.array_join(F.slice(tx.terms(F.col("text")), 1, 3), " ").alias("text"))
+    found = postings.candidates(index, postings.asked(index, opening, "conv_id", F.col("text")), "conv_id", 10)
+    return found.select("conv_id", "doc_id", F.round("rank", 6).alias("rank"))
+
+
 @query("hybrid_fallback", "VR13 FLT8", f"WITH {SIMS} SELECT vec_id AS doc_id, round(similarity, 6) AS similarity FROM sims WHERE query_id = 3 AND similarity >= 0.3 ORDER BY sims.similarity DESC, vec_id LIMIT 10")
 def hybrid_fallback(spark, sf):
     """No document holds the term, so every vector is scored."""
@@ -177,15 +193,26 @@ def hybrid_fallback(spark, sf):
     return found.select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("embedded_topk", "VR1 VR10")
+@query("embedded_topk", "VR1 VR10 TK5 VR2", f"""WITH dt AS (SELECT doc_id, {_FOLDED.format("text")} AS t FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)), tt AS (SELECT doc_id, unnest(t) AS term FROM dt),
+terms AS (SELECT doc_id, term, count(*) AS tf FROM tt GROUP BY ALL), ii AS (SELECT item_id, unnest({_FOLDED.format("text")}) AS term FROM benchmark), {_VECTORS},
+sim AS (SELECT qn.item_id AS query_id, dn.doc_id, CASE WHEN dn.s * qn.s > 0 THEN coalesce(dot, 0) / (qn.s * dn.s) ELSE 0 END AS similarity FROM qn CROSS JOIN dn LEFT JOIN dots ON dots.item_id = qn.item_id AND dots.doc_id = dn.doc_id)
+SELECT query_id, doc_id, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim.similarity DESC, doc_id) AS INTEGER) AS rank FROM sim QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim.similarity DESC, doc_id) <= 5""")
 def embedded_topk(spark, sf):
-    """Documents without a stored vector are embedded on the fly and searched for every benchmark text, the stated query set."""
-    from weftline.functions.vectors import hashed_embedding
-
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    """Documents without a stored vector are embedded and searched for every benchmark text; questions are a table as well."""
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     bare = docs.join(_emb(spark, sf).select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
-    asked = {r["item_id"]: [float(x) for x in hashed_embedding(r["text"], 64)] for r in table(spark, sf, "benchmark").collect()}
-    return retrieval.top_k(bare.select("doc_id", vx.embed(F.col("text")).alias("v")), "doc_id", "v", asked, 5).withColumn("similarity", F.round("similarity", 6))
+    vectors = postings.dense(retrieval.term_table(bare, "doc_id", F.col("text")), "doc_id", F.col("tf"))
+    asked = postings.dense(retrieval.term_table(table(spark, sf, "benchmark"), "item_id", F.col("text")), "item_id", F.col("tf"))
+    return nearest(asked, "item_id", "vector", vectors, "doc_id", "vector", 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("nearest_of_many", "VR2 TK4 TK5 SC17", f"""WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity({V.replace('embedding', 'e.embedding')}, {V.replace('embedding', 'q.embedding')}), 9) AS similarity FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) SELECT query_id, vec_id, round(similarity, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 10""")
+def nearest_of_many(spark, sf):
+    """Every vector whose id is divisible by 20 asks for its ten nearest of all vectors."""
+    e = _emb(spark, sf)
+    found = nearest(e.filter("vec_id % 20 = 0"), "vec_id", "embedding", e, "vec_id", "embedding", 10)
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 _TREE_THRESHOLD = 0.2
