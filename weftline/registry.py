@@ -19,6 +19,7 @@ PLAN_MODULES = (
     "weftline.plans.vectors",
     "weftline.plans.context",
     "weftline.plans.streams",
+    "weftline.plans.indexing",
 )
 
 
