@@ -20,6 +20,7 @@ PLAN_MODULES = (
     "weftline.plans.context",
     "weftline.plans.streams",
     "weftline.plans.indexing",
+    "weftline.plans.event_time",
 )
 
 
