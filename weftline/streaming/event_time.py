@@ -133,7 +133,8 @@ class Responses(StatefulProcessor):
         for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
             now = _millis(row.ts)
             if is_open and now > last + self.gap:
-                self.chunks.appendList(new)
+                if new:
+                    self.chunks.appendList(new)
                 new = []
                 out.append(self._out(key, False))
             new.append((row.content,))
