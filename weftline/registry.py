@@ -21,6 +21,7 @@ PLAN_MODULES = (
     "weftline.plans.streams",
     "weftline.plans.indexing",
     "weftline.plans.event_time",
+    "weftline.plans.ordered",
 )
 
 
