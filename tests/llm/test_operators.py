@@ -225,6 +225,25 @@ def test_encoder_agrees_with_the_library(odd, prose):
         assert np.frombuffer(e.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("chunk", [128, tokens.CHUNK])
+def test_encoder_agrees_with_the_library_on_random_characters(monkeypatch, chunk):
+    import random
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokens, "CHUNK", chunk)
+    e, r = tokens.Encoder(tokens.TOKENIZER), random.Random(chunk)
+    some = [*"abA12 .,'é×÷日  \n\t\u0085\u3000\u2003“–ß😀\x1c\x7f", "<|endoftext|>", "<|end", " 's", "don't ", "\n"]
+    texts = ["".join(r.choice(some) for _ in range(r.choice([0, 5, 30, 400]))) for _ in range(400)] + ["a" * 1000, None]
+    at_row = 0
+    for a, b, ids, at in e.encode_column(pa.array(texts, pa.string()), 7):
+        assert a == at_row and len(at) == b - a + 1
+        at_row = b
+        for k in range(b - a):
+            assert ids[at[k] : at[k + 1]].tolist() == [*LIBRARY.encode(texts[a + k] or "", add_special_tokens=False).ids, 7]
+    assert at_row == len(texts)
+
+
 @pytest.mark.parametrize("file_bytes, block_ids", [(1 << 25, 1 << 16), (2000, 100)])
 def test_huffman_round_trip(spark, make, mixed, tmp_path, file_bytes, block_ids):
     path = f"file://{tmp_path}/set"

@@ -115,25 +115,19 @@ def _tokenized(path: str, end_id: int, splits: list[int]):
     edges = np.array(splits, np.int64)
 
     def tokenize(batches):
-        own, end = encoder(path), end_id.to_bytes(4, "little")
+        own = encoder(path)
         for batch in batches:
             docs = batch.column(0)
             file_no = np.searchsorted(edges, docs.fill_null(0).to_numpy(), "right").astype(np.int32)
             file_no[docs.is_null().to_numpy(zero_copy_only=False)] = 0
-            texts, a = batch.column(2), 0
-            while a < len(docs):
-                ids, size, b = [], 0, a
-                while b < len(docs) and size < 1 << 23:
-                    ids.append(own.encode(texts[b].as_py()) + end)
-                    size += len(ids[-1])
-                    b += 1
-                blobs = [pa.compress(x, codec="zstd", asbytes=True) for x in ids]
-                part = slice(a, b)
+            for a, b, ids, at in own.encode_column(batch.column(2), end_id):
+                if ids.max(initial=0) < 1 << 16:
+                    ids = ids.astype("<u2")
+                blobs = [pa.compress(ids[x:y], codec="zstd", asbytes=True) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(file_no[part]), docs.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int32()), pa.array(blobs, pa.binary())],
-                    names=["file_no", "doc_id", "th", "n", "ids"],
+                    [pa.array(file_no[a:b]), docs.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(at).astype(np.int32)), pa.array(np.full(b - a, ids.itemsize, np.int8)), pa.array(blobs, pa.binary())],
+                    names=["file_no", "doc_id", "th", "n", "width", "ids"],
                 )
-                a = b
 
     return tokenize
 
@@ -146,7 +140,7 @@ def _blocked(block_ids: int):
         held, n, file_no, block_no = [], 0, None, 0
 
         def sent():
-            ids = np.concatenate([np.frombuffer(x[2], "<u4") for x in held])
+            ids = np.concatenate([_ids(x[2], x[1]) for x in held])
             row = (
                 file_no, block_no, len(ids), np.array([x[0] or 0 for x in held], "<i8").tobytes(), np.array([x[0] is None for x in held]).tobytes(),
                 np.array([x[1] for x in held], "<u4").tobytes(), ids.astype("<u2" if ids.max() < 1 << 16 else "<u4").tobytes(),
@@ -154,13 +148,13 @@ def _blocked(block_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _BLOCK.values())], names=list(_BLOCK))
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in (0, 1, 3)]
-            for f, doc, size, blob in zip(*columns, batch.column(4)):
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 3, 4)]
+            for f, doc, size, width, blob in zip(*columns, batch.column(5)):
                 if held and (f != file_no or n >= block_ids):
                     yield sent()
                     block_no, held, n = (block_no + 1 if f == file_no else 0), [], 0
                 file_no = f
-                held.append((doc, size, pa.decompress(blob.as_buffer(), size * 4, codec="zstd", asbytes=True)))
+                held.append((doc, size, pa.decompress(blob.as_buffer(), size * width, codec="zstd", asbytes=True)))
                 n += size
         if held:
             yield sent()
@@ -229,7 +223,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer: str =
     splits = []
     if files > 1:
         splits = rows.select(F.percentile_approx("doc_id", [k / files for k in range(1, files)], max(10_000, 20 * files))).first()[0] or []
-    tokenized = rows.mapInArrow(_tokenized(tokenizer, end_id, sorted(set(splits))), "file_no int, doc_id long, th long, n int, ids binary")
+    tokenized = rows.mapInArrow(_tokenized(tokenizer, end_id, sorted(set(splits))), "file_no int, doc_id long, th long, n int, width byte, ids binary")
     ordered = tokenized.repartition(files, "file_no").sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "th")
     held = scratch_path(spark, "id-blocks")
     ordered.mapInArrow(_blocked(block_ids), "file_no int, block_no int, n_ids long, doc_ids binary, doc_nulls binary, doc_lengths binary, ids binary").write.option("compression", "zstd").parquet(held)

@@ -21,12 +21,13 @@ import zlib
 from bisect import bisect_right
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.registry import llm_query
-from weftline.llm.tokens import TOKENIZER, encoder
+from weftline.llm.tokens import TOKENIZER, encoder, id_blobs
 from weftline.session import scratch_path
 from weftline.sources.tables import table
 
@@ -39,25 +40,20 @@ def _tokenized(path: str, end_id: int):
     def tokenize(batches):
         from pyspark import TaskContext
 
-        part, filled, own, end = TaskContext.get().partitionId(), {}, encoder(path), end_id.to_bytes(4, "little")
-        kinds = {"doc_id": pa.int64(), "source": pa.string(), "part": pa.int32(), "before": pa.int64(), "n": pa.int64(), "ids": pa.binary()}
-
-        def sent(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds.values())], names=list(kinds))
-
-        rows, size = [], 0
+        part, filled, own = TaskContext.get().partitionId(), {}, encoder(path)
         for batch in batches:
-            for doc, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                ids = own.encode(text.as_py()) + end
-                n, before = len(ids) // 4, filled.get(source, 0)
-                filled[source] = before + n
-                rows.append((doc, source, part, before, n, ids))
-                size += len(ids)
-                if size > 1 << 22:
-                    yield sent(rows)
-                    rows, size = [], 0
-        if rows:
-            yield sent(rows)
+            for a, b, ids, at in own.encode_column(batch.column(2), end_id):
+                n, before = np.diff(at), np.empty(b - a, np.int64)
+                named = batch.column(1).slice(a, b - a).dictionary_encode()
+                code = named.indices.fill_null(-1).to_numpy()
+                for k in np.unique(code).tolist():
+                    rows, source = np.flatnonzero(code == k), named.dictionary[k].as_py() if k >= 0 else None
+                    sums = np.cumsum(n[rows]) + filled.get(source, 0)
+                    before[rows], filled[source] = sums - n[rows], int(sums[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(before), pa.array(n), id_blobs(ids, at)],
+                    names=["doc_id", "source", "part", "before", "n", "ids"],
+                )
 
     return tokenize
 

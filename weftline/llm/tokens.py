@@ -1,27 +1,50 @@
 """Token ids of whole texts, with a tokenizer file of the tokenizers library (byte-level BPE).
 
-A text is cut at single blanks between characters that aren't white space; a byte-level BPE never merges over such a place,
-so the pieces' ids put together are the text's ids. Pieces come again and again, so each worker keeps the ids of those it has
-met and asks the library for new ones only. When it has ``CACHE`` of them it starts afresh, and looks through those of before once more.
+A text is cut at single blanks and line ends between characters that aren't white space, and where an ASCII letter or digit (or
+an accented letter of Latin-1) meets ASCII of another kind; a byte-level BPE never merges over such a place, so the pieces' ids put together are the text's ids. Places are
+found in the bytes of a whole column, where a blank beside a character that might be white space beyond ASCII counts as none. Arrow numbers the distinct pieces of some texts at a time;
+each worker keeps the ids of those it has met, asks the library for new ones only, and the ids of all pieces are then gathered
+by offsets. When it has ``CACHE`` pieces it starts afresh, and looks through those of before once more.
+
+A text longer than ``CHUNK`` bytes is worked through some bytes at a time, so memory follows its ids and not its pieces.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import regex
 
+from weftline.llm import words as W
+
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-CACHE = 200_000
+CACHE = 300_000
+CHUNK = 1 << 21
+#: Longer pieces are not kept.
+KEPT_BYTES = 64
 
-_PLACE = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s")
-_ODD_ASCII = ["  ", *(x for c in "\t\n\v\f\r\x1c\x1d\x1e\x1f" for x in (" " + c, c + " "))]
 #: Fixed value: the public pattern that splits a text before the merges.
 _PIECES = regex.compile(public_tokenizers.PATTERN)
 
+#: ASCII that isn't white space to a Unicode pattern, and the first bytes in UTF-8 of all white space beyond ASCII.
+_PLAIN = np.zeros(256, bool)
+_PLAIN[0x21:0x80] = True
+_PERHAPS = np.zeros(256, bool)
+_PERHAPS[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Kinds of ASCII: 1 letters, 2 digits, 4 the rest that isn't white space; 0 anything else.
+_KIND = np.zeros(256, np.uint8)
+_KIND[0x21:0x7F] = 4
+_KIND[0x30:0x3A] = 2
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = 1
+#: A letter or digit before another kind ends a match of the pattern; a sign before a digit too, before a letter it may not ("'s").
+_ENDS = np.zeros(64, bool)
+_ENDS[[1 << 3 | 2, 1 << 3 | 4, 2 << 3 | 1, 2 << 3 | 4, 4 << 3 | 2]] = True
+
 
 def _byte_characters() -> list[str]:
     """The printable stand-in of each byte in a byte-level vocabulary: itself if printable, else the next one from 256 on."""
@@ -30,8 +53,32 @@ def _byte_characters() -> list[str]:
     return [chr(b if b in shown else next(others)) for b in range(256)]
 
 
+def _places(data: np.ndarray) -> np.ndarray:
+    """Where a text may be cut, ascending."""
+    at = np.flatnonzero(data == 0x20)
+    at = at[(at > 0) & (at < len(data) - 1)]
+    before, behind = data[at - 1], data[at + 1]
+    good = _PLAIN[before] & _PLAIN[behind]
+    wide = np.flatnonzero(~good & (_PLAIN[before] | (before >= 0x80)) & (_PLAIN[behind] | (behind >= 0x80)))
+    if len(wide):
+        p = at[wide]
+        odd = _PERHAPS[data[p + 1]] | ((data[p - 1] >= 0x80) & (_PERHAPS[data[np.maximum(p - 2, 0)]] | _PERHAPS[data[np.maximum(p - 3, 0)]]))
+        good[wide[~odd]] = True
+    kind = _KIND[data]
+    accented = np.flatnonzero(data[:-1] == 0xC3) + 1
+    kind[accented[(data[accented] != 0x97) & (data[accented] != 0xB7)]] = 1
+    cut = np.zeros(len(data), bool)
+    cut[at[good]] = True
+    cut[1:] |= _ENDS[kind[:-1] << 3 | kind[1:]]
+    line = np.flatnonzero(data == 0x0A)
+    line = line[(line > 0) & (line < len(data) - 1)]
+    line = line[_PLAIN[data[line - 1]] & _PLAIN[data[line + 1]]]
+    cut[line] = cut[line + 1] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
-    """``encode(text)``: the ids as little-endian unsigned 32-bit integers."""
+    """``encode_column(column)`` for whole columns, ``encode(text)`` for one text: ids as unsigned 32-bit integers."""
 
     def __init__(self, path: str):
         from tokenizers.models import BPE
@@ -40,67 +87,105 @@ class Encoder:
         with open(path) as f:
             spec = json.load(f)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.model = BPE(spec["model"]["vocab"], merges, cache_capacity=0)  # words that come again are kept here
-        self.bare: dict[str, bytes] = {}  # ids of what follows a blank, with that blank
-        self.before: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}  # of anything else
+        self.model = BPE(spec["model"]["vocab"], merges, cache_capacity=0)  # pieces that come again are kept here
         self.shown = dict(enumerate(_byte_characters()))
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.id_bytes = [i.to_bytes(4, "little") for i in range(len(spec["model"]["vocab"]) + len(self.special))]
+        self.whole = None
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        """A text with a special token's name in it, by the library alone."""
-        from tokenizers import Tokenizer
+    def _by_library(self, piece: bytes) -> bytes:
+        """A piece with a special token's name in it."""
+        if self.whole is None:
+            from tokenizers import Tokenizer
 
-        return b"".join([self.id_bytes[i] for i in Tokenizer.from_file(self.path).encode(text, add_special_tokens=False).ids])
+            self.whole = Tokenizer.from_file(self.path)
+        return np.array(self.whole.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _ids(self, word: str) -> bytes:
-        """Of what the pattern leaves in one."""
-        shown = word if word.isascii() and word.isalpha() else word.encode().decode("latin-1").translate(self.shown)
+    def _new(self, piece: bytes) -> bytes:
         id_bytes = self.id_bytes
-        return b"".join([id_bytes[t.id] for t in self.model.tokenize(shown)])
-
-    def _kept(self, word: str, ids: bytes) -> bytes:
-        if len(self.bare) >= CACHE:
-            self.before, self.bare = self.bare, {}
-        self.bare[word] = ids
+        if (piece[1:] if piece[:1] == b" " else piece).isalpha():  # ASCII letters: one match of the pattern
+            return b"".join([id_bytes[t.id] for t in self.model.tokenize(piece.decode().replace(" ", self.shown[32]))])
+        if any(s in piece for s in self.special):
+            return self._by_library(piece)
+        text = piece.decode()
+        words = [text] if (text[1:] if text[:1] == " " else text).isalpha() else _PIECES.findall(text)
+        return b"".join([id_bytes[t.id] for w in words for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.shown))])
+
+    def _ids_of(self, piece: bytes) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = self._new(piece)
+        if len(piece) <= KEPT_BYTES:
+            if len(self.known) >= CACHE:
+                self.before, self.known = self.known, {}
+            self.known[piece] = ids
         return ids
 
-    def _piece(self, piece: str) -> bytes:
-        found = self.pieces.get(piece)
-        if found is None:
-            if len(self.pieces) >= CACHE:
-                self.pieces.clear()
-            found = b"".join([self._ids(w) for w in _PIECES.findall(piece)])
-            if len(piece) < 64:
-                self.pieces[piece] = found
-        return found
-
-    def _after_blank(self, word: str) -> bytes:
-        found = self.before.get(word)
-        if found is not None:
-            return self._kept(word, found)
-        if word.isalpha():  # the pattern's letters are those of isalpha
-            if not word.isascii():
-                return self._kept(word, self._ids(" " + word))
-            id_bytes = self.id_bytes
-            return self._kept(word, b"".join([id_bytes[t.id] for t in self.model.tokenize(self.shown[32] + word)]))
-        if word[:-1].isalpha() and word[-1] in ".,;:?!|#*$%&":
-            first = self.bare.get(word[:-1])
-            ids = (self._after_blank(word[:-1]) if first is None else first) + self._piece(word[-1])
-            return ids if first is None else self._kept(word, ids)  # met before, so likely to come again
-        return self._kept(word, self._piece(" " + word))
+    def _cuts(self, data: np.ndarray) -> np.ndarray:
+        """Places to cut, none within a special token's name."""
+        cuts = _places(data)
+        raw = data.tobytes()
+        for s in self.special:
+            found = np.array([m.start() for m in re.finditer(re.escape(s), raw)], np.int64)
+            if len(found):
+                ahead = found[np.maximum(np.searchsorted(found, cuts, "left") - 1, 0)]
+                cuts = cuts[(cuts <= ahead) | (cuts >= ahead + len(s))]
+        return cuts
+
+    def _encoded(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces between ``cuts`` (from 0 to the end of the data), and where each piece's begin."""
+        pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        found = list(map(self.known.get, distinct))
+        for k in [k for k, x in enumerate(found) if x is None]:
+            found[k] = self._ids_of(distinct[k])
+        size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
+        held = np.frombuffer(b"".join(found), "<u4")
+        code = pieces.indices.to_numpy()
+        n = size[code]
+        at = np.cumsum(np.r_[0, n])
+        return held[np.arange(at[-1]) + np.repeat((np.cumsum(size) - size)[code] - at[:-1], n)], at
+
+    def _long(self, data: np.ndarray) -> np.ndarray:
+        """Ids of one text, worked through up to its last place within so many bytes, more where there is none."""
+        out, a, step = [], 0, CHUNK
+        while a < len(data):
+            block = data[a : a + step]
+            cuts = self._cuts(block)
+            last = a + step >= len(data)
+            if not last:
+                cuts = cuts[cuts < len(block) - 64]  # what follows a place decides on it, as for a special token's name
+                if not len(cuts):
+                    step *= 2
+                    continue
+                block, cuts = block[: cuts[-1]], cuts[:-1]
+            out.append(self._encoded(block, np.r_[0, cuts, len(block)])[0])
+            a, step = a + len(block), CHUNK
+        return np.concatenate(out)
+
+    def encode_column(self, column: pa.Array, end_id: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """First row, row behind the last, their ids with ``end_id`` behind each row's, and where each row's begin (one more for
+        the end), for some rows at a time. Nulls are empty."""
+        for a, b, data, starts in W.chunks(column, CHUNK):
+            if len(data) > CHUNK:
+                ids, at = self._long(data), np.array([0, 0])
+                at[1] = len(ids)
+            elif len(data):
+                cuts = np.sort(np.r_[self._cuts(data), starts])
+                cuts = cuts[np.r_[True, cuts[1:] != cuts[:-1]]]
+                ids, own = self._encoded(data, cuts)
+                at = own[np.searchsorted(cuts, starts)]
+            else:
+                ids, at = np.zeros(0, np.uint32), np.zeros(len(starts), np.int64)
+            yield a, b, np.insert(ids, at[1:], end_id).astype("<u4", copy=False), at + np.arange(len(at))
 
     def encode(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self._whole(text)
-        odd = text[:1] == " " or text[-1:] == " " or (any(x in text for x in _ODD_ASCII) if text.isascii() else _ODD.search(text))
-        parts = _PLACE.split(text) if odd else text.split(" ")
-        found = list(map(self.bare.get, parts))
-        found[0] = self._piece(parts[0])
-        for k in [k for k, x in enumerate(found) if x is None]:
-            found[k] = self._after_blank(parts[k])
-        return b"".join(found)
+        """Ids of one text as little-endian bytes."""
+        for _, _, ids, _ in self.encode_column(pa.array([text], pa.string()), 0):
+            return ids[:-1].tobytes()
+        return b""
 
 
 def encoder(path: str) -> Encoder:
@@ -111,3 +196,8 @@ def encoder(path: str) -> Encoder:
     if path not in made:
         made[path] = Encoder(path)
     return made[path]
+
+
+def id_blobs(ids: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Each row's ids as a binary value."""
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
