@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.registry import llm_query
-from weftline.llm.tokens import TOKENIZER, encoder
+from weftline.llm.tokens import TOKENIZER, encoder, id_blobs
 from weftline.session import scratch_path
 from weftline.sources.tables import table
 
@@ -123,10 +123,9 @@ def _tokenized(path: str, end_id: int, splits: list[int]):
             for a, b, ids, at in own.encode_column(batch.column(2), end_id):
                 if ids.max(initial=0) < 1 << 16:
                     ids = ids.astype("<u2")
-                blobs = [pa.compress(ids[x:y], codec="zstd", asbytes=True) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(file_no[a:b]), docs.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(at).astype(np.int32)), pa.array(np.full(b - a, ids.itemsize, np.int8)), pa.array(blobs, pa.binary())],
-                    names=["file_no", "doc_id", "th", "n", "width", "ids"],
+                    [pa.array(file_no[a:b]), docs.slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(at).astype(np.int32)), id_blobs(ids, at)],
+                    names=["file_no", "doc_id", "th", "n", "ids"],
                 )
 
     return tokenize
@@ -149,12 +148,12 @@ def _blocked(block_ids: int):
 
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in (0, 1, 3, 4)]
-            for f, doc, size, width, blob in zip(*columns, batch.column(5)):
+            for f, doc, size, blob in zip(*columns):
                 if held and (f != file_no or n >= block_ids):
                     yield sent()
                     block_no, held, n = (block_no + 1 if f == file_no else 0), [], 0
                 file_no = f
-                held.append((doc, size, pa.decompress(blob.as_buffer(), size * width, codec="zstd", asbytes=True)))
+                held.append((doc, size, blob))
                 n += size
         if held:
             yield sent()
@@ -223,7 +222,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer: str =
     splits = []
     if files > 1:
         splits = rows.select(F.percentile_approx("doc_id", [k / files for k in range(1, files)], max(10_000, 20 * files))).first()[0] or []
-    tokenized = rows.mapInArrow(_tokenized(tokenizer, end_id, sorted(set(splits))), "file_no int, doc_id long, th long, n int, width byte, ids binary")
+    tokenized = rows.mapInArrow(_tokenized(tokenizer, end_id, sorted(set(splits))), "file_no int, doc_id long, th long, n int, ids binary")
     ordered = tokenized.repartition(files, "file_no").sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "th")
     held = scratch_path(spark, "id-blocks")
     ordered.mapInArrow(_blocked(block_ids), "file_no int, block_no int, n_ids long, doc_ids binary, doc_nulls binary, doc_lengths binary, ids binary").write.option("compression", "zstd").parquet(held)

@@ -24,7 +24,7 @@ from weftline.llm import words as W
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CACHE = 300_000
-CHUNK = 1 << 21
+CHUNK = 1 << 22
 #: Longer pieces are not kept.
 KEPT_BYTES = 64
 
@@ -200,4 +200,4 @@ def encoder(path: str) -> Encoder:
 
 def id_blobs(ids: np.ndarray, at: np.ndarray) -> pa.Array:
     """Each row's ids as a binary value."""
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * 4).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * ids.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
