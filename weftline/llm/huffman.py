@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.registry import llm_query
-from weftline.llm.tokens import TOKENIZER, encoder, id_blobs
+from weftline.llm.tokens import TOKENIZER, encoder, forget, id_blobs
 from weftline.session import scratch_path
 from weftline.sources.tables import table
 
@@ -136,6 +136,7 @@ _BLOCK = {"file_no": pa.int32(), "block_no": pa.int32(), "n_ids": pa.int64(), "d
 
 def _blocked(block_ids: int):
     def block(batches):
+        forget()
         held, n, file_no, block_no = [], 0, None, 0
 
         def sent():
@@ -147,13 +148,13 @@ def _blocked(block_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _BLOCK.values())], names=list(_BLOCK))
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in (0, 1, 3, 4)]
-            for f, doc, size, blob in zip(*columns):
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 3)]
+            for f, doc, size, blob in zip(*columns, batch.column(4)):
                 if held and (f != file_no or n >= block_ids):
                     yield sent()
                     block_no, held, n = (block_no + 1 if f == file_no else 0), [], 0
                 file_no = f
-                held.append((doc, size, blob))
+                held.append((doc, size, blob.as_py()))
                 n += size
         if held:
             yield sent()

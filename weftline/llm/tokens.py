@@ -23,8 +23,8 @@ import regex
 from weftline.llm import words as W
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
-CACHE = 300_000
-CHUNK = 1 << 22
+CACHE = 200_000
+CHUNK = 1 << 21
 #: Longer pieces are not kept.
 KEPT_BYTES = 64
 
@@ -198,6 +198,21 @@ def encoder(path: str) -> Encoder:
     return made[path]
 
 
+def forget() -> None:
+    """Frees what a worker keeps of its encoders: steps that need none run in the same workers."""
+    import ctypes
+    import sys
+
+    made = getattr(sys.modules.get("tokenizers"), "_encoders", None)
+    if made:
+        made.clear()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # only glibc has it
+            return
+
+
 def id_blobs(ids: np.ndarray, at: np.ndarray) -> pa.Array:
     """Each row's ids as a binary value."""
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * ids.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
