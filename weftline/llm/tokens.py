@@ -200,17 +200,12 @@ def encoder(path: str) -> Encoder:
 
 def forget() -> None:
     """Frees what a worker keeps of its encoders: steps that need none run in the same workers."""
-    import ctypes
     import sys
 
     made = getattr(sys.modules.get("tokenizers"), "_encoders", None)
     if made:
         made.clear()
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # only glibc has it
-            return
+        W.free_memory()
 
 
 def id_blobs(ids: np.ndarray, at: np.ndarray) -> pa.Array:

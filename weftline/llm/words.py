@@ -45,6 +45,17 @@ def null_id(column: str | Column) -> Column:
     return F.when(column != NULL_ID, column)
 
 
+def free_memory() -> None:
+    """Gives the worker's unused memory back: the next step may run in a worker of another kind beside it."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only glibc has it
+        return
+
+
 def each(batch: pa.RecordBatch, step: int = 32) -> Iterator[tuple]:
     """The rows of a batch as tuples, some at a time: rows of compressed columns are large."""
     for a in range(0, batch.num_rows, step):
