@@ -99,31 +99,31 @@ def quality_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(repeats)
 
 
-def seeds(text, masks, span):
-    w = [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
-    return w, [(m, k, tuple(w[k + j] for j, c in enumerate(mask) if c == "1")) for m, mask in enumerate(masks) for k in range(len(w) - span + 1)]
-
-
-def overlaps(docs, items, masks, span, window, similarity):
-    at = defaultdict(list)
-    texts = {}
-    for n, (j, t) in enumerate(items):
-        w, s = seeds(t, masks, span)
-        texts[n] = (j, w)
-        for m, k, key in s:
-            at[m, key].append((n, k))
+def alnum(text):
+    return [x for x in re.split(r"[\W_]+", (text or "").lower()) if x]
+
+
+def overlaps(docs, items, masks, span, window, similarity, shortest):
+    """Every place of every item laid over every place of every text; short items as a whole."""
     out = defaultdict(list)
     for i, t in docs:
-        w, s = seeds(t, masks, span)
-        for m, k, key in s:
-            for n, l in at[m, key]:
-                j, v = texts[n]
-                best = 0
-                for o in range(span - window, 1):
-                    best = max(best, sum(0 <= k + o + x < len(w) and 0 <= l + o + x < len(v) and w[k + o + x] == v[l + o + x] for x in range(window)))
-                if best >= math.ceil(min(window, len(v)) * similarity - 1e-9):
-                    out[i, j].append(best)
-    return sorted(((i, j, len(b), max(b)) for (i, j), b in out.items()), key=str)
+        w = alnum(t)
+        for j, u in items:
+            v = alnum(u)
+            if len(v) < span:
+                if len(v) >= shortest:
+                    out[i, j] += [len(v)] * sum(w[k : k + len(v)] == v for k in range(len(w)))
+                continue
+            for k in range(len(w) - span + 1):
+                for l in range(len(v) - span + 1):
+                    if w[k] != v[l]:  # every mask begins with a word that counts
+                        continue
+                    same = [0 <= k + x < len(w) and 0 <= l + x < len(v) and w[k + x] == v[l + x] for x in range(span - window, window)]
+                    hits = sum(all(same[window - span + x] for x, c in enumerate(m) if c == "1") for m in masks)
+                    best = max(sum(same[o : o + window]) for o in range(window - span + 1))
+                    if hits and best >= math.ceil(min(window, len(v)) * similarity - 1e-9):
+                        out[i, j] += [best] * hits
+    return sorted(((i, j, len(b), max(b)) for (i, j), b in out.items() if b), key=str)
 
 
 def katz(docs, discounts, hot, k=5):

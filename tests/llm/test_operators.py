@@ -1,3 +1,4 @@
+import itertools
 import math
 import zlib
 
@@ -105,14 +106,28 @@ def test_js_distance(spark):
 
 def test_decontamination(spark, make, prose, mixed):
     items = [(k, prose(400 + k, 20 + k)) for k in range(8)] + [(50, None), (51, "too short"), (None, prose(450, 30)), (1, prose(401, 21)), (60, prose(460, 10))]
+    items += [(70, prose(470, 8)), (71, prose(471, 6)), (72, prose(472, 5)), (73, "one two three four")]
     changed = items[2][1].split()
     changed[5], changed[14] = "other", "words"
     texts = mixed + [(500, "Start " + items[0][1].upper() + " end"), (501, prose(1, 30) + " " + " ".join(changed)), (502, items[1][1]), (503, items[10][1]), (504, items[12][1]), (505, prose(3, 99))]
+    texts += [(506, prose(470, 8)), (507, f"a {prose(471, 6)} b {prose(471, 6)}"), (508, prose(471, 6).replace(" ", " other ", 1)), (509, prose(472, 5)), (510, "one two three four")]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("seed", F.lit("x"))
     found = decontamination.contaminated(make(texts, "mask seed around d i"), bench)
-    want = brute.overlaps(texts, items, decontamination.MASKS, decontamination.SPAN, decontamination.WINDOW, decontamination.SIMILARITY)
+    want = brute.overlaps(texts, items, decontamination.MASKS, decontamination.SPAN, decontamination.WINDOW, decontamination.SIMILARITY, decontamination.SHORTEST)
     assert rows(found, "doc_id", "item_id", "n_hits", "n_equal") == want
-    assert {(500, 0), (501, 2), (502, 1), (503, None), (504, 60)} <= {r[:2] for r in want} and not any(r[0] == 505 for r in want)
+    assert {(500, 0), (501, 2), (502, 1), (503, None), (504, 60), (506, 70), (507, 71), (509, 72)} <= {r[:2] for r in want}
+    assert not any(r[0] in (505, 508, 510) for r in want)
+
+
+def test_decontamination_finds_every_pattern_of_changed_words(spark, make, prose):
+    items, texts = [], []
+    for n in range(9, 14):
+        items.append((n, prose(900 + n, n)))
+        for out in itertools.combinations(range(n), n - math.ceil(n * decontamination.SIMILARITY - 1e-9)):
+            w = ["other" if k in out else x for k, x in enumerate(items[-1][1].split())]
+            texts.append((n * 1000 + len(texts), " ".join(["before", *w, "after"])))
+    found = decontamination.contaminated(make(texts), spark.createDataFrame(items, "item_id long, text string"))
+    assert rows(found, "doc_id", "item_id") == sorted(((i, i // 1000) for i, _ in texts), key=str) and len(texts) == 253
 
 
 def test_classifier(spark, make, prose, odd):

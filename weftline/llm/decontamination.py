@@ -3,21 +3,24 @@
 Texts are compared by their words: runs of letters and digits, lower-cased. A seed is a fixed mask over ``SPAN`` words of which
 only some count, so words at the other places may differ. Seeds of all items and all documents are hashed and joined; around
 each hit, windows of ``WINDOW`` words that hold the seed are compared word by word, and a pair is reported if one of them has
-``SIMILARITY`` of its words equal at the same places.
+``SIMILARITY`` of its words equal at the same places. The three masks were searched for so that any two changed words of 10 to 13,
+or one of 9, leave a seed whole; a test goes through all these patterns. Items of ``SPAN`` words may lose one changed word.
+
+Items of fewer than ``SPAN`` words have one seed, all their words, and are reported where they stand unchanged. Under ``shortest``
+words an item says too little: a document with the same few words need not come from it.
 
 Documents are not exploded into all their seeds: a bit map of the items' seeds, of ``2**log2_bits`` bits whatever their number,
 travels as a constant and lets through what may be in it; the join then decides. A hit carries the few words around it, never
 its document, so a passage found in a third of all documents costs each of them a small row. All of it is built-in expressions.
 
-Defined cases: null texts have no words; texts or items with fewer words than a seed spans have no seeds and are never
-reported; items shorter than a window need their share of their own words; rows of one doc_id are reported together, as are
-those of one item_id, null ids included. Other columns are not read.
+Defined cases: null texts have no words; items of fewer than ``shortest`` words are never reported; items shorter than a window
+need their share of their own words; rows of one doc_id are reported together, as are those of one item_id, null ids included.
+Other columns are not read.
 """
 
 from __future__ import annotations
 
 import json
-import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +30,9 @@ from weftline.llm.registry import llm_query
 from weftline.operators.rows import unnest_fields
 from weftline.sources.tables import table
 
-MASKS = ("111010011", "110101101")
-SPAN = 9
+MASKS = ("10001111", "10110101", "11011001")
+SPAN = 8
+SHORTEST = 5
 WINDOW = 13
 SIMILARITY = 0.8
 LOG2_BITS = 22
@@ -38,8 +42,13 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+"), "")
 
 
+def _mask(mask: int) -> str:
+    """The mask of a number: one of ``MASKS``, then all words of an item of 1, 2, ... words."""
+    return MASKS[mask] if mask < len(MASKS) else "1" * (mask - len(MASKS) + 1)
+
+
 def _seed(h: Column, at: Column, mask: int) -> Column:
-    return F.xxhash64(F.lit(mask), *[F.get(h, at + k) for k, c in enumerate(MASKS[mask]) if c == "1"])
+    return F.xxhash64(F.lit(mask), *[F.get(h, at + k) for k, c in enumerate(_mask(mask)) if c == "1"])
 
 
 def _around(h: Column, at: Column) -> Column:
@@ -47,14 +56,17 @@ def _around(h: Column, at: Column) -> Column:
     return F.transform(F.sequence(at - (WINDOW - SPAN), at + (WINDOW - 1)), lambda k: F.get(h, k))
 
 
-def _seeds(text: Column, kept=None) -> Column:
-    """``mask, at, seed, around, n_words`` of every seed of a text that ``kept`` lets through."""
+def _seeds(text: Column, masks: list[int], kept=None) -> Column:
+    """``mask, at, seed, around, n_words`` of every seed of a document that ``kept`` lets through; of every seed of an item without it."""
 
     def found(h: Column) -> Column:
         def own(mask: int) -> Column:
-            places = F.sequence(F.lit(0), F.size(h) - SPAN)
+            last = F.size(h) - len(_mask(mask))
+            places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
             if kept is not None:
                 places = F.filter(places, lambda at: kept(_seed(h, at, mask)))
+            elif mask >= len(MASKS):
+                places = F.filter(places, lambda at: last == 0)
             return F.transform(
                 places,
                 lambda at: F.struct(
@@ -62,7 +74,7 @@ def _seeds(text: Column, kept=None) -> Column:
                 ),
             )
 
-        return F.when(F.size(h) >= SPAN, F.concat(*[own(m) for m in range(len(MASKS))]))
+        return F.concat(*[own(m) for m in masks])
 
     return tx.let(F.transform(_words(text), lambda w: F.xxhash64(w)), found)
 
@@ -85,39 +97,49 @@ def _filter_of(seeds: DataFrame, log2_bits: int):
     return passes
 
 
-def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, log2_bits: int = LOG2_BITS) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY, log2_bits: int = LOG2_BITS, shortest: int = SHORTEST) -> DataFrame:
     """``doc_id, item_id, n_hits`` (hits that held) and ``n_equal`` (most equal words of a window) of every pair that overlaps."""
-    own = unnest_fields(items, [F.col("item_id").cast("long").alias("item_id")], _seeds(F.col("text")))
+    lengths = items.select(F.size(_words(F.col("text"))).alias("n")).filter(F.col("n").between(shortest, SPAN - 1)).distinct().collect()  # SPAN rows at most
+    masks = [*range(len(MASKS)), *sorted(len(MASKS) + r.n - 1 for r in lengths)]
+    own = unnest_fields(items, [F.col("item_id").cast("long").alias("item_id")], _seeds(F.col("text"), masks))
     passes = _filter_of(own.select("seed"), log2_bits)
-    theirs = unnest_fields(docs, [F.col("doc_id").cast("long").alias("doc_id")], _seeds(F.col("text"), passes))
+    theirs = unnest_fields(docs, [F.col("doc_id").cast("long").alias("doc_id")], _seeds(F.col("text"), masks, passes))
     both = theirs.alias("d").join(own.alias("i"), (F.col("d.mask") == F.col("i.mask")) & (F.col("d.seed") == F.col("i.seed")))
     equal = F.zip_with("d.around", "i.around", lambda a, b: F.when(a == b, 1).otherwise(0))
     in_window = tx.let(
         equal, lambda e: F.greatest(*[F.aggregate(F.slice(e, k + 1, WINDOW), F.lit(0), lambda x, y: x + y) for k in range(WINDOW - SPAN + 1)])
     )
     hits = both.select("doc_id", "item_id", in_window.alias("n_equal"), F.least("i.n_words", F.lit(WINDOW)).alias("window"))
-    held = hits.filter(F.col("n_equal") >= F.ceil(F.col("window") * similarity - 1e-9))
+    needed = F.when(F.col("window") < SPAN, F.col("window")).otherwise(F.ceil(F.col("window") * similarity - 1e-9))
+    held = hits.filter(F.col("n_equal") >= needed)
     return held.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_hits"), F.max("n_equal").alias("n_equal"))
 
 
 def _sql() -> str:
-    pad = "['','','','']"
-    tail = "['','','','','','','','','','','','']"
-    picks = {m: " || ' ' || ".join(f"p[pos + {4 + k}]" for k, c in enumerate(mask) if c == "1") for m, mask in enumerate(MASKS)}
+    pad, tail = "['','','','','']", "['','','','','','','','','','','','']"
+    masks = [*range(len(MASKS)), *range(len(MASKS) + SHORTEST - 1, len(MASKS) + SPAN - 1)]
+    picks = {m: " || ' ' || ".join(f"p[pos + {5 + k}]" for k, c in enumerate(_mask(m)) if c == "1") for m in masks}
     windows = ", ".join("+".join(f"CAST(d.p[d.pos + {o + k}] = i.p[i.pos + {o + k}] AND d.p[d.pos + {o + k}] <> '' AS INTEGER)" for k in range(WINDOW)) for o in range(WINDOW - SPAN + 1))
-    assert WINDOW - SPAN == 4 and math.ceil(WINDOW * SIMILARITY) == 11
+    assert WINDOW - SPAN == 5
+
+    def where(name: str, m: int) -> str:
+        if m < len(MASKS):
+            return f"pos <= n - {SPAN} + 1"
+        n = len(_mask(m))
+        return f"pos = 1 AND n = {n}" if name == "i" else f"pos <= n - {n} + 1 AND {n} IN (SELECT len(w) FROM i_words)"
 
     def side(name: str, ident: str) -> str:
-        seeds = " UNION ALL ".join(f"SELECT {ident}, pos, n, p, {m} AS mask, {pick} AS seed FROM {name}_at" for m, pick in picks.items())
+        seeds = " UNION ALL ".join(f"SELECT {ident}, pos, n, p, {m} AS mask, {pick} AS seed FROM {name}_at WHERE {where(name, m)}" for m, pick in picks.items())
         return f"""
 {name}_words AS (SELECT {ident}, [x for x in string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+') if x <> ''] AS w FROM {'documents' if ident == 'doc_id' else 'benchmark'}),
-{name}_at AS (SELECT {ident}, list_concat({pad}, w, {tail}) AS p, len(w) AS n, unnest(range(1, len(w) - {SPAN} + 2)) AS pos FROM {name}_words),
+{name}_at AS (SELECT {ident}, list_concat({pad}, w, {tail}) AS p, len(w) AS n, unnest(range(1, len(w) + 1)) AS pos FROM {name}_words),
 {name} AS ({seeds})"""
 
     return f"""
-WITH {side('d', 'doc_id')},{side('i', 'item_id')},
+WITH {side('i', 'item_id')},{side('d', 'doc_id')},
 hits AS (SELECT doc_id, item_id, least(i.n, {WINDOW}) AS window_, greatest({windows}) AS n_equal FROM d JOIN i ON d.mask = i.mask AND d.seed = i.seed)
-SELECT doc_id, item_id, count(*) AS n_hits, max(n_equal) AS n_equal FROM hits WHERE n_equal >= ceil(window_ * {SIMILARITY} - 1e-9) GROUP BY doc_id, item_id
+SELECT doc_id, item_id, count(*) AS n_hits, max(n_equal) AS n_equal FROM hits
+WHERE n_equal >= CASE WHEN window_ < {SPAN} THEN window_ ELSE ceil(window_ * {SIMILARITY} - 1e-9) END GROUP BY doc_id, item_id
 """
 
 
