@@ -9,8 +9,8 @@ or one of 9, leave a seed whole; a test goes through all these patterns. Items o
 Items of fewer than ``SPAN`` words have one seed, all their words, and are reported where they stand unchanged. Under ``shortest``
 words an item says too little: a document with the same few words need not come from it.
 
-Documents are not exploded into all their seeds: a bit map of the items' seeds, of ``2**log2_bits`` bits whatever their number,
-travels as a constant and lets through what may be in it; the join then decides. A hit carries the few words around it, never
+Documents are not exploded into all their seeds: bit maps of the items' words and seeds, of ``2**log2_bits`` bits whatever their
+number, travel as constants and let through what may be in them; the join then decides. A hit carries the few words around it, never
 its document, so a passage found in a third of all documents costs each of them a small row. All of it is built-in expressions.
 
 Defined cases: null texts have no words; items of fewer than ``shortest`` words are never reported; items shorter than a window
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
 from weftline.llm.registry import llm_query
-from weftline.operators.rows import unnest_fields
+from weftline.operators.rows import unnest, unnest_fields
 from weftline.sources.tables import table
 
 MASKS = ("10001111", "10110101", "11011001")
@@ -56,31 +56,40 @@ def _around(h: Column, at: Column) -> Column:
     return F.transform(F.sequence(at - (WINDOW - SPAN), at + (WINDOW - 1)), lambda k: F.get(h, k))
 
 
-def _seeds(text: Column, masks: list[int], kept=None) -> Column:
-    """``mask, at, seed, around, n_words`` of every seed of a document that ``kept`` lets through; of every seed of an item without it."""
+def _seeds(text: Column, masks: list[int], known=None, kept=None) -> Column:
+    """``mask, at, seed, around, n_words`` of every seed of an item; or of those of a document that ``kept`` lets through.
+
+    Words that ``known`` tells apart from all words of items become null, and only seeds that begin and end with a known word
+    are hashed.
+    """
+
+    def places(h: Column, span: int) -> Column:
+        last = F.size(h) - span
+        every = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        if known is not None:
+            return F.filter(every, lambda at: F.get(h, at).isNotNull() & F.get(h, at + (span - 1)).isNotNull())
+        return every if span == SPAN else F.filter(every, lambda at: last == 0)
 
     def found(h: Column) -> Column:
-        def own(mask: int) -> Column:
-            last = F.size(h) - len(_mask(mask))
-            places = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        def own(mask: int, at_places: Column) -> Column:
             if kept is not None:
-                places = F.filter(places, lambda at: kept(_seed(h, at, mask)))
-            elif mask >= len(MASKS):
-                places = F.filter(places, lambda at: last == 0)
+                at_places = F.filter(at_places, lambda at: kept(_seed(h, at, mask)))
             return F.transform(
-                places,
+                at_places,
                 lambda at: F.struct(
                     F.lit(mask).alias("mask"), at.alias("at"), _seed(h, at, mask).alias("seed"), _around(h, at).alias("around"), F.size(h).alias("n_words")
                 ),
             )
 
-        return F.concat(*[own(m) for m in masks])
+        short = [own(m, places(h, len(_mask(m)))) for m in masks if m >= len(MASKS)]
+        return tx.let(places(h, SPAN), lambda shared: F.concat(*[own(m, shared) for m in range(len(MASKS))], *short))
 
-    return tx.let(F.transform(_words(text), lambda w: F.xxhash64(w)), found)
+    hashes = F.transform(_words(text), lambda w: F.xxhash64(w))
+    return tx.let(hashes if known is None else F.transform(hashes, lambda h: F.when(known(h), h)), found)
 
 
 def _filter_of(seeds: DataFrame, log2_bits: int):
-    """A test on seeds that all of ``seeds`` pass, and few others."""
+    """A test on hashes that all in column ``seed`` pass, and few others."""
     size = 1 << (log2_bits - 6)
     bit = F.col("seed").bitwiseAND((1 << log2_bits) - 1)
     one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))
@@ -103,7 +112,8 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     masks = [*range(len(MASKS)), *sorted(len(MASKS) + r.n - 1 for r in lengths)]
     own = unnest_fields(items, [F.col("item_id").cast("long").alias("item_id")], _seeds(F.col("text"), masks))
     passes = _filter_of(own.select("seed"), log2_bits)
-    theirs = unnest_fields(docs, [F.col("doc_id").cast("long").alias("doc_id")], _seeds(F.col("text"), masks, passes))
+    known = _filter_of(unnest(items, [], F.transform(_words(F.col("text")), lambda w: F.xxhash64(w)), "seed"), log2_bits)
+    theirs = unnest_fields(docs, [F.col("doc_id").cast("long").alias("doc_id")], _seeds(F.col("text"), masks, known, passes))
     both = theirs.alias("d").join(own.alias("i"), (F.col("d.mask") == F.col("i.mask")) & (F.col("d.seed") == F.col("i.seed")))
     equal = F.zip_with("d.around", "i.around", lambda a, b: F.when(a == b, 1).otherwise(0))
     in_window = tx.let(
