@@ -10,6 +10,7 @@ from weftline.operators import code
 from weftline.operators.metrics import ratio
 from weftline.operators.ordered import running_sum
 from weftline.operators.rows import unnest
+from weftline.operators.sizing import small_or_shuffled
 
 
 def project_counts(files: DataFrame, project: Column) -> DataFrame:
@@ -72,10 +73,20 @@ def recommendations() -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("El proyecto está en buen estado general"))).otherwise(found)
 
 
-def _pieces(text: Column) -> Column:
-    """Every distinct substring; names are short, so containment becomes an equality join."""
-    starts = F.sequence(F.lit(1), F.length(text))
-    return F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), F.length(text) - i + 1), lambda n: F.substr(text, i, n)))))
+def _shape(name: Column) -> Column:
+    """Length of a name and of what follows its last dot, as one number: equal names have equal shapes, and there are few."""
+    return F.length(name) * 100_000 + F.length(F.substring_index(name, ".", -1))
+
+
+def _pieces(text: Column, shapes: Column) -> Column:
+    """Every distinct substring of one of ``shapes``; names are short, so containment becomes an equality join."""
+    lengths = F.filter(F.array_distinct(F.transform(shapes, lambda s: F.floor(s / 100_000).cast("int"))), lambda n: (n > 0) & (n <= F.length(text)))
+    some = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, n))))
+    return F.array_distinct(F.filter(some, lambda p: F.array_contains(shapes, _shape(p))))
+
+
+def _with_shapes(df: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    return df.withColumn("_shapes", names.agg(F.collect_set(_shape(F.col(name)))).scalar())
 
 
 def related_files(sources: DataFrame, others: DataFrame) -> DataFrame:
@@ -92,16 +103,19 @@ def related_files(sources: DataFrame, others: DataFrame) -> DataFrame:
     base = F.concat(F.lit("src/"), F.replace(F.substr("module", F.lit(8)), F.lit("::"), F.lit("/")))
     used = used.select("path", F.explode(F.array(F.struct(F.lit(0).alias("order"), F.concat(base, F.lit(".rs")).alias("related")),
                                                 F.struct(F.lit(1).alias("order"), F.concat(base, F.lit("/mod.rs")).alias("related")))).alias("t"), "module").select("path", "module", "t.*")
-    imports = used.join(known, "related").groupBy("path", "module").agg(F.min_by("related", "order").alias("related"))
+    imports = used.hint("merge").join(known, "related").groupBy("path", "module").agg(F.min_by("related", "order").alias("related"))
 
     tests = known.filter(F.startswith("related", F.lit("tests/"))).select("related", tx.file_name(F.col("related")).alias("name"))
     stems = src.select("path", tx.file_stem(F.col("path")).alias("stem"))
-    by_stem = unnest(tests, ["related"], _pieces(F.col("name")), "stem").join(stems, "stem").select("path", "related")
+    # The pieces are many more rows than the optimizer takes them for, and must not be broadcast.
+    held = unnest(_with_shapes(tests, stems, "stem"), ["related"], _pieces(F.col("name"), F.col("_shapes")), "stem")
+    by_stem = held.hint("merge").join(stems, "stem").select("path", "related")
     patterns = F.array(*[F.concat(F.lit(a), F.col("stem"), F.lit(b)) for a, b in (("", "_test.rs"), ("test_", ".rs"), ("", "_tests.rs"), ("tests/", ".rs"))])
-    by_pattern = unnest(stems, ["path"], F.array_distinct(F.flatten(F.transform(patterns, _pieces))), "name").join(tests, "name").select("path", "related")
+    held = unnest(_with_shapes(stems, tests, "name"), ["path"], F.array_distinct(F.flatten(F.transform(patterns, lambda p: _pieces(p, F.col("_shapes"))))), "name")
+    by_pattern = held.hint("merge").join(tests, "name").select("path", "related")
 
     guides = known.filter(tx.file_name(F.col("related")) == "README.md").select("related", tx.parent_dir(F.col("related")).alias("dir"))
-    beside = src.select("path", tx.parent_dir(F.col("path")).alias("dir")).join(guides, "dir").select("path", "related")
+    beside = src.select("path", tx.parent_dir(F.col("path")).alias("dir")).join(small_or_shuffled(guides, "guides"), "dir").select("path", "related")
 
     there = known.filter(F.col("related") == "Cargo.toml").agg(F.count("*")).scalar() > 0
     manifest = src.filter(there).select("path", F.lit("Cargo.toml").alias("related"))
