@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import nearest as nn
-from weftline.operators import postings
+from weftline.operators import postings, retrieval
 
 
 @pytest.fixture(scope="module")
@@ -124,3 +124,21 @@ def test_nearest_joins_no_loops(spark):
     for blocks in (32, 0):
         plan = nn.nearest(some, "id", "v", some, "id", "v", 3, None, blocks)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_terms_are_counted_where_the_texts_are(spark):
+    texts = [(k, t) for k, t in enumerate([None, "", "Été été ete x1", "of the the of a " * 9, "日本 日本 ß"])] + [(9 + k, f"w{k} w{k % 7} the") for k in range(50)]
+    docs = spark.createDataFrame(texts, "id long, body string")
+    rows = postings.all_terms(docs, "id", F.col("body"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = {r.id: r for r in rows.collect()}
+    assert set(found) == {i for i, _ in texts} and found[1].terms == {} and found[1].vector == [0.0] * 64
+    table = retrieval.term_table(docs.na.fill(""), "id", F.col("body"))
+    for r in postings.dense(table, "id", F.col("tf")).collect():
+        assert found[r.id].vector == r.vector
+    want = {}
+    for r in table.collect():
+        want.setdefault(r.id, {})[r.term] = r.tf
+        assert found[r.id].dl == r.dl
+    assert {i: r.terms for i, r in found.items() if r.dl} == want
+    assert postings.own_terms(docs, "id", F.col("body")).count() == len(want)

@@ -201,8 +201,8 @@ def embedded_topk(spark, sf):
     """Documents without a stored vector are embedded and searched for every benchmark text; questions are a table as well."""
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     bare = docs.join(_emb(spark, sf).select(F.col("vec_id").alias("doc_id")), "doc_id", "left_anti")
-    vectors = postings.dense(retrieval.term_table(bare, "doc_id", F.col("text")), "doc_id", F.col("tf"))
-    asked = postings.dense(retrieval.term_table(table(spark, sf, "benchmark"), "item_id", F.col("text")), "item_id", F.col("tf"))
+    vectors = postings.own_terms(bare, "doc_id", F.col("text"))
+    asked = postings.own_terms(table(spark, sf, "benchmark"), "item_id", F.col("text"))
     return nearest(asked, "item_id", "vector", vectors, "doc_id", "vector", 5).withColumn("similarity", F.round("similarity", 6))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.chunking import line_chunks
-from weftline.operators.postings import own_terms
+from weftline.operators.postings import all_terms
 from weftline.operators.relational import latest
 from weftline.session import cut_lineage
 
@@ -31,9 +31,7 @@ BUCKETS = 16
 
 def term_vectors(texts: DataFrame) -> DataFrame:
     """The offline stand-in for a model: hashed term vectors, zero for a text without terms."""
-    made = own_terms(texts, "hash", F.col("text")).select("hash", F.col("vector").alias("_v"))
-    nothing = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda _: F.lit(0.0))
-    return texts.select("hash").join(made, "hash", "left").select("hash", F.coalesce("_v", nothing).alias("vector"))
+    return all_terms(texts, "hash", F.col("text")).select("hash", "vector")
 
 
 def _bucket(key: str, buckets: int):
