@@ -83,3 +83,13 @@ def test_no_changes(spark, tmp_path):
     index = ChunkIndex(spark, f"{tmp_path}/index")
     index.apply(spark.createDataFrame([], SCHEMA), 0)
     assert state(index) == ([], [], []) and index.reports().count() == 0
+
+
+def test_more_files_are_not_more_batches(spark, tmp_path):
+    from weftline.plans.indexing import _followed
+
+    docs = spark.range(60).selectExpr("id AS doc_id", "concat('text ', id % 50) AS text")
+    docs.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    index = _followed(spark, str(tmp_path))
+    assert index.reports().count() == 3
+    assert index.files().count() == 60 and index.files().filter("present").count() == 51

@@ -25,14 +25,15 @@ c AS (SELECT file_id, CAST(s // {_WINDOW} AS INTEGER) AS chunk_no, CAST(s + 1 AS
 
 
 def _followed(spark, sf) -> ChunkIndex:
-    """The index after the first batch, a restart, and the others."""
+    """The index after the first batch, a restart, and the others. A batch has as many files as one set of changes is written in:
+    each rewrites all buckets, so their number must not grow with the input."""
     documents, folder = table(spark, sf, "documents"), scratch_path(spark, "changes")
     index, checkpoint = ChunkIndex(spark, scratch_path(spark, "index"), _WINDOW), scratch_path(spark, "index-checkpoint")
     for k, (some, version, text) in enumerate(_BATCHES):
         changes = documents.filter(some).selectExpr("doc_id AS file_id", f"CAST({version} AS BIGINT) AS version", f"{text} AS text")
         changes.write.mode("append").parquet(folder)
         if k != 1:  # the second and third arrive together, after the restart
-            index.follow(change_stream(spark, folder), checkpoint)
+            index.follow(change_stream(spark, folder, max(documents.rdd.getNumPartitions(), 1)), checkpoint)
     return index
 
 
@@ -46,8 +47,8 @@ def chunk_index(spark, sf):
 def chunk_index_totals(spark, sf):
     """What the index holds; every chunk's text has one vector."""
     index = _followed(spark, sf)
-    chunks = index.chunks().join(index.vectors(), "hash")
-    return chunks.agg(F.count_distinct("file_id").alias("files"), F.count("*").alias("chunks"), F.count_distinct("hash").alias("texts"), F.max(F.size("vector")).alias("dimension"))
+    chunks = index.chunks().select("file_id", "hash").join(index.vectors().select("hash", F.size("vector").alias("size")), "hash")
+    return chunks.agg(F.count_distinct("file_id").alias("files"), F.count("*").alias("chunks"), F.count_distinct("hash").alias("texts"), F.max("size").alias("dimension"))
 
 
 @query("chunk_index_files", "SM5 SM4 VR14", f"""SELECT doc_id AS file_id, CAST(CASE WHEN doc_id % 7 = 0 THEN 3 WHEN doc_id % 5 = 0 OR doc_id % 9 = 0 THEN 2 ELSE 1 END AS BIGINT) AS version, doc_id % 7 <> 0 AS present FROM documents""")

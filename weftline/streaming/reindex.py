@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 
 from weftline.operators.chunking import line_chunks
 from weftline.operators.postings import all_terms
-from weftline.operators.relational import latest
 from weftline.session import cut_lineage
 
 CHUNKS = "file_id bigint, version bigint, chunk_no int, line_start int, line_end int, hash string, text string, bucket int"
@@ -74,38 +73,37 @@ class ChunkIndex:
 
     def embed_new(self, texts: DataFrame) -> int:
         """Embed the ``(hash, text)`` rows whose hash has no vector yet; returns how many."""
-        wanted = cut_lineage(texts.dropDuplicates(["hash"]).select("hash", "text", _bucket("hash", self.buckets)), "texts")
-        at = [r.bucket for r in wanted.select("bucket").distinct().collect()]  # one row a bucket at most
-        known = self._read("vectors", VECTORS).filter(F.col("bucket").isin(at)).select("hash")
-        new = cut_lineage(wanted.join(known, "hash", "left_anti"), "new-texts")
-        made = new.count()
-        if made:
-            rows = self.model(new.select("hash", "text")).select("hash", "vector", _bucket("hash", self.buckets))
-            rows.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/vectors")
-        return made
+        at = [r.bucket for r in texts.select(_bucket("hash", self.buckets)).distinct().collect()]  # one row a bucket at most
+        known = self._read("vectors", VECTORS)
+        before = known.count()
+        # by the same key as the texts, so that these are dealt once
+        new = texts.select("hash", "text").dropDuplicates(["hash"]).join(known.filter(F.col("bucket").isin(at)).select("hash"), "hash", "left_anti")
+        rows = self.model(new).select("hash", "vector", _bucket("hash", self.buckets))
+        rows.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/vectors")
+        return self._read("vectors", VECTORS).count() - before
 
     def apply(self, changes: DataFrame, batch_id: int) -> None:
         """Merge one batch of changes."""
         rows = changes.select(F.col("file_id").cast("bigint"), F.col("version").cast("bigint"), "text").filter("file_id IS NOT NULL AND version IS NOT NULL")
-        # of one file's changes the last counts; of equal versions the removal, then the greatest text
-        order = F.struct("version", F.col("text").isNull(), F.coalesce("text", F.lit("")))
-        last = cut_lineage(latest(rows, ["file_id"], order).withColumn("bucket", _bucket("file_id", self.buckets)), "changes")
-        at = [r.bucket for r in last.select("bucket").distinct().collect()]  # one row a bucket at most
+        at = [r.bucket for r in rows.select(_bucket("file_id", self.buckets)).distinct().collect()]  # one row a bucket at most
         if not at:
             return
+        # of one file's changes the last counts; of equal versions the removal, then the greatest text
+        order = F.struct("version", F.col("text").isNull().alias("gone"), F.coalesce("text", F.lit("")).alias("text"))
+        last = rows.groupBy("file_id").agg(F.max(order).alias("_last"))
+        last = last.select("file_id", "_last.version", F.when(~F.col("_last.gone"), F.col("_last.text")).alias("text"), _bucket("file_id", self.buckets))
         held = self._read("chunks", CHUNKS).filter(F.col("bucket").isin(at))
         seen = held.filter("chunk_no = -1").select("file_id", F.col("version").alias("_seen"))
         newer = cut_lineage(last.join(seen, "file_id", "left").filter("_seen IS NULL OR version >= _seen").drop("_seen"), "newer")
-        pieces = line_chunks(newer.filter("text IS NOT NULL"), "file_id", "text", self.window)
+        file = F.struct("file_id", "version", "bucket").alias("file")
+        pieces = line_chunks(newer.filter("text IS NOT NULL").select(file, "text"), "file", "text", self.window)
         number = ((F.col("line_start") - 1) / self.window).cast("int").alias("chunk_no")
-        pieces = pieces.join(newer.select("file_id", "version", "bucket"), "file_id")
-        pieces = pieces.select("file_id", "version", number, "line_start", "line_end", F.sha2("text", 256).alias("hash"), "text", "bucket")
-        pieces = cut_lineage(pieces, "chunks")
+        pieces = pieces.select("file.file_id", "file.version", number, "line_start", "line_end", F.sha2("text", 256).alias("hash"), "text", "file.bucket")
         embedded = self.embed_new(pieces.select("hash", "text"))
         none = F.lit(None)
         marks = newer.select("file_id", "version", F.lit(-1).alias("chunk_no"), none.cast("int").alias("line_start"), none.cast("int").alias("line_end"), none.cast("string").alias("hash"), none.cast("string").alias("text"), "bucket")
         merged = held.join(newer.select("file_id"), "file_id", "left_anti").select(*marks.columns).unionByName(marks).unionByName(pieces)
-        _replace(merged.repartition("bucket"), f"{self.path}/chunks")
+        _replace(merged, f"{self.path}/chunks")
         counts = newer.agg(F.count("text").alias("files_modified"), F.count_if(F.col("text").isNull()).alias("files_deleted"))
         report = counts.select(F.lit(batch_id).cast("bigint").alias("batch_id"), "files_modified", "files_deleted", F.lit(pieces.count()).cast("bigint").alias("chunks"), F.lit(embedded).cast("bigint").alias("embedded"))
         report.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(f"{self.path}/reports")
