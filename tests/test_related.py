@@ -27,3 +27,10 @@ def test_names_contain_each_other(spark, tmp_path):
     named = {(r.path, r.related) for r in rows if r.relation == "test" and r.path != "src/b/.rs" and r.related != "tests/"}
     assert named == {x for x in plain() if x[0] != "src/b/.rs"}
     assert len(rows) == len(set(rows)) and {r.related for r in rows if r.path == "src/a/unit_4.rs" and r.relation == "documentation"} == {"src/a/README.md"}
+
+
+def test_a_definition_is_looked_up_once(spark, sf):
+    from weftline.registry import all_queries
+
+    plan = all_queries()["inline_definition"].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert len([x for x in plan.splitlines() if "const " in x and "Filter" in x]) == 0

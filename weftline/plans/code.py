@@ -290,7 +290,7 @@ def extract_code(spark, sf):
  WHEN contains(t, '=') AND trim(string_split(t, '=')[1]) = 'total' THEN trim(substr(t, instr(t, '=') + 1)) END AS val FROM tl), f AS (SELECT file_id, arg_min(val, i) AS val FROM v WHERE val IS NOT NULL GROUP BY 1)
 SELECT file_id, val AS definition, md5(regexp_replace(regexp_replace(content, '(^|[^A-Za-z0-9_])total($|[^A-Za-z0-9_])', '\\1' || val || '\\2', 'g'), '(^|[^A-Za-z0-9_])total($|[^A-Za-z0-9_])', '\\1' || val || '\\2', 'g')) AS new_md5 FROM f JOIN ls USING (file_id) WHERE NOT contains(val, 'total')""")
 def inline_definition(spark, sf):
-    f = _files(spark, sf).withColumn("definition", code.definition_of(tx.lines(F.col("content")), "total")).filter(~F.contains("definition", F.lit("total")))
+    f = worked_out(_files(spark, sf), ["file_id", "content"], code.definition_of(tx.lines(F.col("content")), "total"), "definition").filter(~F.contains("definition", F.lit("total")))
     literal = F.replace(F.replace("definition", F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
     return f.select("file_id", "definition", F.md5(F.regexp_replace("content", F.lit(tx.unicode_regex(r"\btotal\b")), literal)).alias("new_md5"))
 
