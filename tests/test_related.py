@@ -1,5 +1,7 @@
 """Related files against plain containment, and no table of pieces of names on the driver."""
 
+import re
+
 from weftline.operators import project
 
 SOURCES = ["src/a/unit_4.rs", "src/a/unit_40.rs", "src/b/é.x.rs", "src/b/.rs", "lib/nit.py", "src/c/tests.rs", "src/d/a.b.c.rs"]
@@ -33,4 +35,4 @@ def test_a_definition_is_looked_up_once(spark, sf):
     from weftline.registry import all_queries
 
     plan = all_queries()["inline_definition"].run(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
-    assert len([x for x in plan.splitlines() if "const " in x and "Filter" in x]) == 0
+    assert re.search(r"Filter .*Contains\(definition#\d+, total\)", plan)
