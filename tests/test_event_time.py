@@ -1,6 +1,7 @@
 """State that ends by itself, over several batches with a restart."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -51,3 +52,40 @@ def test_rows_behind_the_watermark_change_nothing(spark, tmp_path):
     batches = [[(1, "a", at(0)), (2, "a", at(50))], [(3, "a", at(1000))], [(4, "a", at(2000)), (5, "b", at(1))], [(6, "a", at(3000)), (7, "b", at(2))]]
     got = follow(spark, tmp_path, "event_id long, kind string, ts timestamp", batches, lambda s: event_time.windows(s.withColumn("v", F.lit(1.0)), "ts", ["kind"], "v", "100 seconds", "10 seconds"))
     assert [(r[0] - ZERO).total_seconds() for r in got] == [0, 1000, 2000] and {r[2] for r in got} == {"a"} and got[0][3] == 2
+
+
+def test_keys_of_one_bucket_keep_their_own_state(spark, tmp_path):
+    r, keys = random.Random(3), [None, 7, -1, 0, (1 << 60) + 1, (1 << 60) + 2, *range(100, 130)]
+    times = sorted(r.randrange(0, 4000) for _ in range(400))
+    rows = [(n, r.choice(keys), at(t), f"{n},", r.random() < 0.3) for n, t in enumerate(times)] + [(900, 1 << 61, at(4300), "end", True)]
+    batches = [[x for x in rows if 1000 * b <= (x[2] - ZERO).total_seconds() < 1000 * (b + 1)] for b in range(5)]
+    schema = "event_id long, user_id long, ts timestamp, content string, done boolean"
+    got = follow(spark, tmp_path / "a", schema, batches, lambda s: event_time.cached(s.select("event_id", "user_id", "ts"), "user_id", 300_000, "1 second", buckets=2), (0, 2))
+    loaded, want = {}, []
+    for n, k, t, _, _ in rows:
+        hit = k in loaded and (t - loaded[k]).total_seconds() < 300
+        loaded[k] = loaded[k] if hit else t
+        want.append((n, k, hit))
+    assert got == want
+    batches = [[x for x in b if x[1] is not None] for b in batches]
+    got = follow(spark, tmp_path / "b", schema, batches, lambda s: event_time.responses(s, "user_id", 300_000, "1 second", buckets=2), (0, 2))
+    held, want = {}, []
+    for n, k, t, text, done in (x for x in rows if x[1] is not None):
+        last, parts = held.pop(k, (t, []))
+        if (t - last).total_seconds() > 300:
+            want.append((k, len(parts), "".join(parts), False))
+            parts = []
+        if done:
+            want.append((k, len(parts) + 1, "".join([*parts, text]), True))
+        else:
+            held[k] = t, [*parts, text]
+    want += [(k, len(parts), "".join(parts), False) for k, (last, parts) in held.items() if last < at(4300 - 1 - 300)]
+    assert got == sorted(want)
+
+
+def test_all_new_files_are_one_batch(spark, tmp_path):
+    spark.range(40).repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = event_time.files_in_order(spark, f"{tmp_path}/in", "id long", None)
+    job = stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert [p.numInputRows for p in job.recentProgress] == [40] and spark.read.parquet(f"{tmp_path}/out").count() == 40

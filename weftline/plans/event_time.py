@@ -1,6 +1,6 @@
-"""Event-time streams over ``events``: four files by time and a restart between them, with rows that come far too late.
+"""Event-time streams over ``events``: four batches of files by time and a restart after each, with rows that come far too late.
 
-Every fiftieth event of the first file comes with the last file, weeks behind the watermark, and must change nothing.
+Every fiftieth event of the first batch comes with the last one, weeks behind the watermark, and must change nothing.
 """
 
 from __future__ import annotations
@@ -26,18 +26,18 @@ _DELAY = "1 hour"
 
 
 def _run(spark, sf, job, twice: bool = False):
-    """``job`` over the batches; the stream stops after the second one and goes on from its checkpoint."""
+    """``job`` over the batches; the stream stops after each and goes on from its checkpoint."""
     events, folder = table(spark, sf, "events"), scratch_path(spark, "events")
     # batches are cut by time in UTC, as rows without a zone
     rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
     out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
-    for k, some in enumerate(_BATCHES):
+    for some in _BATCHES:
         batch = rows.filter(some)
         if twice:  # every third row comes twice
             batch = batch.unionByName(batch.filter("event_id % 3 = 0"))
-        batch.coalesce(1).write.mode("append").parquet(folder)
-        if k in (1, 3):
-            found = event_time.run(job(event_time.files_in_order(spark, folder, rows.schema)), out, checkpoint)
+        files = max(spark.sparkContext.defaultParallelism, batch.rdd.getNumPartitions())  # even ones, as the stream's tasks follow them
+        batch.repartition(files, "event_id").write.mode("append").parquet(folder)
+        found = event_time.run(job(event_time.files_in_order(spark, folder, rows.schema, None)), out, checkpoint)
     return found
 
 

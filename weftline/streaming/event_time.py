@@ -8,15 +8,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.group import GroupedData
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from weftline.session import scratch_path
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Keys share their state by so many buckets, a number that stays for the life of a checkpoint.
+BUCKETS = 1024
 
 
 def run(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
@@ -32,9 +36,10 @@ def run(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def files_in_order(spark: SparkSession, folder: str, schema) -> DataFrame:
-    """A stream of the files of ``folder``, one file a batch, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+def files_in_order(spark: SparkSession, folder: str, schema, at_once: int | None = 1) -> DataFrame:
+    """A stream of the files of ``folder``, oldest first, ``at_once`` files a batch (None: all that are new when the stream starts)."""
+    stream = spark.readStream.schema(schema)
+    return (stream.option("maxFilesPerTrigger", at_once) if at_once else stream).parquet(folder)
 
 
 def windows(rows: DataFrame, ts: str, keys: list[str], value: str, size: str, delay: str, slide: str | None = None) -> DataFrame:
@@ -65,102 +70,115 @@ def followed_by(first: DataFrame, then: DataFrame, keys: list[str], ts: str, wit
     return a.join(b, same).select(*keys, "first_id", "then_id", "first_ts", "then_ts")
 
 
-def _millis(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
+def _by_bucket(rows: DataFrame, key: str, delay: str, buckets: int) -> GroupedData:
+    """Rows by a bucket of their key. Rows without a key have a bucket of their own, so the others' keys stay whole numbers."""
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets))).cast("int")
+    return rows.withColumn("_bucket", bucket).withWatermark("ts", delay).groupBy("_bucket")
 
 
-class Cache(StatefulProcessor):
-    """A value that is loaded on a miss and serves requests for ``ttl_ms`` of event time. A timer drops it when that is over."""
+class _Shared(StatefulProcessor):
+    """State of all keys of a bucket in one value, as arrays: a call to the state store costs more than the work on a key's rows.
 
-    def __init__(self, key: str, ttl_ms: int):
-        self.key, self.ttl = key, ttl_ms
+    One timer a bucket stands at the time when the first of its keys ends.
+    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def __init__(self, key: str, span_ms: int):
+        self.key, self.span = key, span_ms
+
+    def _open(self, handle: StatefulProcessorHandle, fields: str) -> None:
         self.handle = handle
-        self.loaded = handle.getValueState("loaded", "micros bigint")
+        self.state = handle.getValueState("state", fields)
+
+    def _held(self) -> list[tuple]:
+        """One tuple a key."""
+        return list(zip(*self.state.get())) if self.state.exists() else []
+
+    def _keep(self, rows: list[tuple], last_ms: list[int]) -> None:
+        """Hold these rows until ``span_ms`` after the first of ``last_ms``."""
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if rows:
+            self.state.update(tuple(map(list, zip(*rows))))
+            self.handle.registerTimer(min(last_ms) + self.span + 1)
+        else:
+            self.state.clear()
+
+    def _in_order(self, bucket: int, rows: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, list, list[int]]:
+        """The rows by key, time and id; their keys, and their times in microseconds."""
+        asked = pd.concat(list(rows))
+        micros = asked["ts"].to_numpy("datetime64[us]").astype("int64")
+        keys = np.zeros(len(asked), np.int64) if bucket < 0 else asked[self.key].to_numpy()
+        order = np.lexsort((asked["event_id"].to_numpy(), micros, keys))
+        return asked.iloc[order], [None] * len(asked) if bucket < 0 else keys[order].tolist(), micros[order].tolist()
+
+    def close(self) -> None:
+        pass
+
+
+class Cache(_Shared):
+    """A value that is loaded on a miss and serves requests for ``span_ms`` of event time. A timer drops it when that is over."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._open(handle, "keys array<bigint>, loaded array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        asked = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        loaded, hits = (self.loaded.get() or (None,))[0] if self.loaded.exists() else None, []
-        for micros in asked["ts"].astype("datetime64[us]").astype("int64"):
-            hit = loaded is not None and micros < loaded + 1000 * self.ttl
+        asked, keys, micros = self._in_order(key[0], rows)
+        loaded, hits = dict(self._held()), []
+        for one, now in zip(keys, micros):
+            hit = one in loaded and now < loaded[one] + 1000 * self.span
             hits.append(hit)
             if not hit:
-                loaded = int(micros)
-        self.loaded.update((loaded,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(loaded // 1000 + self.ttl + 1)
-        yield pd.DataFrame({"event_id": asked["event_id"], self.key: key[0], "hit": hits})
+                loaded[one] = now
+        self._keep(list(loaded.items()), [t // 1000 for t in loaded.values()])
+        yield pd.DataFrame({"event_id": asked["event_id"].to_numpy(), self.key: keys, "hit": hits})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.loaded.clear()
+        now = timerValues.getCurrentWatermarkInMs()
+        left = [(one, t) for one, t in self._held() if t // 1000 + self.span >= now]
+        self._keep(left, [t // 1000 for _, t in left])
         return iter(())
 
-    def close(self) -> None:
-        pass
 
-
-def cached(requests: DataFrame, key: str, ttl_ms: int, delay: str) -> DataFrame:
+def cached(requests: DataFrame, key: str, ttl_ms: int, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """``(event_id, key, hit)`` of every request ``(event_id, key, ts)``: whether the key's value was loaded less than ``ttl_ms`` ago."""
-    grouped = requests.withWatermark("ts", delay).groupBy(key)
+    grouped = _by_bucket(requests, key, delay, buckets)
     return grouped.transformWithStateInPandas(Cache(key, ttl_ms), f"event_id bigint, {key} bigint, hit boolean", "Append", "EventTime")
 
 
-class Responses(StatefulProcessor):
-    """Chunks of a key's open response as a list; it leaves with its end mark, or unfinished when ``gap_ms`` passed without a chunk."""
-
-    def __init__(self, key: str, gap_ms: int):
-        self.key, self.gap = key, gap_ms
+class Responses(_Shared):
+    """Chunks of a key's open response, put together; it leaves with its end mark, or unfinished when ``span_ms`` passed without a chunk."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.chunks = handle.getListState("chunks", "content string")
-        self.last = handle.getValueState("last", "millis bigint")
-
-    def _out(self, key, finished: bool) -> tuple:
-        parts = [r[0] for r in self.chunks.get()]
-        self.chunks.clear()
-        return key[0], len(parts), "".join(parts), finished
+        self._open(handle, "keys array<bigint>, last array<bigint>, chunks array<bigint>, texts array<string>")
 
     def _frame(self, rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=[self.key, "chunks", "full_text", "finished"])
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, new = [], []
-        last = self.last.get()[0] if self.last.exists() else None
-        is_open = self.chunks.exists()
-        for row in pd.concat(list(rows)).sort_values(["ts", "event_id"]).itertuples(index=False):
-            now = _millis(row.ts)
-            if is_open and now > last + self.gap:
-                if new:
-                    self.chunks.appendList(new)
-                new = []
-                out.append(self._out(key, False))
-            new.append((row.content,))
-            is_open, last = not row.done, now
-            if row.done:
-                self.chunks.appendList(new)
-                new = []
-                out.append(self._out(key, True))
-        if new:
-            self.chunks.appendList(new)
-        self.last.update((last,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        if is_open:
-            self.handle.registerTimer(last + self.gap + 1)
+        asked, keys, micros = self._in_order(key[0], rows)
+        held, out = {one: (last, n, [text]) for one, last, n, text in self._held()}, []
+        for one, micro, content, done in zip(keys, micros, asked["content"], asked["done"]):
+            now = micro // 1000
+            last, n, parts = held.pop(one, (now, 0, []))
+            if now > last + self.span:
+                out.append((one, n, "".join(parts), False))
+                n, parts = 0, []
+            parts.append(content)
+            if done:
+                out.append((one, n + 1, "".join(parts), True))
+            else:
+                held[one] = now, n + 1, parts
+        self._keep([(one, last, n, "".join(parts)) for one, (last, n, parts) in held.items()], [last for last, _, _ in held.values()])
         yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.last.clear()
-        yield self._frame([self._out(key, False)] if self.chunks.exists() else [])
-
-    def close(self) -> None:
-        pass
+        now, held = timerValues.getCurrentWatermarkInMs(), self._held()
+        left = [row for row in held if row[1] + self.span >= now]
+        self._keep(left, [last for _, last, _, _ in left])
+        yield self._frame([(one, n, text, False) for one, last, n, text in held if last + self.span < now])
 
 
-def responses(chunks: DataFrame, key: str, gap_ms: int, delay: str) -> DataFrame:
+def responses(chunks: DataFrame, key: str, gap_ms: int, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """``(key, chunks, full_text, finished)`` of responses as they end, from ``(event_id, key, ts, content, done)`` rows."""
-    grouped = chunks.withWatermark("ts", delay).groupBy(key)
+    grouped = _by_bucket(chunks, key, delay, buckets)
     return grouped.transformWithStateInPandas(Responses(key, gap_ms), f"{key} bigint, chunks bigint, full_text string, finished boolean", "Append", "EventTime")
