@@ -1,9 +1,11 @@
 import itertools
 import math
+import tracemalloc
 import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -55,6 +57,25 @@ def test_suffix_dedup_keeps_characters_whole(make):
     assert all(set(r.text) <= {"é", "a"} for r in found)
 
 
+def test_tasks_of_suffix_dedup_hold_little(prose):
+    import tokenizers
+
+    texts = pa.array([prose(k, 3000) for k in range(220)])
+    n = len(texts)
+    cut = pa.record_batch([texts, pa.array(range(n)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.string())], names=["_text", "_id", "runs", "rest"])
+    made = tokenizers.__dict__.setdefault("_encoders", {})
+    made["left by another step"] = None
+    tracemalloc.start()
+    try:
+        assert sum(map(len, suffix_dedup._anchor_hashes(200)(iter([pa.record_batch([texts], names=["_text"])])))) > 1000
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 60 << 20 and not made
+    parts = list(suffix_dedup._cut(iter([cut])))
+    assert len(parts) > 2 and pa.Table.from_batches(parts).column("text").combine_chunks().to_pylist() == texts.to_pylist()
+
+
 @pytest.mark.parametrize("limit", [50_000, 1])
 def test_simhash(make, mixed, limit):
     found = simhash.near_duplicates(make(mixed, "fingerprint node fp"), bucket_limit=limit)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import words as W
 from weftline.llm.registry import llm_query
+from weftline.llm.tokens import forget
 from weftline.sources.tables import table
 
 BITS = 18
@@ -61,6 +62,7 @@ def features(data: np.ndarray, starts: np.ndarray) -> list[tuple[np.ndarray, np.
 
 def _sparse(batches):
     """Index and value of the features of each row."""
+    forget()
     for batch in batches:
         indexes, values = [], []
         for a, b, data, starts in W.chunks(batch.column(2)):
@@ -110,6 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
 
 def _scored(weights: np.ndarray, names: list[str]):
     def score(batches):
+        forget()
         for batch in batches:
             out = [np.zeros(0)]
             for a, b, data, starts in W.chunks(batch.column("text")):

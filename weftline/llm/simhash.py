@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import words as W
 from weftline.llm.registry import llm_query
+from weftline.llm.tokens import forget
 from weftline.session import cut_lineage
 from weftline.sources.tables import table
 
@@ -47,6 +48,7 @@ def _fingerprinted(size: int, n_words: int):
     names = ["doc_id", "fingerprint", *(f"more_{k}" for k in range(1, n_words))]
 
     def fingerprints(batches):
+        forget()
         for batch in batches:
             out = [np.zeros((0, n_words), np.int64)]
             for a, b, data, starts in W.chunks(batch.column(0)):
@@ -199,6 +201,7 @@ def _linked(limit: int):
         return np.concatenate(a), np.concatenate(b)
 
     def link(batches):
+        forget()
         held, n, found = [], 0, []
 
         def flush(last: bool):

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from weftline.llm import words as W
 from weftline.llm.registry import llm_query
 from weftline.llm.sketch import repeated
+from weftline.llm.tokens import forget
 from weftline.sources.tables import table
 
 MIN_LENGTH = 200
@@ -77,9 +78,11 @@ def _anchors(data: np.ndarray, starts: np.ndarray, min_length: int):
 
 def _anchor_hashes(min_length: int):
     def hashes(batches):
+        forget()
         for batch in batches:
-            for _, _, data, starts in W.chunks(batch.column(0)):
+            for _, _, data, starts in W.chunks(batch.column(0), CHUNK):
                 yield _anchors(data, starts, min_length)[0]
+        W.free_memory()
 
     return hashes
 
@@ -170,6 +173,7 @@ def _contexts(min_length: int, maybe, buckets: int, keep_first: bool):
         return _batch(rows)
 
     def contexts(batches):
+        forget()
         parts, n = [], 0
         for batch in batches:
             ids, ths = (batch.column(k).to_numpy() for k in (1, 2))
@@ -200,6 +204,8 @@ def _contexts(min_length: int, maybe, buckets: int, keep_first: bool):
                     parts, n = [], 0
         if n:
             yield send(parts)
+        del parts
+        W.free_memory()
 
     return contexts
 
@@ -288,6 +294,7 @@ def _matched(min_length: int, keep_first: bool, bins: int):
         return _batch(_spans_by_bin(*(np.concatenate(x) for x in zip(*found)), bins))
 
     def match(batches):
+        forget()
         rows, bucket = [], None
         for batch in batches:
             for r in W.each(batch):
@@ -301,6 +308,8 @@ def _matched(min_length: int, keep_first: bool, bins: int):
                 rows.append(r)
         if rows:
             yield judged(rows)
+        del rows
+        W.free_memory()
 
     return match
 
@@ -334,37 +343,44 @@ def _united(batches):
         yield merged(rows)
 
 
+_CUT = ["_id", "kept", "text", "n_bytes", "n_removed", "n_spans", "rest"]
+
+
+def _cut_rows(batch: pa.RecordBatch, data: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+    kept, texts, removed, spans = [], [], [], []
+    for k, runs in enumerate(batch.column(2).to_pylist()):
+        own = data[starts[k] : starts[k + 1]]
+        if not runs:
+            raw = own.tobytes()
+            kept.append(raw)
+            texts.append(raw.decode())
+            removed.append(0)
+            spans.append(0)
+            continue
+        begin, end = np.frombuffer(runs, np.int64).reshape(2, -1)
+        keep = np.ones(len(own), bool)
+        whole = np.ones(len(own), bool)
+        for b, e in zip(begin.tolist(), end.tolist()):
+            keep[b:e] = False
+            while b < e and own[b] & 0xC0 == 0x80:  # a character that is cut stays whole
+                b += 1
+            while e > b and e < len(own) and own[e] & 0xC0 == 0x80:
+                e -= 1
+            whole[b:e] = False
+        kept.append(own[keep].tobytes())
+        texts.append(own[whole].tobytes().decode())
+        removed.append(int((end - begin).sum()))
+        spans.append(len(begin))
+    return pa.RecordBatch.from_arrays(
+        [batch.column(1), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), pa.array(np.diff(starts)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), batch.column(3)], names=_CUT
+    )
+
+
 def _cut(batches):
-    names = ["_id", "kept", "text", "n_bytes", "n_removed", "n_spans", "rest"]
+    forget()
     for batch in batches:
-        data, starts = W.utf8(batch.column(0))
-        kept, texts, removed, spans = [], [], [], []
-        for k, runs in enumerate(batch.column(2).to_pylist()):
-            own = data[starts[k] : starts[k + 1]]
-            if not runs:
-                raw = own.tobytes()
-                kept.append(raw)
-                texts.append(raw.decode())
-                removed.append(0)
-                spans.append(0)
-                continue
-            begin, end = np.frombuffer(runs, np.int64).reshape(2, -1)
-            keep = np.ones(len(own), bool)
-            whole = np.ones(len(own), bool)
-            for b, e in zip(begin.tolist(), end.tolist()):
-                keep[b:e] = False
-                while b < e and own[b] & 0xC0 == 0x80:  # a character that is cut stays whole
-                    b += 1
-                while e > b and e < len(own) and own[e] & 0xC0 == 0x80:
-                    e -= 1
-                whole[b:e] = False
-            kept.append(own[keep].tobytes())
-            texts.append(own[whole].tobytes().decode())
-            removed.append(int((end - begin).sum()))
-            spans.append(len(begin))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(1), pa.array(kept, pa.binary()), pa.array(texts, pa.string()), pa.array(np.diff(starts)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), batch.column(3)], names=names
-        )
+        for a, b, data, starts in W.chunks(batch.column(0)):
+            yield _cut_rows(batch.slice(a, b - a), data, starts)
 
 
 def without_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, keep_first: bool = True, log2_cells: int = LOG2_CELLS, carry: tuple[str, ...] = ()) -> DataFrame:
