@@ -1,5 +1,7 @@
+import cProfile
 import itertools
 import math
+import random
 import tracemalloc
 import zlib
 
@@ -280,6 +282,25 @@ def test_encoder_agrees_with_the_library_on_random_characters(monkeypatch, chunk
     assert at_row == len(texts)
 
 
+def test_encoder_maps_new_pieces_together(monkeypatch):
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdeéß", [9, 9, 9, 9, 9, 1, 1], k=9)) for _ in range(4000)]
+    want = LIBRARY.encode(" ".join(words), add_special_tokens=False).ids
+    profile = cProfile.Profile()
+    e = tokens.Encoder(tokens.TOKENIZER)
+    e.encode("whatever loads at first")
+    profile.enable()
+    ids = e.encode(" ".join(words))
+    profile.disable()
+    assert np.frombuffer(ids, "<u4").tolist() == want
+    assert sum(x.callcount for x in profile.getstats()) < 9 * len(words)
+    monkeypatch.setattr(tokens, "CACHE", 300)
+    e = tokens.Encoder(tokens.TOKENIZER)
+    for part in (words, words[-500:], words[:200] + ["x" * 80], words):
+        assert np.frombuffer(e.encode(" ".join(part)), "<u4").tolist() == LIBRARY.encode(" ".join(part), add_special_tokens=False).ids
+        assert len(e.known) <= 300 and len(e.before) <= 300
+
+
 @pytest.mark.parametrize("file_bytes, block_ids", [(1 << 25, 1 << 16), (2000, 100)])
 def test_huffman_round_trip(spark, make, mixed, tmp_path, file_bytes, block_ids):
     path = f"file://{tmp_path}/set"
@@ -291,6 +312,34 @@ def test_huffman_round_trip(spark, make, mixed, tmp_path, file_bytes, block_ids)
     assert sorted((brute.order(r[0]), r[4]) for r in got) == sorted((brute.order(i), encoded(t, 2).tobytes()) for i, t in mixed)
 
 
+def small(task):
+    """A task that refuses batches of more than 6 MB."""
+
+    def run(batches):
+        def held():
+            for batch in batches:
+                if batch.nbytes > 6 << 20:
+                    raise ValueError(f"a batch of {batch.nbytes} bytes")
+                yield batch
+
+        return task(held())
+
+    return run
+
+
+def wide(spark):
+    return spark.range(0, 2000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 900).alias("text"))
+
+
+def test_huffman_sends_small_batches(spark, tmp_path, monkeypatch):
+    for name in ("_tokenized", "_blocked", "_encoded"):
+        monkeypatch.setattr(huffman, name, lambda *args, made=getattr(huffman, name): small(made(*args)))
+    own = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    huffman.write_ids(wide(spark), f"file://{tmp_path}/set")
+    assert huffman.read_ids(spark, f"file://{tmp_path}/set", with_ids=False).count() == 2000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == own
+
+
 @pytest.mark.parametrize("limit", [6, 8, 16])
 def test_code_lengths_are_optimal_under_the_limit(limit):
     import itertools

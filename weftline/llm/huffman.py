@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.registry import llm_query
 from weftline.llm.tokens import TOKENIZER, encoder, forget, id_blobs
-from weftline.session import scratch_path
+from weftline.session import scratch_path, small_batches
 from weftline.sources.tables import table
 
 LIMIT = 16
@@ -226,15 +226,18 @@ def write_ids(docs: DataFrame, path: str, end_id: int = END_ID, tokenizer: str =
     tokenized = rows.mapInArrow(_tokenized(tokenizer, end_id, sorted(set(splits))), "file_no int, doc_id long, th long, n int, ids binary")
     ordered = tokenized.repartition(files, "file_no").sortWithinPartitions("file_no", F.col("doc_id").asc_nulls_first(), "th")
     held = scratch_path(spark, "id-blocks")
-    ordered.mapInArrow(_blocked(block_ids), "file_no int, block_no int, n_ids long, doc_ids binary, doc_nulls binary, doc_lengths binary, ids binary").write.option("compression", "zstd").parquet(held)
+    with small_batches(spark):
+        ordered.mapInArrow(_blocked(block_ids), "file_no int, block_no int, n_ids long, doc_ids binary, doc_nulls binary, doc_lengths binary, ids binary").write.option("compression", "zstd").parquet(held)
     blocks = spark.read.schema("file_no int, block_no int, n_ids long, doc_ids binary, doc_nulls binary, doc_lengths binary, ids binary").parquet(held)
     counts = blocks.select("n_ids", "ids").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    counted = counts.orderBy("id").collect()  # no more rows than the vocabulary has
+    with small_batches(spark):
+        counted = counts.orderBy("id").collect()  # no more rows than the vocabulary has
     ids, n = np.array([r.id for r in counted], np.int64), np.array([r.n for r in counted], np.int64)
     bits = code_lengths(n, limit)
     spark.createDataFrame([(int(i), int(b)) for i, b in zip(ids, bits)], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
     schema = "file_no int, block_no int, n_ids long, doc_ids binary, doc_nulls binary, doc_lengths binary, checkpoints binary, payload binary"
-    blocks.mapInArrow(_encoded(Codebook(ids, bits)), schema).write.option("compression", "none").parquet(f"{path}/blocks")
+    with small_batches(spark):
+        blocks.mapInArrow(_encoded(Codebook(ids, bits)), schema).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:

@@ -11,9 +11,11 @@ A text longer than ``CHUNK`` bytes is worked through some bytes at a time, so me
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 from collections.abc import Iterator
+from itertools import compress, islice, pairwise
 
 import numpy as np
 import public_tokenizers
@@ -88,7 +90,7 @@ class Encoder:
             spec = json.load(f)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.model = BPE(spec["model"]["vocab"], merges, cache_capacity=0)  # pieces that come again are kept here
-        self.shown = dict(enumerate(_byte_characters()))
+        self.shown = "".join(_byte_characters())
         self.special = [t["content"].encode() for t in spec["added_tokens"]]
         self.id_bytes = [i.to_bytes(4, "little") for i in range(len(spec["model"]["vocab"]) + len(self.special))]
         self.whole = None
@@ -103,25 +105,41 @@ class Encoder:
             self.whole = Tokenizer.from_file(self.path)
         return np.array(self.whole.encode(piece.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _new(self, piece: bytes) -> bytes:
-        id_bytes = self.id_bytes
-        if (piece[1:] if piece[:1] == b" " else piece).isalpha():  # ASCII letters: one match of the pattern
-            return b"".join([id_bytes[t.id] for t in self.model.tokenize(piece.decode().replace(" ", self.shown[32]))])
+    def _shown(self, raw: bytes) -> str:
+        return codecs.charmap_decode(raw, "strict", self.shown)[0]
+
+    def _odd(self, piece: bytes) -> bytes:
+        """A piece with more than ASCII letters behind its blank."""
+        text, id_bytes, tokenize = piece.decode(), self.id_bytes, self.model.tokenize
+        if (text[1:] if text[:1] == " " else text).isalpha():
+            return b"".join([id_bytes[t.id] for t in tokenize(self._shown(piece))])
         if any(s in piece for s in self.special):
             return self._by_library(piece)
-        text = piece.decode()
-        words = [text] if (text[1:] if text[:1] == " " else text).isalpha() else _PIECES.findall(text)
-        return b"".join([id_bytes[t.id] for w in words for t in self.model.tokenize(w.encode().decode("latin-1").translate(self.shown))])
-
-    def _ids_of(self, piece: bytes) -> bytes:
-        ids = self.before.get(piece)
-        if ids is None:
-            ids = self._new(piece)
-        if len(piece) <= KEPT_BYTES:
+        return b"".join([id_bytes[t.id] for w in _PIECES.findall(text) for t in tokenize(self._shown(w.encode()))])
+
+    def _new(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pieces not met before. Those of ASCII letters are one match of the pattern each, and mapped together."""
+        id_bytes, tokenize = self.id_bytes, self.model.tokenize
+        plain = [(p[1:] if p[:1] == b" " else p).isalpha() for p in pieces]
+        words = self._shown(b"\n".join(compress(pieces, plain))).split(self.shown[10])
+        ids = iter([b"".join([id_bytes[t.id] for t in tokenize(w)]) for w in words])
+        return [next(ids) if x else self._odd(p) for p, x in zip(pieces, plain)]
+
+    def _ids_of(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of distinct pieces that aren't in ``known``; they are then, unless long."""
+        found = list(map(self.before.get, pieces))
+        new = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(new, self._new([pieces[k] for k in new])):
+            found[k] = x
+        short = [len(p) <= KEPT_BYTES for p in pieces]
+        kept, left = zip(compress(pieces, short), compress(found, short)), sum(short)
+        while left > 0:
             if len(self.known) >= CACHE:
                 self.before, self.known = self.known, {}
-            self.known[piece] = ids
-        return ids
+            room = CACHE - len(self.known)
+            self.known.update(islice(kept, room))
+            left -= room
+        return found
 
     def _cuts(self, data: np.ndarray) -> np.ndarray:
         """Places to cut, none within a special token's name."""
@@ -137,10 +155,13 @@ class Encoder:
     def _encoded(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces between ``cuts`` (from 0 to the end of the data), and where each piece's begin."""
         pieces = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(data)]).dictionary_encode()
-        distinct = pieces.dictionary.to_pylist()
+        raw, ends = W.utf8(pieces.dictionary)
+        raw, ends = raw.tobytes(), ends.tolist()
+        distinct = [raw[x:y] for x, y in pairwise(ends)]
         found = list(map(self.known.get, distinct))
-        for k in [k for k, x in enumerate(found) if x is None]:
-            found[k] = self._ids_of(distinct[k])
+        new = [k for k, x in enumerate(found) if x is None]
+        for k, x in zip(new, self._ids_of([distinct[k] for k in new])):
+            found[k] = x
         size = np.fromiter(map(len, found), np.int64, len(found)) >> 2
         held = np.frombuffer(b"".join(found), "<u4")
         code = pieces.indices.to_numpy()

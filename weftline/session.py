@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,19 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(own, f"{label}-{uuid.uuid4().hex}")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "4m") -> Iterator[None]:
+    """Jobs run within it send Python batches of about ``size``, as wide rows need memory on both sides; the session's own
+    setting comes back after."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, own)
+
+
 def cut_lineage(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back, so a lost executor costs no recomputation chain."""
     path = scratch_path(df.sparkSession, label)
