@@ -425,3 +425,14 @@ for name in ("op4_suffix_dedup", "op9_substring_dedup", "op12_prefixes", "op13_w
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
     assert not done.returncode, done.stderr[-2000:]
+
+
+def test_pipeline_steps_send_small_batches(spark, monkeypatch):
+    for module, name in ((suffix_dedup, "_anchor_hashes"), (suffix_dedup, "_contexts"), (suffix_dedup, "_matched"), (simhash, "_fingerprinted")):
+        monkeypatch.setattr(module, name, lambda *args, made=getattr(module, name): small(made(*args)))
+    docs = wide(spark)
+    assert suffix_dedup.without_repeats(docs, log2_cells=16).filter("n_removed > 0").count() == 2000
+    assert simhash.near_duplicates(docs).count() == 2000
+    batches = [pa.record_batch([pa.array(range(300)), pa.array(["some words " * 1000] * 300)], names=["doc_id", "text"])]
+    parts = list(classifier._scored(np.zeros((1 << classifier.BITS) + 1), ["doc_id", "text"])(iter(batches)))
+    assert sum(p.num_rows for p in parts) == 300 and max(p.nbytes for p in parts) < 2 << 20

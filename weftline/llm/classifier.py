@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from weftline.llm import words as W
 from weftline.llm.registry import llm_query
 from weftline.llm.tokens import forget
+from weftline.session import small_batches
 from weftline.sources.tables import table
 
 BITS = 18
@@ -106,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, epochs:
     sparse = rows.mapInArrow(_sparse, "at long, quality int, indexes binary, values binary")
     again = sparse.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs))))
     ordered = again.repartition(1).sortWithinPartitions("epoch", "at", "quality").select("quality", "indexes", "values")
-    found = ordered.mapInArrow(_trained, "weights binary").collect()
+    with small_batches(docs.sparkSession):
+        found = ordered.mapInArrow(_trained, "weights binary").collect()
     return np.frombuffer(bytes(found[0].weights), "<f4").astype(np.float64) if found else np.zeros((1 << BITS) + 1)
 
 
@@ -114,14 +116,13 @@ def _scored(weights: np.ndarray, names: list[str]):
     def score(batches):
         forget()
         for batch in batches:
-            out = [np.zeros(0)]
             for a, b, data, starts in W.chunks(batch.column("text")):
                 total = np.full(b - a, weights[-1])
                 for index, before in features(data, starts):
                     own = np.r_[0.0, np.cumsum(weights[index])]
                     total += GAIN * (own[before[1:]] - own[before[:-1]]) / np.maximum(np.diff(before), 1)
-                out.append(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(np.concatenate(out))], names=[*names, "score"])
+                own = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(own.column(c) for c in names), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))], names=[*names, "score"])
 
     return score
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from weftline.llm import words as W
 from weftline.llm.registry import llm_query
 from weftline.llm.tokens import forget
-from weftline.session import cut_lineage
+from weftline.session import cut_lineage, small_batches
 from weftline.sources.tables import table
 
 SHINGLE = 4
@@ -277,7 +277,8 @@ def near_duplicates(
 
     Without further arguments two texts link if their 64-bit fingerprints differ in ``radius`` bits or fewer; see ``links``.
     """
-    prints = cut_lineage(fingerprints(docs, shingle, n_words), "fingerprints")
+    with small_batches(docs.sparkSession):
+        prints = cut_lineage(fingerprints(docs, shingle, n_words), "fingerprints")
     words = ["fingerprint", *(f"more_{k}" for k in range(1, n_words))]
     node = F.col("fingerprint") if n_words == 1 else F.xxhash64(*words)
     distinct = cut_lineage(prints.groupBy(*words).agg(F.min("doc_id").alias("least")).withColumn("node", node), "distinct")

@@ -36,6 +36,7 @@ from weftline.llm import words as W
 from weftline.llm.registry import llm_query
 from weftline.llm.sketch import repeated
 from weftline.llm.tokens import forget
+from weftline.session import cut_lineage, small_batches
 from weftline.sources.tables import table
 
 MIN_LENGTH = 200
@@ -391,11 +392,15 @@ def without_repeats(docs: DataFrame, min_length: int = MIN_LENGTH, keep_first: b
     if min_length < 2 * GRAM:
         raise ValueError(f"min_length must be {2 * GRAM} or more")
     rows = W.keyed(docs)
-    maybe, total = repeated(rows.select("_text"), _anchor_hashes(min_length), log2_cells, DEPTH, keep_hot=True)
+    with small_batches(docs.sparkSession):
+        maybe, total = repeated(rows.select("_text"), _anchor_hashes(min_length), log2_cells, DEPTH, keep_hot=True)
     buckets = max(1, math.ceil(total / BUCKET_ANCHORS))
     moved = rows.select("_text", "_id", "_th").mapInArrow(_contexts(min_length, maybe, buckets, keep_first), _MOVED)
     spans = moved.repartition(buckets, "bucket").sortWithinPartitions("settled", "bucket").mapInArrow(_matched(min_length, keep_first, buckets), _MOVED)
     runs = spans.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_united, "_id long, _th long, runs binary")
+    with small_batches(docs.sparkSession):
+        runs = cut_lineage(runs, "runs")
+    maybe.destroy()
     rest = F.struct(*carry) if carry else F.lit(None).cast("string")
     whole = W.keyed(docs, rest.alias("rest"))
     joined = whole.join(runs, ["_id", "_th"], "left").select("_text", "_id", "runs", "rest")
