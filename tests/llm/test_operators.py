@@ -436,3 +436,9 @@ def test_pipeline_steps_send_small_batches(spark, monkeypatch):
     batches = [pa.record_batch([pa.array(range(300)), pa.array(["some words " * 1000] * 300)], names=["doc_id", "text"])]
     parts = list(classifier._scored(np.zeros((1 << classifier.BITS) + 1), ["doc_id", "text"])(iter(batches)))
     assert sum(p.num_rows for p in parts) == 300 and max(p.nbytes for p in parts) < 2 << 20
+
+
+def test_packing_sends_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(packing, "_tokenized", lambda *args, made=packing._tokenized: small(made(*args)))
+    docs = wide(spark).withColumn("source", F.lit("s"))
+    assert packing.packed(docs, with_ids=False).select("doc_id").distinct().count() == 2000
